@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import NOISE_TOPIC, QUOTE_LENGTH, STRENGTH_ROWS
 from hearken.functions.numeric import percent, round_even
 
 
+def whole_report() -> WindowSpec:
+    """A frame over a finished report, which has one row per topic."""
+    return Window.partitionBy(F.lit(1))
+
+
 def topic_counts(negatives: DataFrame, topic: str = "topic") -> DataFrame:
     """One row per topic, noise included: count and mean rating."""
     return negatives.groupBy(topic).agg(
@@ -24,17 +29,17 @@ def assigned_only(df: DataFrame, topic: str = "topic") -> DataFrame:
 def with_mentions(counts: DataFrame, topic: str = "topic") -> DataFrame:
     """Mention shares against all negatives and against the assigned ones.
 
-    Both totals come from the grouped counts, so the reviews are read once.
+    Both totals are windows over the topic table, which a topic model keeps to a few rows, so the
+    reviews behind it are read once.
     """
-    all_negatives = counts.agg(F.sum("freq")).scalar()
-    assigned = assigned_only(counts, topic)
-    n_assigned = assigned.agg(F.sum("freq")).scalar()
-    return assigned.withColumns(
+    assigned_freq = F.when(F.col(topic) != NOISE_TOPIC, F.col("freq"))
+    shares = counts.withColumns(
         {
-            "mention_all_pct": percent(F.col("freq"), all_negatives),
-            "mention_assigned_pct": percent(F.col("freq"), n_assigned),
+            "mention_all_pct": percent(F.col("freq"), F.sum("freq").over(whole_report())),
+            "mention_assigned_pct": percent(F.col("freq"), F.sum(assigned_freq).over(whole_report())),
         }
     )
+    return assigned_only(shares, topic)
 
 
 def noise_rate(counts: DataFrame, topic: str = "topic") -> DataFrame:
@@ -67,9 +72,19 @@ def with_quotes(points: DataFrame, quotes: DataFrame, topic: str = "topic") -> D
 
 
 def pain_points(negatives: DataFrame, topic: str = "topic", weight: str = "topic_prob") -> DataFrame:
-    """The six-column pain-point table."""
-    points = with_mentions(topic_counts(negatives, topic), topic)
-    return with_quotes(points, representative(assigned_only(negatives, topic), topic, weight), topic)
+    """The six-column pain-point table in one aggregation.
+
+    Only the first characters of a text can reach the report, so the aggregation carries those and
+    not whole reviews.
+    """
+    quote = F.substring("review", 1, QUOTE_LENGTH)
+    best = F.max_by(quote, F.struct(F.col(weight), -F.col("seq")))
+    counts = negatives.groupBy(topic).agg(
+        F.count(F.lit(1)).alias("freq"),
+        round_even(F.avg("rating"), 2).alias("avg_rating"),
+        F.coalesce(best, F.lit("")).alias("rep_review"),
+    )
+    return with_mentions(counts, topic)
 
 
 def strengths(labelled: DataFrame, n: int = STRENGTH_ROWS) -> DataFrame:
@@ -87,21 +102,10 @@ def severity(avg_rating: Column) -> Column:
 
 
 def with_priority(points: DataFrame) -> DataFrame:
-    """Severity, heuristic score, bubble size and quadrant of every pain point.
-
-    The maximum and the two medians are scalars over the pain-point table, which has one row per
-    topic.
-    """
+    """Severity, heuristic score, bubble size and quadrant of every pain point."""
     scored = points.withColumn("severity", severity(F.col("avg_rating")))
-    stats = scored.agg(
-        F.struct(
-            F.max("freq").alias("max_freq"),
-            F.median("mention_all_pct").alias("mention"),
-            F.median("severity").alias("severity"),
-        )
-    ).scalar()
-    often = F.col("mention_all_pct") >= stats["mention"]
-    severe = F.col("severity") >= stats["severity"]
+    often = F.col("mention_all_pct") >= F.median("mention_all_pct").over(whole_report())
+    severe = F.col("severity") >= F.median("severity").over(whole_report())
     quadrant = (
         F.when(often & severe, "first")
         .when(severe, "severe_rare")
@@ -111,7 +115,8 @@ def with_priority(points: DataFrame) -> DataFrame:
     return scored.withColumns(
         {
             "priority_score": round_even(F.col("mention_all_pct") * F.col("severity"), 1),
-            "bubble_size": F.lit(100.0) + F.lit(500.0) * (F.col("freq") / stats["max_freq"]),
+            "bubble_size": F.lit(100.0)
+            + F.lit(500.0) * (F.col("freq") / F.max("freq").over(whole_report())),
             "quadrant": quadrant,
         }
     )

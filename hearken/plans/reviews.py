@@ -356,7 +356,11 @@ def _(t: Inputs):
         from pp left join rep using (topic)""",
 )
 def _(t: Inputs):
-    return painpoints.pain_points(negatives(t))
+    found = negatives(t)
+    points = painpoints.with_mentions(painpoints.topic_counts(found))
+    return painpoints.with_quotes(
+        points, painpoints.representative(painpoints.assigned_only(found))
+    )
 
 
 @query(
@@ -384,6 +388,15 @@ def priority(t: Inputs):
     return painpoints.with_priority(painpoints.with_mentions(painpoints.topic_counts(negatives(t))))
 
 
+@query(
+    "painpoint_table",
+    f"""with {NEG_CTES} select pp.*, substr(coalesce(rep.review, ''), 1, 100) as rep_review
+        from pp left join rep using (topic)""",
+)
+def _(t: Inputs):
+    return painpoints.pain_points(negatives(t))
+
+
 @query("severity", f"with {PRIORITY_CTES} select topic, severity from sev")
 def _(t: Inputs):
     return priority(t).select("topic", "severity")
