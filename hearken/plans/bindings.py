@@ -116,7 +116,7 @@ VIEWS: dict[str, str] = {
           on t.run_id = p.run_id""",
     # predicted answers per trial (order year) and the answers seen, per segment (order status)
     "v_predicted": """
-        select year(o_orderdate) as trial, o_orderstatus as segment, o_orderpriority as category,
+        select cast(year(o_orderdate) as int) as trial, o_orderstatus as segment, o_orderpriority as category,
                cast(count(*) as double) as weight
         from {orders} group by year(o_orderdate), o_orderstatus, o_orderpriority""",
     "v_observed": """
@@ -188,22 +188,29 @@ VIEWS: dict[str, str] = {
 _NAME = re.compile(r"\{(\w+)\}")
 
 
-def _spark_text(sql: str) -> str:
-    return re.sub(r"round_half\((.+), (\d)\)", _spark_round, sql)
+def _expand_rounding(sql: str, spelled: str) -> str:
+    """Replace round_half(x, d) by the engine's spelling of half-even rounding."""
+    start = sql.rfind("round_half(")
+    while start >= 0:
+        depth, at, comma = 1, start + len("round_half("), -1
+        begin = at
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            if sql[at] == "," and depth == 1:
+                comma = at
+            at += 1
+        scale = 10 ** int(sql[comma + 1 : at - 1])
+        sql = sql[:start] + spelled.format(x=sql[begin:comma], scale=scale) + sql[at:]
+        start = sql.rfind("round_half(")
+    return sql
 
 
-def _spark_round(found: re.Match) -> str:
-    scale = 10 ** int(found.group(2))
-    return f"rint(({found.group(1)}) * {scale}) / {scale}"
+def _spark_text(sql: str) -> str:
+    return _expand_rounding(sql, "(rint(({x}) * {scale}) / {scale})")
 
 
 def _duck_text(sql: str) -> str:
-    return re.sub(r"round_half\((.+), (\d)\)", _duck_round, sql)
-
-
-def _duck_round(found: re.Match) -> str:
-    scale = 10 ** int(found.group(2))
-    return f"round_even(({found.group(1)}) * {scale}, 0) / {scale}"
+    return _expand_rounding(sql, "(round_even(({x}) * {scale}, 0) / {scale})")
 
 
 def spark_view(inputs, name: str) -> DataFrame:
