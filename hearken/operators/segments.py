@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -22,6 +24,8 @@ from hearken.functions.numeric import round_even
 from hearken.operators.cleaning import top_per_key
 from hearken.operators.ordered import exact_medians
 
+PARALLEL_FITS = 5
+
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
     """Fill NULL with the exact median of the column, as a model parameter in the expression."""
@@ -59,11 +63,17 @@ def distinct_vectors(df: DataFrame, features: list[str]) -> DataFrame:
 def best_kmeans(
     patterns: DataFrame, k: int, restarts: int = SEGMENT_RESTARTS, seed: int = SEGMENT_SEED
 ) -> KMeansModel:
-    """The restart of the lowest training cost."""
-    models = [
-        KMeans(k=k, seed=seed + i, featuresCol="x", weightCol="weight").fit(patterns)
-        for i in range(restarts)
-    ]
+    """The restart of the lowest training cost.
+
+    The restarts are independent Spark jobs, so a few of them are submitted side by side; a fit on
+    few patterns cannot keep a cluster busy alone.
+    """
+
+    def fit(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, featuresCol="x", weightCol="weight").fit(patterns)
+
+    with ThreadPool(PARALLEL_FITS) as pool:
+        models = pool.map(inheritable_thread_target(patterns.sparkSession)(fit), range(restarts))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
