@@ -114,6 +114,65 @@ VIEWS: dict[str, str] = {
         from {v_painpoints} p
         join (select run_id, sum(freq) as n from {v_painpoints} group by run_id) t
           on t.run_id = p.run_id""",
+    # bundles of one run each, some of them with one defect
+    "v_bundles": """
+        select run_id as bundle_id, substr(run_id, 1, 4) as grp, cast(substr(run_id, 5, 2) as int) as priority,
+               run_id as collect_run,
+               case when substr(run_id, 5, 2) = '02' then concat(run_id, 'x')
+                    when substr(run_id, 5, 2) = '03' then ' ' else run_id end as prep_run,
+               run_id as pp_run,
+               case when substr(run_id, 5, 2) = '05' then 'failed' else 'ok' end as status,
+               case when substr(run_id, 5, 2) = '06' then 'synthetic_demo' else 'google_play' end as collect_source,
+               case when substr(run_id, 5, 2) = '07' then 'other' else 'google_play' end as prep_source,
+               'google_play' as pp_source,
+               case when substr(run_id, 5, 2) = '08' then 'demo data' else null end as warning,
+               case when substr(run_id, 5, 2) = '09' then '' else 'app' end as app_id,
+               n_orders + case when substr(run_id, 5, 2) = '10' then 1 else 0 end as n_reviews
+        from {v_runs}""",
+    "v_bundle_files": """
+        select r.run_id as bundle_id, f.name
+        from {v_runs} r join (
+            select 'reviews_raw.csv' as name union all select 'reviews_clean.csv'
+            union all select 'painpoints.csv' union all select 'strengths.csv'
+            union all select 'metadata.json' union all select 'preprocess_meta.json'
+            union all select 'painpoints_meta.json') f
+          on length(f.name) % 13 <> cast(substr(r.run_id, 5, 2) as int)""",
+    "v_bundle_raw": """
+        select cast(year(o_orderdate) * 100 + month(o_orderdate) as string) as bundle_id,
+               o_orderkey as seq, o_orderpriority as review,
+               case when month(o_orderdate) = 1 then concat(o_orderpriority, '!')
+                    else o_orderpriority end as review_now,
+               case when o_orderkey % 997 = 0 then 'synthetic_demo' else 'google_play' end as source_type
+        from {orders}""",
+    "v_painpoint_cells": """
+        select run_id as bundle_id, topic,
+               cast(row_number() over (partition by run_id order by topic) as int) as row_no,
+               case when freq % 41 = 0 then '1.5' when freq % 43 = 0 then 'abc'
+                    else cast(freq as string) end as freq,
+               case when freq % 37 = 0 then '5.5' when freq % 53 = 0 then 'nan'
+                    else cast(avg_rating as string) end as avg_rating,
+               case when freq % 29 = 0 then cast(mention_all_neg + 0.2 as string)
+                    when freq % 47 = 0 then '-1' else cast(mention_all_neg as string) end as mention_all_pct,
+               case when freq % 59 = 0 then '100.5' else cast(mention_assigned as string) end as mention_assigned_pct,
+               case when freq % 31 = 0 then '  ' else topic end as rep_review
+        from {v_mart_painpoints}""",
+    "v_strength_cells": """
+        select source_type as bundle_id, seq, review as rep_review,
+               case when seq % 10 = 3 then 'x' else cast(rating as string) end as rating,
+               case when seq % 14 = 5 then '-1' when seq % 16 = 7 then '2.5'
+                    else cast(likes as string) end as likes,
+               case when source_type in ('src1', 'src2') then 'deep_learning'
+                    when source_type = 'src3' then 'guess' else 'rating_fallback' end as sentiment_method
+        from {v_reviews} where rating >= 2""",
+    "v_segment_manifests": """
+        select cast(c_nationkey as string) as bundle_id, count(*) as n_respondents,
+               case when c_nationkey % 5 = 0 then 'synthetic_demo' when c_nationkey % 7 = 3 then 'web'
+                    else 'survey' end as source_type,
+               case when c_nationkey % 4 = 1 then null else concat('h', cast(c_nationkey as string)) end as survey_hash,
+               case when c_nationkey % 6 = 2 then 'other' else concat('h', cast(c_nationkey as string)) end as actual_survey_hash,
+               concat('p', cast(c_nationkey as string)) as profile_hash,
+               case when c_nationkey % 9 = 4 then 'x' else concat('p', cast(c_nationkey as string)) end as actual_profile_hash
+        from {customer} group by c_nationkey""",
     # predicted answers per trial (order year) and the answers seen, per segment (order status)
     "v_predicted": """
         select cast(year(o_orderdate) as int) as trial, o_orderstatus as segment, o_orderpriority as category,
