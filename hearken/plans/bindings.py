@@ -130,13 +130,13 @@ VIEWS: dict[str, str] = {
                n_orders + case when substr(run_id, 5, 2) = '10' then 1 else 0 end as n_reviews
         from {v_runs}""",
     "v_bundle_files": """
-        select r.run_id as bundle_id, f.name
-        from {v_runs} r join (
-            select 'reviews_raw.csv' as name union all select 'reviews_clean.csv'
-            union all select 'painpoints.csv' union all select 'strengths.csv'
-            union all select 'metadata.json' union all select 'preprocess_meta.json'
-            union all select 'painpoints_meta.json') f
-          on length(f.name) % 13 <> cast(substr(r.run_id, 5, 2) as int)""",
+        select run_id as bundle_id, 'reviews_raw.csv' as name from {v_runs} where substr(run_id, 5, 2) <> '01'
+        union all select run_id as bundle_id, 'reviews_clean.csv' as name from {v_runs} where substr(run_id, 5, 2) <> '02'
+        union all select run_id as bundle_id, 'painpoints.csv' as name from {v_runs} where substr(run_id, 5, 2) <> '03'
+        union all select run_id as bundle_id, 'strengths.csv' as name from {v_runs} where substr(run_id, 5, 2) <> '04'
+        union all select run_id as bundle_id, 'metadata.json' as name from {v_runs} where substr(run_id, 5, 2) <> '05'
+        union all select run_id as bundle_id, 'preprocess_meta.json' as name from {v_runs} where substr(run_id, 5, 2) <> '06'
+        union all select run_id as bundle_id, 'painpoints_meta.json' as name from {v_runs} where substr(run_id, 5, 2) <> '07'""",
     "v_bundle_raw": """
         select cast(year(o_orderdate) * 100 + month(o_orderdate) as string) as bundle_id,
                o_orderkey as seq, o_orderpriority as review,
@@ -188,7 +188,7 @@ VIEWS: dict[str, str] = {
     "v_devices": """
         select distinct o.o_custkey as home_id, l.l_partkey as pos,
                concat('p', cast(l.l_partkey as string)) as device_ref,
-               lower(p.p_type) as device_type,
+               case when l.l_partkey % 50 = 0 then p.p_type else lower(p.p_type) end as device_type,
                replace(lower(p.p_brand), '#', '_') as cap1,
                concat('size_', cast(p.p_size % 5 as string)) as cap2
         from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey
@@ -199,7 +199,8 @@ VIEWS: dict[str, str] = {
         union all
         select d.home_id, d.device_ref,
                case when d.pos % 4 = 0 then 'odd_key' else d.cap2 end as setting_key,
-               concat('v', cast(d.pos % 9 as string)) as value
+               case when d.pos % 70 = 0 then repeat('v', 70)
+                    else concat('v', cast(d.pos % 9 as string)) end as value
         from {v_devices} d""",
     "v_actions": """
         select o.o_custkey as home_id, l.l_orderkey as routine_id,

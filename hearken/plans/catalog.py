@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearken.plans import models, quality, reviews, surveys, voices  # noqa: F401
+from hearken.plans import homes, models, quality, reviews, surveys, voices  # noqa: F401
 from hearken.plans.registry import ORACLES, QUERIES, Inputs
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
