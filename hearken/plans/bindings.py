@@ -190,7 +190,7 @@ VIEWS: dict[str, str] = {
                concat('p', cast(l.l_partkey as string)) as device_ref,
                case when l.l_partkey % 50 = 0 then p.p_type else lower(p.p_type) end as device_type,
                replace(lower(p.p_brand), '#', '_') as cap1,
-               concat('size_', cast(p.p_size % 5 as string)) as cap2
+               concat('size_', cast(p.p_size % 2 as string)) as cap2
         from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey
         join {part} p on p.p_partkey = l.l_partkey""",
     "v_settings": """
@@ -208,7 +208,7 @@ VIEWS: dict[str, str] = {
                concat(case when l.l_tax > 0.075 then 'ghost' else 'p' end,
                       cast(l.l_partkey as string)) as device_ref,
                case when l.l_discount > 0.095 then 'odd_key'
-                    else replace(lower(p.p_brand), '#', '_') end as setting_key,
+                    else concat('size_', cast(p.p_size % 2 as string)) end as setting_key,
                cast(cast(l.l_quantity as int) as string) as value
         from {lineitem} l join {orders} o on o.o_orderkey = l.l_orderkey
         join {part} p on p.p_partkey = l.l_partkey""",
