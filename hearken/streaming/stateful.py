@@ -108,7 +108,8 @@ class CollectFrames(StatefulProcessor):
     """Gathers the frames of a message; emits it when the announced number has arrived.
 
     The buffer never holds more than MAX_FRAMES frames: a message that breaks a rule is rejected on
-    the spot and its buffer dropped. An incomplete message stays silent until it times out.
+    the spot and its buffer dropped. A message that is still incomplete when the watermark has
+    passed its first frame by `wait_ms` is rejected then.
     """
 
     def __init__(self, wait_ms: int):
@@ -121,10 +122,11 @@ class CollectFrames(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         n, total, outcome = self.seen.get() if self.seen.exists() else (0, None, None)
+        batch = in_order(rows, ["seq_no"])
         if n == 0:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+            self.handle.registerTimer(int(batch["ts"].min().timestamp() * 1000) + self.wait_ms)
         if outcome is None:
-            for row in in_order(rows, ["seq_no"]).itertuples():
+            for row in batch.itertuples():
                 n += 1
                 outcome = self.reason(row, n, total)
                 if outcome:
@@ -172,9 +174,11 @@ class CollectFrames(StatefulProcessor):
         pass
 
 
-def reassemble(frames: DataFrame, wait_ms: int = 60_000) -> DataFrame:
-    return frames.groupBy("msg_id").transformWithStateInPandas(
-        CollectFrames(wait_ms), FRAME_SCHEMA, outputMode="append", timeMode="processingTime"
+def reassemble(frames: DataFrame, delay: str = "1 minute", wait_ms: int = 60_000) -> DataFrame:
+    """Messages from a stream of frames that carry their arrival time in `ts`."""
+    timed = frames.withWatermark("ts", delay)
+    return timed.groupBy("msg_id").transformWithStateInPandas(
+        CollectFrames(wait_ms), FRAME_SCHEMA, outputMode="append", timeMode="eventTime"
     )
 
 
