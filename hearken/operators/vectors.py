@@ -20,9 +20,9 @@ def doc_terms(df: DataFrame, content: str = "tokens", pairs: bool = True) -> Dat
     and everything later that works per document then stays in place, and the exploded rows are
     never shuffled.
     """
-    run = text.words(F.col(content))
-    terms = text.one_and_two_grams(run) if pairs else run
-    placed = df.select("seq", F.col(content)).repartition("seq")
+    # words are found before the shuffle, so that the regular expression runs once per document
+    placed = df.select("seq", text.words(F.col(content)).alias("run")).repartition("seq")
+    terms = text.one_and_two_grams(F.col("run")) if pairs else F.col("run")
     return (
         placed.select("seq", F.explode(terms).alias("term"))
         .groupBy("seq", "term")

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearken.plans import commands, homes, models, quality, reviews, surveys, voices  # noqa: F401
+from hearken.plans import (  # noqa: F401
+    commands,
+    homes,
+    landed,
+    models,
+    quality,
+    reviews,
+    surveys,
+    voices,
+)
 from hearken.plans.registry import ORACLES, QUERIES, Inputs
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
