@@ -28,6 +28,17 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[str | Column], n: in
     return df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def long_enough(df: DataFrame, min_length: int = MIN_REVIEW_LENGTH) -> DataFrame:
+    """Rows with cleaned text of a minimum length.
+
+    Cleaning whole texts is the expensive step. Filters are not pushed below a generated column,
+    so the text is cleaned once and not again for every filter on it.
+    """
+    others = [c for c in df.columns if c != "review"]
+    once = F.explode(F.array(text.clean_text(F.col("review")))).alias("review")
+    return df.select(*others, once).filter(F.length("review") >= min_length)
+
+
 def clean_reviews(
     df: DataFrame,
     stopwords: Iterable[str] = STOPWORDS,
@@ -35,12 +46,10 @@ def clean_reviews(
 ) -> DataFrame:
     """Clean text, drop short and repeated reviews, keep rows that still have tokens.
 
-    The length filter runs before the shuffle of the deduplication, the token filter after it:
-    a repeated review is judged by its first copy.
+    The length filter runs before the shuffle of the deduplication. Equal texts have equal tokens,
+    so the optimizer may run the token filter before it as well.
     """
-    cleaned = df.withColumn("review", text.clean_text(F.col("review")))
-    long_enough = cleaned.filter(F.length("review") >= min_length)
-    unique = first_per_key(long_enough, ["review"], ["seq"])
+    unique = first_per_key(long_enough(df, min_length), ["review"], ["seq"])
     return unique.withColumn("tokens", text.tokens(F.col("review"), stopwords)).filter(
         F.size("tokens") > 0
     )

@@ -14,11 +14,35 @@ KEY = "^[a-z0-9][a-z0-9_]{0,31}$"
 
 
 def devices(t: Inputs):
+    """Device registry of the fleet; a stored table in practice, so it is written once per query."""
+    return t.once("devices", build_devices)
+
+
+def build_devices(t: Inputs):
     return t.v_devices.select(
         "home_id", "pos", "device_ref", "device_type", F.array("cap1", "cap2").alias("capabilities")
     )
 
 
+def actions(t: Inputs):
+    """Routine actions of the fleet; a stored table as well."""
+    return t.once("actions", lambda i: i.v_actions)
+
+
+def settings(t: Inputs):
+    """The two settings of every device, from the same registry (see v_settings)."""
+    first = F.struct(
+        F.col("capabilities")[0].alias("setting_key"), (F.col("pos") % 40).cast("string").alias("value")
+    )
+    odd = F.when(F.col("pos") % 4 == 0, "odd_key").otherwise(F.col("capabilities")[1])
+    text = F.when(F.col("pos") % 70 == 0, F.repeat(F.lit("v"), 70)).otherwise(
+        F.concat(F.lit("v"), (F.col("pos") % 9).cast("string"))
+    )
+    second = F.struct(odd.alias("setting_key"), text.alias("value"))
+    rows = devices(t).select("home_id", "device_ref", F.explode(F.array(first, second)).alias("s"))
+    return rows.select("home_id", "device_ref", "s.*")
+
+
 def violation_sql(source: str, rules: dict[str, str], item: str) -> str:
     return " union all ".join(
         f"select home_id, cast({item} as varchar) as item, '{code}' as rule from {source} where {bad}"
@@ -75,7 +99,7 @@ VIOLATIONS = (
 
 @query("profile_violations", VIOLATIONS)
 def _(t: Inputs):
-    return fleet.violations(devices(t), t.v_settings, t.v_actions)
+    return fleet.violations(devices(t), settings(t), actions(t))
 
 
 @query(
@@ -84,7 +108,7 @@ def _(t: Inputs):
        where not exists (select 1 from v_devices d where d.home_id = a.home_id and d.device_ref = a.device_ref)""",
 )
 def _(t: Inputs):
-    return fleet.ghosts(t.v_actions, devices(t)).select("home_id", "routine_id", "device_ref")
+    return fleet.ghosts(actions(t), devices(t)).select("home_id", "routine_id", "device_ref")
 
 
 @query(
@@ -112,7 +136,7 @@ def _(t: Inputs):
        from k join ok on ok.home_id = k.home_id and ok.routine_id = k.routine_id group by 1, 2, 3""",
 )
 def _(t: Inputs):
-    return fleet.routine_commands(t.v_actions, devices(t))
+    return fleet.routine_commands(actions(t), devices(t))
 
 
 LETTER = r"[\p{L}\p{N}_"
@@ -209,8 +233,8 @@ rec as (select ok.home_id, 'meta' as name, '{"schema_version":"1.0.0","reserved_
 
 def records(t: Inputs):
     d = devices(t)
-    homes = fleet.within_limits(d, t.v_actions, t.v_settings)
-    return store.split(homes, d, t.v_settings, t.v_actions)
+    homes = fleet.within_limits(d, actions(t), settings(t))
+    return store.split(homes, d, settings(t), actions(t))
 
 
 @query("chunk_split", f"with {RECORDS} select home_id, name, payload from rec")
@@ -272,12 +296,12 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     d = devices(t)
-    homes = fleet.within_limits(d, t.v_actions, t.v_settings)
+    homes = fleet.within_limits(d, actions(t), settings(t))
     kept = homes.select("home_id")
     parts = store.device_records(
-        d.join(kept, "home_id", "left_semi"), t.v_settings.join(kept, "home_id", "left_semi")
+        d.join(kept, "home_id", "left_semi"), settings(t).join(kept, "home_id", "left_semi")
     )
-    return store.size_report(store.split(homes, d, t.v_settings, t.v_actions), parts)
+    return store.size_report(store.split(homes, d, settings(t), actions(t)), parts)
 
 
 # the stored names of a fleet: one record per device, meta from the same devices
@@ -289,6 +313,10 @@ stored as (select home_id, 'device:' || device_ref as name from v_devices
 
 
 def stored(t: Inputs):
+    return t.once("stored", build_stored)
+
+
+def build_stored(t: Inputs):
     """Names and payloads; routine records are not in any meta, and large homes have no meta."""
     d = devices(t)
     sized = d.groupBy("home_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= 30)
@@ -300,7 +328,7 @@ def stored(t: Inputs):
         F.to_json(F.struct("device_refs", F.lit(0).alias("routine_count"))).alias("payload"),
     )
     device = d.select("home_id", F.concat(F.lit("device:"), "device_ref").alias("name"), F.lit("{}").alias("payload"))
-    routine = t.v_actions.select(
+    routine = actions(t).select(
         "home_id",
         F.concat(F.lit("routine:"), F.col("routine_id").cast("string")).alias("name"),
         F.lit("{}").alias("payload"),
@@ -324,6 +352,10 @@ REQUESTS = """req as (select o_custkey as home_id, 'device:' || 'p' || l_partkey
 
 
 def requests(t: Inputs):
+    return t.once("requests", build_requests)
+
+
+def build_requests(t: Inputs):
     lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     named = lines.filter(F.col("l_tax") < 0.075).select(
         F.col("o_custkey").alias("home_id"),
@@ -416,13 +448,13 @@ def _(t: Inputs):
 @query("crosswalk_settings", f"with {CROSSWALK} select home_id, device_ref, setting_key, new_ref, reason from sm")
 def _(t: Inputs):
     _homes, matches = moved(t)
-    return crosswalk.map_settings(t.v_settings, matches).drop("value")
+    return crosswalk.map_settings(settings(t), matches).drop("value")
 
 
 @query("crosswalk_routines", f"with {CROSSWALK} select home_id, routine_id, reason from rm")
 def _(t: Inputs):
     homes, matches = moved(t)
-    return crosswalk.map_routines(t.v_actions, matches, homes)
+    return crosswalk.map_routines(actions(t), matches, homes)
 
 
 @query(
@@ -433,8 +465,8 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     homes, matches = moved(t)
-    routines = crosswalk.map_routines(t.v_actions, matches, homes)
-    kept = crosswalk.remapped_actions(t.v_actions, matches, routines)
+    routines = crosswalk.map_routines(actions(t), matches, homes)
+    kept = crosswalk.remapped_actions(actions(t), matches, routines)
     return kept.select("home_id", "routine_id", "device_ref", "setting_key", "value", "new_ref")
 
 
@@ -457,5 +489,5 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     homes, matches = moved(t)
-    settings = crosswalk.map_settings(t.v_settings, matches)
-    return crosswalk.report(matches, settings, crosswalk.map_routines(t.v_actions, matches, homes))
+    mapped = crosswalk.map_settings(settings(t), matches)
+    return crosswalk.report(matches, mapped, crosswalk.map_routines(actions(t), matches, homes))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearken.functions import hashing, text
 from hearken.functions.numeric import to_number, to_whole
 from hearken.operators import gate, mart
-from hearken.operators.cleaning import first_per_key
+from hearken.operators.cleaning import first_per_key, long_enough
 from hearken.plans import reviews
 from hearken.plans.registry import Inputs, query
 from hearken.session import scratch_dir
@@ -227,8 +227,7 @@ def _(t: Inputs):
     ),
 )
 def _(t: Inputs):
-    cleaned = t.v_reviews.withColumn("review", text.clean_text(F.col("review")))
-    unique = first_per_key(cleaned.filter(F.length("review") >= 5), ["review"], ["seq"])
+    unique = first_per_key(long_enough(t.v_reviews), ["review"], ["seq"])
     has_tokens = F.size(text.tokens(F.col("review"), reviews.STOP)) > 0
     negative = has_tokens & (F.col("rating") <= 3)
     counts = unique.groupBy(F.col("source_type").alias("bundle_id")).agg(

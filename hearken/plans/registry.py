@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearken.plans import bindings
+from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,13 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build: Callable[[Inputs], DataFrame]) -> DataFrame:
+        """A table several parts of one query read: built and written on first use."""
+        if name not in self._written:
+            self._written[name] = materialize(build(self), name)
+        return self._written[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in bindings.VIEWS:

@@ -105,8 +105,7 @@ def _(t: Inputs):
 
 @query("dedup_first", f"with {CLEAN_CTES} select seq, review, rating from uniq")
 def _(t: Inputs):
-    cleaned = t.v_reviews.withColumn("review", text.clean_text(F.col("review")))
-    kept = cleaned.filter(F.length("review") >= 5)
+    kept = cleaning.long_enough(t.v_reviews)
     return cleaning.first_per_key(kept, ["review"], ["seq"]).select("seq", "review", "rating")
 
 
@@ -125,8 +124,7 @@ def _(t: Inputs):
     f"with {CLEAN_CTES} select seq, array_to_string(tokens, ' ') as tokens from toks",
 )
 def _(t: Inputs):
-    cleaned = t.v_reviews.withColumn("review", text.clean_text(F.col("review")))
-    unique = cleaning.first_per_key(cleaned.filter(F.length("review") >= 5), ["review"], ["seq"])
+    unique = cleaning.first_per_key(cleaning.long_enough(t.v_reviews), ["review"], ["seq"])
     return unique.select("seq", F.array_join(text.tokens(F.col("review"), STOP), " ").alias("tokens"))
 
 
