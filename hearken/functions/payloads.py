@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import COMMAND_BUDGET, COMMAND_VERSION
 
-# What may follow a JSON object that is complete: white space only.
-BOM = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def as_text(payload: Column) -> Column:
     """UTF-8 bytes to text without a leading byte-order mark; broken bytes give NULL."""
     text = F.when(F.is_valid_utf8(payload), payload)
-    return F.regexp_replace(text, "^﻿", "")
+    return F.regexp_replace(text, "^" + BYTE_ORDER_MARK, "")
 
 
 def trailing_text(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,12 +43,12 @@ def table_path(base: str, table: str) -> str:
 
 def read(spark: SparkSession, base: str, table: str) -> DataFrame:
     """A mart table; one that was never loaded is empty."""
-    frame = spark.createDataFrame([], MART[table])
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(base, table))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return frame
-    return spark.read.schema(MART[table]).parquet(table_path(base, table))
+    try:
+        return spark.read.schema(MART[table]).parquet(table_path(base, table))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MART[table])
 
 
 def load(spark: SparkSession, base: str, runs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from hearken.functions import privacy
 from hearken.operators import crosswalk, fleet, store
 from hearken.plans.registry import Inputs, query
 from hearken.session import materialize
+from hearken.sources import profiles
 
 TOKEN = "^[a-z0-9][a-z0-9_-]{0,31}$"
 KEY = "^[a-z0-9][a-z0-9_]{0,31}$"
@@ -491,3 +492,47 @@ def _(t: Inputs):
     homes, matches = moved(t)
     mapped = crosswalk.map_settings(settings(t), matches)
     return crosswalk.report(matches, mapped, crosswalk.map_routines(actions(t), matches, homes))
+
+
+# --- landed profiles -------------------------------------------------------------------------
+
+
+def landed_profiles(t: Inputs):
+    """Whole profiles as JSON text, put together from the records of the homes."""
+    return t.once("profiles", lambda i: store.merge(i.once("records", records))).select(
+        "home_id", F.col("profile").alias("payload")
+    )
+
+
+@query("src_profile_settings", f"with {RECORDS} select home_id, device_ref, setting_key, value from v_settings where home_id in (select home_id from ok)")
+def _(t: Inputs):
+    return profiles.settings(profiles.accepted(landed_profiles(t)))
+
+
+@query(
+    "src_profile_actions",
+    f"""with {RECORDS} select home_id, row_number() over (partition by home_id order by routine_id) - 1 as routine_id, n as n_actions
+        from (select home_id, routine_id, count(*) as n from v_actions
+              where home_id in (select home_id from ok) group by 1, 2)""",
+)
+def _(t: Inputs):
+    steps = profiles.actions(profiles.accepted(landed_profiles(t)))
+    return steps.groupBy("home_id", "routine_id").agg(F.count(F.lit(1)).alias("n_actions"))
+
+
+@query(
+    "profile_payload_audit",
+    f"""with {RECORDS} select home_id, case home_id % 5 when 0 then 'accepted' when 1 then 'version'
+        when 2 then 'unknown_key' when 3 then 'trailing_text' else 'reserved_not_empty' end as outcome from ok""",
+)
+def _(t: Inputs):
+    p = F.col("payload")
+    kind = F.col("home_id") % 5
+    damaged = (
+        F.when(kind == 1, F.regexp_replace(p, '"1.0.0"', '"9.0.0"'))
+        .when(kind == 2, F.regexp_replace(p, '"routines":', '"x":1,"routines":'))
+        .when(kind == 3, F.concat(p, F.lit("}")))
+        .when(kind == 4, F.regexp_replace(p, r'"reserved_wellness":\{\}', '"reserved_wellness":{"a":1}'))
+        .otherwise(p)
+    )
+    return landed_profiles(t).select("home_id", profiles.profile_reason(damaged).alias("outcome"))
