@@ -198,7 +198,6 @@ MAX_TRIGGER_PARAMS = 5
 RECORD_BUDGET = 4096
 STORE_BUDGET = 131072
 FRAME_MTU = 20
-FRAME_HEADER = 2
 MAX_FRAMES = 255
 COMMAND_VERSION = 1
 COMMAND_BUDGET = 1024

@@ -21,11 +21,6 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return round_even(ratio * F.lit(100.0), digits)
 
 
-def exact(value: Column, scale: int = 6) -> Column:
-    """A decimal copy, so that sums do not depend on the order of rows."""
-    return value.cast(f"decimal(38,{scale})")
-
-
 def to_number(cell: Column) -> Column:
     """Text or number to a finite double, anything else to NULL."""
     text = cell.cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import SCORE_MIX, SCORE_WEIGHTS
-from hearken.functions.numeric import round_even
+from hearken.functions.numeric import round_even, to_number
 
 
 def holdout_distribution(members: DataFrame, answer: str, segment: str = "segment") -> DataFrame:
@@ -33,6 +33,29 @@ def shares(df: DataFrame, by: str) -> DataFrame:
     return counted.withColumn("share_pct", round_even(F.col("n") / total * F.lit(100.0), 1))
 
 
+def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distribution") -> DataFrame:
+    """The distribution a free-text answer contains, as a map over the scale that adds up to one.
+
+    The JSON is the span from the first to the last brace, or its `distribution` member. Categories
+    the answer leaves out are 0. No JSON, a value that is no number, a negative value or no mass at
+    all gives NULL.
+    """
+    span = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
+    inner = F.coalesce(F.get_json_object(span, "$.distribution"), span)
+    cells = F.from_json(inner, "map<string,string>")
+
+    def share(category) -> Column:
+        cell = F.try_element_at(cells, F.lit(str(category)))
+        return F.when(cell.isNull() & cells.isNotNull(), F.lit(0.0)).otherwise(to_number(cell))
+
+    values = F.array(*[share(c) for c in scale])
+    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    sound = (F.array_size(F.array_compact(values)) == len(scale)) & (F.array_min(values) >= 0) & (total > 0)
+    names = F.array(*[F.lit(str(c)) for c in scale])
+    scaled = F.map_from_arrays(names, F.transform(values, lambda v: v / total))
+    return df.withColumn(out, F.when(F.coalesce(sound, F.lit(False)), scaled))
+
+
 def normalized(dist: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
     """Weights scaled to one per key; a key with a negative weight or no mass is invalid and dropped."""
     per_key = Window.partitionBy(*keys)

@@ -420,7 +420,6 @@ def _(t: Inputs):
     return mart.head_rows(rows, ["run_id", "topic"], 12)
 
 
-STATUS = {"O": "success", "F": "failed", "P": "skipped"}
 AGENT_SQL = """select o_orderkey as run_id, '{"A":"' || case o_orderstatus when 'O' then 'success'
     when 'F' then 'failed' else 'skipped' end || '","B":"' || case when o_totalprice > 200000
     then 'success' else 'not_run' end || '","C":"success"}' as agent_results from orders"""

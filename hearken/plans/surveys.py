@@ -331,6 +331,25 @@ def _(t: Inputs):
     return scoring.fidelity_summary(scored, "segment")
 
 
+@query(
+    "parse_distribution",
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       round_half(l_quantity / (l_quantity + l_linenumber), 6) as p1,
+       round_half(l_linenumber / (l_quantity + l_linenumber), 6) as p2, cast(0 as double) as p3 from lineitem""",
+)
+def _(t: Inputs):
+    text = F.concat(
+        F.lit('I would say {"distribution": {"1": '), F.col("l_quantity").cast("string"),
+        F.lit(', "2": '), F.col("l_linenumber").cast("string"), F.lit("}} overall"),
+    )
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    answered = t.lineitem.select(*keys, text.alias("answer"))
+    parsed = scoring.parsed_answers(answered, "answer", (1, 2, 3))
+    return parsed.select(
+        *keys, *[round_even(F.col("distribution")[str(i)], 6).alias(f"p{i}") for i in (1, 2, 3)]
+    )
+
+
 CHECKS = """select cast(year(o_orderdate) as varchar) as run_id,
     case when l_linenumber <= 5 then 'B' else 'E' end as agent,
     case l_linenumber when 1 then 'quotes' when 2 then 'figures' when 3 then 'gate' when 4 then 'sources'

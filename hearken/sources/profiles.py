@@ -12,6 +12,7 @@ from hearken.functions.fixed_values import (
     ACTION_KEYS,
     DEVICE_KEYS,
     MAX_INT_DIGITS,
+    MAX_TRIGGER_PARAMS,
     PROFILE_KEYS,
     ROUTINE_KEYS,
     SCHEMA_VERSION,
@@ -118,6 +119,9 @@ def shape_violations(profiles: DataFrame) -> DataFrame:
     trigger = routine.withColumn("body", F.get_json_object("body", "$.trigger"))
     steps = routine.select("home_id", "pos", F.get_json_object("body", "$.actions").alias("steps"))
     action = elements(steps, F.col("steps"), "step")
+    crowded = trigger.filter(
+        F.size(keys_of(F.get_json_object("body", "$.params"))) > MAX_TRIGGER_PARAMS
+    ).select("home_id", F.col("pos").cast("string").alias("item"), F.lit("trigger_param_count").alias("rule"))
     empty = steps.filter(F.coalesce(F.json_array_length("steps"), F.lit(0)) == 0).select(
         "home_id", F.col("pos").cast("string").alias("item"), F.lit("actions_empty").alias("rule")
     )
@@ -145,5 +149,6 @@ def shape_violations(profiles: DataFrame) -> DataFrame:
         .unionByName(check(trigger.filter("body is not null"), "trigger", F.col("pos"), TRIGGER_KEYS, TRIGGER_KEYS[:1]))
         .unionByName(check(action, "action", step, ACTION_KEYS, ACTION_KEYS))
         .unionByName(empty)
+        .unionByName(crowded)
         .unionByName(setting)
     )
