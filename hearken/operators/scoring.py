@@ -42,18 +42,24 @@ def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distrib
     """
     span = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
     inner = F.coalesce(F.get_json_object(span, "$.distribution"), span)
-    cells = F.from_json(inner, "map<string,string>")
+    cells = F.col("_cells")
 
     def share(category) -> Column:
         cell = F.try_element_at(cells, F.lit(str(category)))
         return F.when(cell.isNull() & cells.isNotNull(), F.lit(0.0)).otherwise(to_number(cell))
 
-    values = F.array(*[share(c) for c in scale])
+    values = F.col("_values")
     total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
     sound = (F.array_size(F.array_compact(values)) == len(scale)) & (F.array_min(values) >= 0) & (total > 0)
     names = F.array(*[F.lit(str(c)) for c in scale])
     scaled = F.map_from_arrays(names, F.transform(values, lambda v: v / total))
-    return df.withColumn(out, F.when(F.coalesce(sound, F.lit(False)), scaled))
+    # one column per step, so that no answer is parsed twice
+    return (
+        df.withColumn("_cells", F.from_json(inner, "map<string,string>"))
+        .withColumn("_values", F.array(*[share(c) for c in scale]))
+        .withColumn(out, F.when(F.coalesce(sound, F.lit(False)), scaled))
+        .drop("_cells", "_values")
+    )
 
 
 def normalized(dist: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
