@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearken.llm import simhash
+from hearken.llm import lines, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +30,28 @@ def query(name: str, sql: str | None = None):
 @query("op3_simhash_golay")
 def simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+LINE_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LINE_DEDUP_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), keyed AS (
+  SELECT doc_id, line, no, {LINE_KEY} AS key FROM lines
+), firsts AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), judged AS (
+  SELECT k.doc_id, k.line, k.no, f.key IS NOT NULL AND k.doc_id > f.first AS gone FROM keyed k LEFT JOIN firsts f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op10_line_dedup", LINE_DEDUP_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
