@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import lines, simhash, urls, warc
+from hearken.llm import langid, lines, quality, simhash, urls, warc
+from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +106,20 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM spl
 def url_digests(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, folder, "pages").select("page_id", "url"), rules)
+
+
+@query("op5_language_cnn")
+def language_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    stats = materialize(quality.with_statistics(table(spark, folder, "documents")), "statistics")
+    labels = table(spark, folder, "labels").filter(~langid.held_out()).select("doc_id", F.col("quality").alias("label"))
+    rules = quality.fit(materialize(stats.join(labels, "doc_id").select("stats", "label"), "labelled"))
+    scored = stats.select("doc_id", langid.held_out().alias("held_out"), quality.score(rules, F.col("stats")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -19,7 +19,7 @@ are judged each for itself.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +41,23 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return (found[1].translate(LOWER), found[2]) if found else ("", "")
 
 
-def probes(host: str, path: str, lengths: list[int]) -> Iterator[tuple[str, int]]:
+def probes(host: str, path: str, lengths: list[int]) -> list[tuple[str, int]]:
     """(rule string, size of its host), longest first, for all rules that could fit."""
     labels = host.split(".")
     hosts = [".".join(labels[i:]) for i in range(len(labels))] if host else []
     found = [(h + path[:n], len(h)) for h in hosts for n in lengths if n <= len(path)]
-    return iter(sorted(found, key=lambda x: (-len(x[0]), -x[1])))
+    return sorted(found, key=lambda x: (-len(x[0]), -x[1]))
 
 
 class DigestList:
     """Sorted digests, whole rule strings and verdicts, mapped from files."""
 
-    def __init__(self, folder: str):
-        self.digests = np.load(f"{folder}/digests.npy", mmap_mode="r")
-        self.ends = np.load(f"{folder}/ends.npy", mmap_mode="r")
-        self.strings = np.load(f"{folder}/strings.npy", mmap_mode="r")
-        self.verdicts = np.load(f"{folder}/verdicts.npy", mmap_mode="r")
-        self.lengths = np.load(f"{folder}/lengths.npy").tolist()
+    def __init__(self, place: Callable[[str], str]):
+        """`place` names the file of a part."""
+        self.digests, self.ends, self.strings, self.verdicts = (
+            np.load(place(part), mmap_mode="r") for part in ("digests", "ends", "strings", "verdicts")
+        )
+        self.lengths = np.load(place("lengths")).tolist()
 
     @staticmethod
     def arrays(rules: list[tuple[str, str, str]]) -> dict[str, np.ndarray]:
@@ -105,7 +105,7 @@ class DigestList:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_rules: int = MAX_RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for pages (page_id, url) by rules (host, path, verdict)."""
     rules = rules.filter("host is not null and path is not null").select("host", "path", "verdict")
-    if rules.count() > max_rules:
+    if not 0 < rules.count() <= max_rules:
         return judge_by_join(pages, rules, default)
     spark = pages.sparkSession
     base = scratch_dir(spark, "digests")
@@ -114,12 +114,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", max_rules:
     store.create_dir(top, recursive=True)
     listed = rules.toArrow().to_pylist()
     for part, values in DigestList.arrays([(r["host"], r["path"], r["verdict"]) for r in listed]).items():
-        with store.open_output_stream(f"{top}/{part}.npy", compression=None) as out:
+        with store.open_output_stream(f"{top}/{name}-{part}.npy", compression=None) as out:
             np.save(out, values)
-    spark.sparkContext.addFile(base, recursive=True)
+        spark.sparkContext.addFile(f"{base}/{name}-{part}.npy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = DigestList(SparkFiles.get(name))
+        known = DigestList(lambda part: SparkFiles.get(f"{name}-{part}.npy"))
         for batch in batches:
             pairs = [host_and_path(u) for u in batch.column(1).to_pylist()]
             judged = known.judge(pairs)
