@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import langid, lines, quality, simhash, urls, warc
+from hearken.llm import decontam, langid, lines, quality, simhash, urls, warc
 from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = quality.fit(materialize(stats.join(labels, "doc_id").select("stats", "label"), "labelled"))
     scored = stats.select("doc_id", langid.held_out().alias("held_out"), quality.score(rules, F.col("stats")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op6_cgk_decontamination")
+def cgk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
