@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontam, langid, lines, quality, simhash, urls, warc
+from hearken.llm import decontam, langid, licenses, lines, pivots, quality, simhash, urls, warc
 from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,65 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_cgk_decontamination")
 def cgk_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+PIVOT_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(id, node) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach JOIN links ON node = a
+), component AS (
+  SELECT id AS vec_id, min(node) AS component_id FROM reach GROUP BY id
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+
+@query("op4_pivot_range_join", PIVOT_SQL)
+def pivot_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def license_sql() -> str:
+    """Every rule is one step: it is looked for in what the rules before it have left."""
+
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    ids, ordered = licenses.table_of(licenses.RULES)
+    steps = "bars"
+    found = []
+    for licence, seq in ordered:
+        seq = text(seq.replace("|", "||")[1:-1])
+        found.append(f"CASE WHEN contains({steps}, {seq}) THEN {text(licence)} END")
+        steps = f"replace({steps}, {seq}, '#')"
+    known = ", ".join(f"({text(s)}, {text(i)})" for s, i in ids.items())
+    marks = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    return f"""
+WITH known(sentence, sid) AS (VALUES {known}), cut AS (
+  SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?;:])[' || {marks} || ']+', chr(92) || '1' || chr(10), 'g'), '[' || chr(10) || chr(13) || ']+') AS raw
+  FROM documents
+), spread AS (
+  SELECT doc_id, unnest(raw) AS sentence, unnest(range(len(raw))) AS pos FROM cut
+), hits AS (
+  SELECT doc_id, pos, sid FROM (
+    SELECT doc_id, pos, trim(regexp_replace(translate(sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS sentence
+    FROM spread) JOIN known USING (sentence)
+), per_text AS (
+  SELECT doc_id, string_agg(sid, ' ' ORDER BY pos) AS sentences, string_agg('|' || sid || '|', '' ORDER BY pos) AS bars FROM hits GROUP BY doc_id
+), judged AS (
+  SELECT doc_id, sentences, list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS found FROM per_text
+)
+SELECT doc_id, coalesce(sentences, '') AS sentences,
+  coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ' '), '') AS licenses
+FROM documents LEFT JOIN judged USING (doc_id)
+"""
+
+
+@query("op2_license_sentences", license_sql())
+def license_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
