@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontam, langid, licenses, lines, pivots, quality, simhash, urls, warc
+from hearken.llm import decontam, langid, licenses, lines, pieces, pivots, quality, simhash, urls, warc
 from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,9 @@ FROM documents LEFT JOIN judged USING (doc_id)
 @query("op2_license_sentences", license_sql())
 def license_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op7_piece_scan")
+def piece_scan(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = pieces.round_trip(table(spark, folder, "documents").select("doc_id", "text"))
+    return encoded.select("doc_id", "n_ids", "ids", "round_trip")
