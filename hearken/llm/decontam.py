@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.batches import small_batches
 from hearken.session import materialize
 
 SIMILARITY = 0.8
@@ -40,7 +41,7 @@ SAMPLES = 5
 BITS = 4  # steps in a key
 MAX_ITEMS = 20_000
 MAX_INDEX_WORDS = 2_000_000  # of all items of a block
-PIECE = 4 << 20  # characters of text handled at once
+PIECE = 1 << 20  # characters of text handled at once
 BLOCK = 1 << 14  # windows walked at once
 FILTER_BITS = 22
 
@@ -254,7 +255,7 @@ def contaminations(
     max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """(doc id, item id, distance, item_words, similarity), one row per document and item it contains."""
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kinds = plain.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, distance int, item_words int"
     found = None

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hearken.llm.batches import small_batches
+
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -71,7 +73,7 @@ def training_windows(docs: DataFrame, docs_per_lang: int, windows_per_doc: int)
                         data.append(found[at].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["lang", "data"])
 
-    known = docs.filter("text is not null and lang is not null")
+    known = small_batches(docs).filter("text is not null and lang is not null")
     spot = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) / (1 << 30)  # between 0 and 1, by the whole row
     share = known.groupBy("lang").agg((F.lit(docs_per_lang * 1.5) / F.count("*")).alias("share"))
     few = known.select("text", "lang", spot.alias("spot")).join(share, "lang").filter("spot < share")
@@ -236,11 +238,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tables = _tables_for(key)
         for batch in batches:
-            judged = judge((t.as_py() for t in batch.column(0)), own, tables)
+            judged = judge((t.as_py() for t in batch.column(place)), own, tables)
             columns = [pa.array([x for x, _ in judged], pa.string()), pa.array([x for _, x in judged], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], [*batch.schema.names[1:], lang_col, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, lang_col, score_col])
 
     rest = [c for c in docs.columns if c not in (lang_col, score_col)]
-    picked = docs.select(F.col(text_col).cast("string").alias("_judged_text"), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:])
+    place = rest.index(text_col)
+    picked = small_batches(docs).select(rest)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema)
     return picked.mapInArrow(run, f"{schema}, {lang_col} string, {score_col} double")

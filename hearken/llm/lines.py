@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.batches import small_batches
 from hearken.session import materialize
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -40,7 +41,7 @@ PROBES = 3
 SHARD_KEYS = 1 << 22  # hashes a shard sees on average
 TWICE_KEYS = 1 << 22  # hashes in one part of the twice-seen filter
 BROADCAST_BYTES = 64 << 20  # of the twice-seen filter
-SLAB = 4 << 20  # characters of text handled at once
+SLAB = 4 << 20  # bytes of text handled at once
 
 
 def line_table(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -59,13 +60,13 @@ def hashes(keys: pa.Array) -> np.ndarray:
     return np.fromiter(map(digest, keys.cast(pa.large_binary()).to_pylist()), np.uint64, len(keys))
 
 
-def slabs(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLAB characters, so that one batch of long texts does not fill the memory."""
+def slabs(batch: pa.RecordBatch, column: int, size: int = SLAB) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `size` bytes of text, so that one batch of long texts does not fill the memory."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, base + SLAB, "right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, base + size, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -224,7 +225,7 @@ def dedup(
 ) -> DataFrame:
     """`docs` with the repeated lines dropped from the text, and the columns n_lines and n_dropped."""
     tag = F.xxhash64(text_col)
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), tag.alias("tag"))
+    plain = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), tag.alias("tag"))
     marked = materialize(marked_lines(plain.filter("id is not null"), min_chars, broadcast_bytes), "lines")
     firsts = marked.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     later = marked.join(firsts.select("key", "first"), "key").filter("id > first")

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.batches import small_batches
+from hearken.llm.lines import slabs
 from hearken.session import materialize
 
 MODEL = "piece_bpe_32k.model"
@@ -42,8 +44,10 @@ SPACE = "▁"
 CHUNK = 16_384  # characters
 GROUP = 256  # chunks whose matrices one task multiplies
 NEVER = -np.inf
+START = re.compile(f"(?<!{SPACE}){SPACE}")
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 1 << 18  # words remembered by a worker
+CACHE = 1 << 17  # words remembered by a worker
+GIANT = 4 * CHUNK  # longer texts are cut
 SLAB = 1 << 20  # characters whose words are merged at once
 
 
@@ -270,8 +274,11 @@ class Chunk:
         self.voc, self.text, self.low, self.high = voc, text, low, high
         self.left: list[State] = [(low, low, -1)] if first else states_at(voc, text, low)
         self.right: list[State] = [(high, high, -1)] if last else states_at(voc, text, high)
-        starts = [m.start() for m in re.finditer(f"(?<!{SPACE}){SPACE}", text) if low < m.start() < high]
-        self.starts = [low, *starts] if first and high > low else starts
+        head = low if first and high > low else next((m.start() for m in START.finditer(text, low + 1, high)), -1)
+        tail = text.rfind(SPACE, low, high)
+        while tail > low and text[tail - 1] == SPACE:
+            tail -= 1
+        self.starts = () if head < 0 else (head, max(head, tail))  # the first and the last one
 
     def _steps(self, origin: State) -> dict[int, tuple[int, int]]:
         return paths_from(self.voc, self.text, origin, self.high)
@@ -291,7 +298,7 @@ class Chunk:
                     if target == state or self._arrives(reached, target):
                         found[i, j] = 0.0
             return found
-        head, tail = self.starts[0], self.starts[-1]
+        head, tail = self.starts
         enters = np.array([0.0 if head in self._head(s, head) else NEVER for s in self.left])
         reached = self._steps((tail, tail, -1))
         leaves = np.array([0.0 if self._arrives(reached, t) else NEVER for t in self.right])
@@ -315,7 +322,7 @@ class Chunk:
             return []
         if not self.starts:
             return back(self._steps(state), target[1], state[1])
-        head, tail = self.starts[0], self.starts[-1]
+        head, tail = self.starts
         before = back(self._head(state, head), head, state[1]) if state[1] < head else []
         inner = encode_words(self.voc, self.text[head:tail]) if tail > head else []
         return before + inner + back(self._steps((tail, tail, -1)), target[1], tail)
@@ -362,32 +369,17 @@ def as_matrix(row: dict) -> np.ndarray:
     return np.frombuffer(row["weights"], np.float32).reshape(row["n"], -1)
 
 
-def _encode_small(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _encode_small(batches: Iterator[pa.RecordBatch], path: str, place: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     voc = vocabulary(path)
     for batch in batches:
-        found: list[list[int] | None] = []
-        held: list[str] = []
-
-        def flush() -> None:
-            voc.learn({w for t in held for w in WORD.findall(t)})
+        for part in slabs(batch, place, SLAB):
+            texts = part.column(place).to_pylist()
+            cut = [None if t is None else WORD.findall(prepared(t)) for t in texts]
+            voc.learn({w for words in cut if words for w in words})
             known = voc.words
-            for t in held:
-                found.append(voc.bytes_for([i for w in WORD.findall(t) for i in known[w]]))
-            held.clear()
-
-        size = 0
-        for value in batch.column(0):
-            text = value.as_py()
-            if text is None or size > SLAB:
-                flush()
-                size = 0
-            if text is None:
-                found.append(None)
-            else:
-                held.append(prepared(text))
-                size += len(text)
-        flush()
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.list_(pa.int32()))], names)
+            ids = [None if words is None else voc.bytes_for([i for w in words for i in known[w]]) for words in cut]
+            same = [None if t is None else voc.decode(x) == t.replace(SPACE, " ") for t, x in zip(texts, ids)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names)
 
 
 def _giant_ids(giants: DataFrame, text_col: str, path: str) -> DataFrame:
@@ -461,41 +453,42 @@ def _giant_ids(giants: DataFrame, text_col: str, path: str) -> DataFrame:
     return ordered.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """`docs` with the columns ids (array<int>) and n_ids."""
+def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """`docs` with the columns ids (array<int>), n_ids, and round_trip: whether decoding the ids gives back the text."""
     path = path or model_path()
-    rest = [c for c in docs.columns if c not in ("ids", "n_ids")]
-    given = docs.select(rest)
-    giant = F.coalesce(F.length(text_col) > CHUNK, F.lit(False))
+    rest = [c for c in docs.columns if c not in ("ids", "n_ids", "round_trip")]
+    given = small_batches(docs).select(rest)
+    giant = F.coalesce(F.length(text_col) > GIANT, F.lit(False))
 
-    small = given.filter(~giant).select(F.col(text_col).cast("string").alias("_text"), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema[1:]) + ", ids array<int>"
-    names = [*rest, "ids"]
-    done = small.mapInArrow(lambda batches: _encode_small(batches, path, names), schema)
+    place, names = rest.index(text_col), [*rest, "ids", "round_trip"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", ids array<int>, round_trip boolean"
+    done = given.filter(~giant).mapInArrow(lambda batches: _encode_small(batches, path, place, names), schema)
 
-    giants = materialize(given.filter(giant).withColumn("row", F.monotonically_increasing_id()).select(F.struct(*rest).alias("own"), "row", F.col(text_col).alias("text")), "giants")
-    long = giants.select("row", "own").join(_giant_ids(giants, "text", path), "row").select("own.*", "ids")
-    return done.unionByName(long).withColumn("n_ids", F.size("ids").cast("bigint"))
+    giants = given.filter(giant).select(F.struct(*rest).alias("own"), F.col(text_col).alias("text"))
+    giants = materialize(giants.withColumn("row", F.monotonically_increasing_id()), "giants")
+    ids = materialize(_giant_ids(giants, "text", path), "giant-ids")
+    same = F.col("decoded") == F.replace(F.col("text"), F.lit(SPACE), F.lit(" "))
+    long = decode(giants.join(ids, "row"), "decoded", path).select("own.*", "ids", same.alias("round_trip"))
+    return done.unionByName(long).select(*rest, "ids", F.size("ids").cast("bigint").alias("n_ids"), "round_trip")
+
+
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """`docs` with the columns ids and n_ids."""
+    return round_trip(docs, text_col, path).drop("round_trip")
 
 
 def decode(encoded: DataFrame, into: str = "decoded", path: str | None = None) -> DataFrame:
     """`encoded` with the text of its ids in the column `into`; null ids give null."""
     path = path or model_path()
     rest = [c for c in encoded.columns if c != into]
+    place = rest.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            texts = [None if x is None else voc.decode(x) for x in (v.as_py() for v in batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*rest, into])
+            texts = [None if x is None else voc.decode(x) for x in (v.as_py() for v in batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, into])
 
-    picked = encoded.select(F.col("ids").alias("_ids"), *rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:]) + f", `{into}` string"
+    picked = small_batches(encoded).select(rest)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema) + f", `{into}` string"
     return picked.mapInArrow(run, schema)
-
-
-def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """`encode`, and the column round_trip: whether decoding gives back the text (with U+2581 as a space)."""
-    back = decode(encode(docs, text_col, path), "_decoded", path)
-    same = F.col("_decoded") == F.replace(F.col(text_col), F.lit(SPACE), F.lit(" "))
-    return back.withColumn("round_trip", same).drop("_decoded")

@@ -26,6 +26,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.batches import small_batches
+
 STATISTICS = [
     "n_chars", "n_words", "mean_word", "long_words", "distinct_words", "top_word", "upper", "digits", "marks", "symbols",
     "pipes", "exclamations", "spaces", "lines_per_word", "line_repeats", "not_ascii", "entropy", "ends_in_mark", "no_letters",
@@ -91,7 +93,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["id", "stats"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"id {kind}, stats array<double>").withColumnRenamed("id", id_col)
 
 

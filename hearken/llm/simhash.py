@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.batches import small_batches
 from hearken.llm.components import components
 from hearken.session import materialize
 
@@ -68,7 +69,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     return picked.mapInArrow(run, f"id {kind}, fingerprint bigint").withColumnRenamed("id", id_col)
 
 

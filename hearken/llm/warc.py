@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearken.llm.batches import small_batches
 from hearken.session import materialize, scratch_dir
 
 BLOCK_LINES = 1000
@@ -128,7 +129,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         if out is not None:
             out.close()
 
-    ready = with_first(pages, min_bytes).select(url_key(F.col("url")).alias("key"), "page_id", "url", "payload", "sha1", "first")
+    ready = with_first(small_batches(pages), min_bytes).select(url_key(F.col("url")).alias("key"), "page_id", "url", "payload", "sha1", "first")
     return materialize(ready.mapInArrow(run, CAPTURE_SCHEMA), "captures")
 
 
