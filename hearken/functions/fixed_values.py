@@ -206,11 +206,6 @@ CAPABILITIES = (
     "power", "target_temp", "fan_speed", "mode", "timer_min",
     "child_lock", "eco_mode", "humidity", "filter_state", "schedule",
 )
-DEVICE_TYPES = (
-    "air_conditioner", "washer", "dryer", "refrigerator", "air_purifier",
-    "light", "styler", "dishwasher", "robot_cleaner", "oven",
-)
-TRIGGER_TYPES = ("time", "arrive_home", "leave_home", "device_state")
 SWITCHES = ("power", "child_lock", "eco_mode")
 CHOICES = {
     "fan_speed": ("low", "mid", "high"),

@@ -10,8 +10,9 @@ LANE_HEX = 15  # 60 bits, so a lane always fits a bigint
 
 
 def row_digest(*cells: Column) -> Column:
-    """SHA-256 of the cells; NULL and the empty string stay apart."""
-    marked = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in cells]
+    """SHA-256 of the cells, each after its length; NULL and the empty string stay apart."""
+    texts = [c.cast("string") for c in cells]
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit("="), t), F.lit("~")) for t in texts]
     return F.sha2(F.concat_ws("\x1f", *marked), 256)
 
 

@@ -17,15 +17,14 @@ def as_text(payload: Column) -> Column:
 
 
 def trailing_text(text: Column) -> Column:
-    """Is there anything after the outermost object closes?
+    """Is there anything after the outermost value closes?
 
-    String literals go first, escapes included, then every innermost {} or [] pair collapses,
-    as deep as commands and profiles nest. What remains of a single value is one marker.
+    The text must be the only element of an array and the only member of an object. What follows a value can close one of
+    the two brackets early, never both, so the parser decides at any depth and any length.
     """
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "s")
-    for _ in range(8):
-        bare = F.regexp_replace(bare, r"\{[^{}\[\]]*\}|\[[^{}\[\]]*\]", "o")
-    return ~F.trim(F.regexp_replace(bare, r"\s+", " ")).isin("o", "s")
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    return listed.isNull() | member.isNull() | F.try_variant_get(listed, "$[1]", "variant").isNotNull()
 
 
 def reject_reason(payload: Column, max_bytes: int, version_path: str, version: str) -> Column:

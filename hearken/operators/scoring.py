@@ -37,8 +37,8 @@ def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distrib
     """The distribution a free-text answer contains, as a map over the scale that adds up to one.
 
     The JSON is the span from the first to the last brace, or its `distribution` member. Categories
-    the answer leaves out are 0. No JSON, a value that is no number, a negative value or no mass at
-    all gives NULL.
+    the answer leaves out are 0. No JSON, a null, a value that is no number, a negative value or no mass
+    at all gives NULL.
     """
     span = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
     inner = F.coalesce(F.get_json_object(span, "$.distribution"), span)
@@ -46,7 +46,8 @@ def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distrib
 
     def share(category) -> Column:
         cell = F.try_element_at(cells, F.lit(str(category)))
-        return F.when(cell.isNull() & cells.isNotNull(), F.lit(0.0)).otherwise(to_number(cell))
+        left_out = cells.isNotNull() & ~F.map_contains_key(cells, F.lit(str(category)))
+        return F.when(left_out, F.lit(0.0)).otherwise(to_number(cell))
 
     values = F.col("_values")
     total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
@@ -88,7 +89,7 @@ def total_variation(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Half the absolute difference; fidelity is one minus that."""
     distance = round_even(F.sum(F.abs(F.col("p") - F.col("q"))) * F.lit(0.5), 6)
     return pairs.groupBy(*keys).agg(distance.alias("tvd")).withColumn(
-        "fidelity", round_even(F.lit(1.0) - F.col("tvd"), 6)
+        "fidelity", round_even(F.lit(1.0) - F.col("tvd"), 4)
     )
 
 

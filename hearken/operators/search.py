@@ -73,10 +73,10 @@ def without_device_noise(df: DataFrame, pattern: str = DEVICE_NOISE) -> DataFram
 
 
 def collect_hits(
-    raw: DataFrame, per_query: int, sponsored: str = SPONSORED, noise: str = DEVICE_NOISE
+    raw: DataFrame, per_query: int | None = None, sponsored: str = SPONSORED, noise: str = DEVICE_NOISE
 ) -> DataFrame:
-    """Landed hits to the hit table: cap per query and source, flag, first per link, drop noise."""
-    capped = top_per_key(raw, ["query", "origin"], ["seq"], per_query)
+    """Landed hits to the hit table: flag, first per link, drop noise; a cap per query and source only if asked for."""
+    capped = raw if per_query is None else top_per_key(raw, ["query", "origin"], ["seq"], per_query)
     flagged = capped.withColumn("sponsored", text.matches(F.col("review"), sponsored))
     return without_device_noise(first_per_key(flagged, ["link"], ["seq"]), noise)
 

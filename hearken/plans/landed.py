@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import (
-    CAPABILITIES,
-    CHOICES,
-    DEVICE_TYPES,
-    FEATURE_HEADERS,
     PAINPOINT_HEADERS,
-    TRIGGER_TYPES,
 )
 from hearken.operators import painpoints, vectors
 from hearken.plans import models, reviews
 from hearken.plans.registry import Inputs, query
 from hearken.session import scratch_dir
-from hearken.sources import demo, readers, sinks
+from hearken.sources import readers, sinks
 
 ORIGINAL = """select review, rating, cast(review_date as timestamp) as date, likes, source_type from v_reviews"""
 
@@ -122,8 +117,7 @@ def _(t: Inputs):
 
 @query(
     "src_review_pages",
-    """with top as (select review, rating, review_date, likes from v_reviews order by review_date desc, review limit 100)
-       select review, rating, cast(review_date as timestamp) as date, likes from top
+    """select review, rating, cast(review_date as timestamp) as date, likes from v_reviews
        qualify row_number() over (partition by review, review_date order by likes desc nulls last, rating nulls first) = 1""",
 )
 def _(t: Inputs):
@@ -132,7 +126,7 @@ def _(t: Inputs):
         F.col("review").alias("content"), F.col("rating").alias("score"),
         F.col("review_date").cast("timestamp").alias("at"), F.col("likes").alias("thumbsUpCount"),
     ).write.json(path)
-    newest = readers.review_pages(t.spark, path, max_reviews=100)
+    newest = readers.review_pages(t.spark, path)
     return newest.withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
@@ -165,67 +159,3 @@ def _(t: Inputs):
     path = scratch_dir(t.spark, "weights")
     sinks.save_weights(vectors.tfidf(models.tokenised(t)), path)
     return t.spark.read.parquet(f"{path}/vocabulary")
-
-
-# --- generators ------------------------------------------------------------------------------
-
-
-@query("src_demo_survey")
-def _(t: Inputs):
-    drawn = demo.demo_survey(t.customer.select("c_custkey"))
-    return drawn.select(F.col("c_custkey").alias("respondent_id"), *FEATURE_HEADERS)
-
-
-HOMES = """homes as (select c_custkey as home_id, cast(c_nationkey % 8 as int) as n_devices,
-    cast(c_custkey % 5 as int) as n_routines from customer)"""
-
-
-def homes(t: Inputs):
-    return t.customer.select(
-        F.col("c_custkey").alias("home_id"),
-        (F.col("c_nationkey") % 8).cast("int").alias("n_devices"),
-        (F.col("c_custkey") % 5).cast("int").alias("n_routines"),
-    )
-
-
-def one_of(values, i: str) -> str:
-    listed = ", ".join(f"'{v}'" for v in values)
-    return f"([{listed}])[({i}) % {len(values)} + 1]"
-
-
-def value_of(key: str, i: str) -> str:
-    choices = " ".join(f"when {key} = '{c}' then {one_of(v, i)}" for c, v in CHOICES.items())
-    return f"""case when {key} in ('power', 'child_lock', 'eco_mode') then case when ({i}) % 2 = 1 then 'true' else 'false' end
-        when {key} in ('target_temp', 'humidity') then cast(20 + ({i}) % 10 as varchar)
-        when {key} = 'timer_min' then cast(10 * (1 + ({i}) % 6) as varchar) {choices} end"""
-
-
-@query(
-    "src_demo_profiles",
-    f"""with {HOMES},
-    d as (select home_id, cast(unnest(range(n_devices)) as int) as pos from homes),
-    c as (select home_id, pos, unnest(range(3 + pos % 3)) as j from d),
-    k as (select home_id, pos, {one_of(CAPABILITIES, 'pos + j')} as setting_key from c)
-    select home_id, 'dev' || lpad(cast(pos as varchar), 3, '0') as device_ref,
-           {one_of(DEVICE_TYPES, 'pos')} as device_type, setting_key, {value_of('setting_key', 'pos')} as value from k""",
-)
-def _(t: Inputs):
-    devices = demo.demo_devices(homes(t))
-    settings = demo.demo_settings(devices)
-    named = devices.select("home_id", "device_ref", "device_type")
-    return settings.join(named, ["home_id", "device_ref"])
-
-
-@query(
-    "src_demo_routines",
-    f"""with {HOMES},
-    r as (select home_id, n_devices, cast(unnest(range(n_routines)) as int) as routine_id from homes where n_devices > 0),
-    a as (select *, cast(unnest(range(2 + routine_id % 2)) as int) as line_no from r),
-    p as (select *, (routine_id + line_no) % n_devices as place from a)
-    select home_id, routine_id, line_no, {one_of(TRIGGER_TYPES, 'routine_id')} as trigger_type,
-        lpad(cast((22 + routine_id) % 24 as varchar), 2, '0') || ':' || lpad(cast((routine_id * 7) % 60 as varchar), 2, '0') as trigger_at,
-        'dev' || lpad(cast(place as varchar), 3, '0') as device_ref, {one_of(CAPABILITIES, 'place')} as setting_key,
-        {value_of(one_of(CAPABILITIES, 'place'), 'routine_id + line_no')} as value from p""",
-)
-def _(t: Inputs):
-    return demo.demo_actions(homes(t))

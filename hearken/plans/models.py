@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import COUNT_TERMS, FEATURE_HEADERS
@@ -198,15 +196,3 @@ def _(t: Inputs):
 @query("pca_2d")
 def _(t: Inputs):
     return segments.pca_2d(standard_features(t), Z).select("respondent_id", "pc1", "pc2")
-
-
-@query("rf_importance")
-def _(t: Inputs):
-    """Importance of features for given segments; kept because the first pipeline had it."""
-    z = t.v_members.na.drop(subset=["f1", "onbody_intent"])
-    names = ["f1", "f2", "f3", "onbody_intent", "pay_intent"]
-    x = VectorAssembler(inputCols=names, outputCol="x").transform(z)
-    forest = RandomForestClassifier(numTrees=300, seed=42, featuresCol="x", labelCol="segment")
-    weights = forest.fit(x).featureImportances.toArray()
-    rows = [(n, float(w)) for n, w in zip(names, weights)]
-    return t.spark.createDataFrame(rows, "feature string, importance double")

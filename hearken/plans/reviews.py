@@ -207,7 +207,10 @@ def sql_lanes(cells: str) -> str:
     return f"sha256(concat_ws(',', count(*)::varchar, {lanes}))", f"sha256(concat_ws(chr(31), {cells}))"
 
 
-_HASH, _ROW = sql_lanes("'=' || seq, coalesce('=' || review, '~'), coalesce('=' || rating, '~')")
+_HASH, _ROW = sql_lanes(
+    "length(seq::varchar) || '=' || seq, coalesce(length(review) || '=' || review, '~'), "
+    "coalesce(length(rating::varchar) || '=' || rating, '~')"
+)
 
 
 @query(

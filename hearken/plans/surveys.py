@@ -108,25 +108,27 @@ def _(t: Inputs):
     "join_codebook",
     " union all ".join(
         f"""select '{q}' as question, {q} as answer, count(*) as n from v_survey_raw
-            where {q} is not null and {q} not in ({', '.join(f"'{a}'" for a in CODEBOOK[q])})
+            where q1 is distinct from '0대 (없음)' and {q} is not null
+            and {q} not in ({', '.join(f"'{a}'" for a in CODEBOOK[q])})
             group by {q}"""
         for q in ("q1", "q2", "q3", "q6", "q13")
     ),
 )
 def _(t: Inputs):
-    return survey.unknown_answers(survey.with_question_names(raw_export(t)))
+    return survey.unknown_answers(answers(t))
 
 
 @query(
     "agg_tenure_loss",
-    """with lost as (select trim(q5) as answer, count(*) as n from v_survey_raw
+    """with screened as (select * from v_survey_raw where q1 is distinct from '0대 (없음)'),
+       lost as (select trim(q5) as answer, count(*) as n from screened
         where q5 is not null and q5 not in ('자가', '전세', '월세') group by 1),
-       s as (select cast(sum(n) as bigint) as lost_n from lost), a as (select count(*) as total from v_survey_raw)
+       s as (select cast(sum(n) as bigint) as lost_n from lost), a as (select count(*) as total from screened)
        select answer, n, lost_n, round_half(cast(lost_n as double) / total * 100, 1) as lost_pct,
               cast(lost_n as double) / total * 100 >= 20 as alert from lost, s, a""",
 )
 def _(t: Inputs):
-    return survey.tenure_loss(survey.with_question_names(raw_export(t)))
+    return survey.tenure_loss(answers(t))
 
 
 @query(
@@ -286,7 +288,7 @@ pairs as (select coalesce(p.trial, w.trial) as trial, coalesce(p.segment, w.segm
                  coalesce(p.category, w.category) as category, coalesce(p, 0) as p, coalesce(q, 0) as q
           from pred p full join wanted w on w.trial = p.trial and w.segment = p.segment and w.category = p.category),
 dist as (select trial, segment, round_half(sum(abs(p - q)) * 0.5, 6) as tvd from pairs group by 1, 2),
-scored as (select trial, segment, tvd, round_half(1 - tvd, 6) as fidelity from dist)"""
+scored as (select trial, segment, tvd, round_half(1 - tvd, 4) as fidelity from dist)"""
 
 
 def distribution_pairs(t: Inputs):

@@ -156,13 +156,12 @@ def _(t: Inputs):
 @query(
     "manifest_search",
     f"""with {HITS},
-    capped as (select * from hits qualify row_number() over (partition by query, origin order by seq) <= 50),
-    uniq as (select * from capped qualify row_number() over (partition by link order by seq) = 1)
+    uniq as (select * from hits qualify row_number() over (partition by link order by seq) = 1)
     select origin, count(*) as n_rows, count(*) filter (where regexp_matches(review, '{SPON}')) as sponsored_rows
     from uniq where not regexp_matches(review, '{NOISE}') group by origin""",
 )
 def _(t: Inputs):
-    return search.manifest(search.collect_hits(hits(t), 50, SPON, NOISE))
+    return search.manifest(search.collect_hits(hits(t), None, SPON, NOISE))
 
 
 @query("join_axis_pattern", f"with {FLAGGED} select seq, axis, axis_hit from flagged")

@@ -94,7 +94,7 @@ def search_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def review_pages(spark: SparkSession, path: str, max_reviews: int | None = None) -> DataFrame:
-    """Landed review batches, newest first up to the crawl limit, without repeated reviews."""
+    """Landed review batches without repeated reviews; with `max_reviews` only the newest so many are read."""
     pages = spark.read.schema(schemas.REVIEW_PAGE).json(path)
     named = pages.select(
         F.col("content").alias("review"), F.col("score").alias("rating"),

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from hearken.functions.payloads import command_reason
 from hearken.operators import commands, crosswalk, fleet, store
-from hearken.sources import demo
 
 DEVICES = "home_id long, pos long, device_ref string, device_type string, capabilities array<string>"
 ACTIONS = "home_id long, routine_id long, line_no int, part_no int, supp_no int, device_ref string, setting_key string, value string"
@@ -16,12 +15,15 @@ SETTINGS = "home_id long, device_ref string, setting_key string, value string"
 
 
 def sample(spark, n_devices=5, n_routines=3, homes=2):
-    base = spark.range(homes).select(
-        F.col("id").alias("home_id"), F.lit(n_devices).alias("n_devices"), F.lit(n_routines).alias("n_routines")
-    )
-    devices = demo.demo_devices(base)
-    actions = demo.demo_actions(base).withColumn("part_no", F.lit(0)).withColumn("supp_no", F.lit(0))
-    return devices, demo.demo_settings(devices), actions
+    keys = ["power", "mode", "eco_mode"]
+    devices = [(h, d, f"dev{d:03d}", "washer", keys) for h in range(homes) for d in range(n_devices)]
+    settings = [(h, ref, key, "true" if key != "mode" else "auto") for h, _, ref, _, own in devices for key in own]
+    actions = [
+        (h, r, line, 0, 0, f"dev{(r + line) % n_devices:03d}", keys[line], "true" if keys[line] != "mode" else "auto")
+        for h in range(homes) for r in range(n_routines) for line in range(2) if n_devices
+    ]
+    made = zip((devices, settings, actions), (DEVICES, SETTINGS, ACTIONS))
+    return tuple(spark.createDataFrame(rows, schema) for rows, schema in made)
 
 
 def records_of(spark, **kw):
@@ -179,3 +181,21 @@ def test_command_items(spark):
     df = spark.createDataFrame(items, "c string, v string, t string, want string")
     got = df.select("want", commands.item_error(F.col("c"), F.col("v"), F.col("t")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+@pytest.mark.parametrize("tail, outcome", [("", "accepted"), (" x", "trailing_text"), ("}", "trailing_text"), ("]x", "trailing_text"),
+                                           (" {}", "trailing_text"), (", 1", "trailing_text"), (",null", "trailing_text"), ("  ", "accepted")])
+def test_long_and_deep_payloads(spark, tail, outcome):
+    from hearken.functions.payloads import reject_reason
+
+    deep = "[" * 20 + '"' + "\\u00e9x" * 15_000 + '"' + "]" * 20
+    payload = '{"v":"1","set":{"k":' + deep + "}}" + tail
+    row = spark.createDataFrame([(payload.encode(),)], "payload binary").select(reject_reason(F.col("payload"), 500_000, "$.v", "1").alias("r"))
+    assert row.first()["r"] == outcome
+
+
+def test_lengths_keep_cells_apart(spark):
+    from hearken.functions.hashing import row_digest
+
+    rows = spark.createDataFrame([("a\x1f1=b", "c"), ("a", "b\x1f1=c"), (None, ""), ("", None)], "a string, b string")
+    assert rows.select(row_digest(F.col("a"), F.col("b"))).distinct().count() == 4

@@ -6,7 +6,6 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from hearken.operators import scoring, segments, survey, topics, vectors
-from hearken.sources import demo
 
 
 @pytest.mark.parametrize(
@@ -80,9 +79,9 @@ def test_embedding_check(spark):
 
 
 def test_planted_groups_are_found_and_numbered_by_size(spark):
-    drawn = demo.demo_survey(spark.range(300))
-    again = demo.demo_survey(spark.range(300).repartition(5))
-    assert rows(drawn) == rows(again)
+    centres = [(1.0, 5.0, 2.0), (4.0, 1.0, 2.0), (2.5, 3.0, 9.0)]
+    planted = [(i, *(c + (i * 7 % 5 - 2) * 0.1 for c in centres[0 if i % 20 < 9 else 1 if i % 20 < 15 else 2])) for i in range(300)]
+    drawn = spark.createDataFrame(planted, "id long, a double, b double, c double")
     features = [c for c in drawn.columns if c != "id"]
     z = segments.standardize(segments.impute_median(drawn, features), features)
     zs = [f"{c}_z" for c in features]
@@ -112,3 +111,9 @@ def test_topic_models(spark):
     points = spark.createDataFrame(vecs, "seq long, embedding array<double>")
     found = {r["seq"]: r["topic"] for r in topics.embedding_topics(points, k=3).collect()}
     assert found[40] == -1 and found[0] != found[1] and found[0] == found[2]
+
+
+def test_null_category_rejects_the_answer(spark):
+    answers = [(1, '{"1": 2, "2": null}'), (2, '{"1": 2}'), (3, '{"1": "x"}'), (4, "no json")]
+    got = scoring.parsed_answers(spark.createDataFrame(answers, "id int, answer string"), "answer", (1, 2)).collect()
+    assert {r["id"]: r["distribution"] for r in got} == {1: None, 2: {"1": 1.0, "2": 0.0}, 3: None, 4: None}
