@@ -228,7 +228,8 @@ def dedup(
     plain = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), tag.alias("tag"))
     marked = materialize(marked_lines(plain.filter("id is not null"), min_chars, broadcast_bytes), "lines")
     firsts = marked.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    later = marked.join(firsts.select("key", "first"), "key").filter("id > first")
+    firsts = materialize(firsts.select("key", "first"), "firsts")  # a plain side lets Spark split a hot key of the other
+    later = marked.join(firsts, "key").filter("id > first")
     drops = later.groupBy("id", "tag").agg(F.collect_set("line").alias("drops"))
 
     names = {"id": "_dedup_id", "tag": "_dedup_tag", "drops": "_dedup_lines"}
