@@ -76,7 +76,8 @@ def training_windows(docs: DataFrame, docs_per_lang: int, windows_per_doc: int)
     known = small_batches(docs).filter("text is not null and lang is not null")
     spot = F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) / (1 << 30)  # between 0 and 1, by the whole row
     share = known.groupBy("lang").agg((F.lit(docs_per_lang * 1.5) / F.count("*")).alias("share"))
-    few = known.select("text", "lang", spot.alias("spot")).join(share, "lang").filter("spot < share")
+    # one row for each language; the model has a class for each, so there are few
+    few = known.select("text", "lang", spot.alias("spot")).join(F.broadcast(share), "lang").filter("spot < share")
     ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("spot", "text")))
     sample = ranked.filter(f"n <= {docs_per_lang}").select("text", "lang").mapInArrow(cut, "lang string, data binary").toArrow()
     rows = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist()))
