@@ -1,12 +1,13 @@
 """Moving profiles to new homes: what carries over, what is held back and why.
 
-Old devices of a type are matched to new devices of that type one to one, in order. The homes that
-take part are within the limits of a profile, so the ordered windows see short groups.
+Old devices of a type are matched to new devices of that type one to one, in order. Homes beyond the
+limits of a profile are rejected, and all their items are reported as such; only the others reach the
+ordered windows, which so see short groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import (
@@ -18,21 +19,28 @@ from hearken.functions.fixed_values import (
     MAX_DEVICES,
 )
 
+REJECTED = "profile_rejected"  # the old home has no valid profile
+
 
 def movable(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(home_id, aborted) for homes with a profile within limits; aborted when the new side is not."""
+    """(home_id, rejected, aborted) for every old home: which side is beyond the limits of a profile."""
     n_old = old.groupBy("home_id").agg(F.count(F.lit(1)).alias("n_old"))
     n_new = new.groupBy("home_id").agg(
         F.count(F.lit(1)).alias("n_new"), F.max(F.size("capabilities")).alias("max_caps")
     )
     fits = (F.col("n_new") <= MAX_DEVICES) & (F.col("max_caps") <= MAX_CAPABILITIES)
-    return (
-        n_old.filter(F.col("n_old") <= MAX_DEVICES)
-        .join(n_new, "home_id", "left")
-        .select("home_id", (~F.coalesce(fits, F.col("n_new").isNull())).alias("aborted"))
+    return n_old.join(n_new, "home_id", "left").select(
+        "home_id",
+        (F.col("n_old") > MAX_DEVICES).alias("rejected"),
+        (~F.coalesce(fits, F.col("n_new").isNull())).alias("aborted"),
     )
 
 
+def held_whole() -> Column:
+    """Why nothing of a home moves; NULL when its items are judged one by one."""
+    return F.when(F.col("rejected"), REJECTED).when(F.col("aborted"), HELD_ABORTED)
+
+
 def numbered(devices: DataFrame, homes: DataFrame) -> DataFrame:
     """Position of every device among its type in its home."""
     order = Window.partitionBy("home_id", "device_type").orderBy("pos", "device_ref")
@@ -42,30 +50,29 @@ def numbered(devices: DataFrame, homes: DataFrame) -> DataFrame:
 
 def match_devices(old: DataFrame, new: DataFrame, homes: DataFrame) -> DataFrame:
     """(home_id, old_ref, device_type, new_ref, new_capabilities, reason); new_ref NULL = held."""
-    ready = homes.filter(~F.col("aborted"))
+    ready = homes.filter(~F.col("aborted") & ~F.col("rejected"))
     targets = numbered(new, ready).select(
         "home_id", "device_type", "nth",
         F.col("device_ref").alias("new_ref"), F.col("capabilities").alias("new_capabilities"),
     )
-    matched = numbered(old, homes).join(targets, ["home_id", "device_type", "nth"], "left")
-    reason = F.when(F.col("aborted"), HELD_ABORTED).when(F.col("new_ref").isNull(), HELD_NO_TYPE)
-    return matched.join(homes, "home_id").select(
+    matched = numbered(old, homes.filter(~F.col("rejected"))).join(targets, ["home_id", "device_type", "nth"], "left")
+    refused = old.join(homes.filter("rejected").select("home_id"), "home_id", "left_semi")
+    every = matched.drop("nth").unionByName(refused, allowMissingColumns=True)
+    reason = F.coalesce(held_whole(), F.when(F.col("new_ref").isNull(), HELD_NO_TYPE))
+    return every.join(homes, "home_id").select(
         "home_id", F.col("device_ref").alias("old_ref"), "device_type", "new_ref",
-        "new_capabilities", "aborted", reason.alias("reason"),
+        "new_capabilities", "rejected", "aborted", reason.alias("reason"),
     )
 
 
 def map_settings(settings: DataFrame, matches: DataFrame) -> DataFrame:
     """A setting carries over when its device is matched and the new device knows the key."""
     keyed = matches.select(
-        "home_id", F.col("old_ref").alias("device_ref"), "new_ref", "new_capabilities", "aborted"
+        "home_id", F.col("old_ref").alias("device_ref"), "new_ref", "new_capabilities", "rejected", "aborted"
     )
     known = F.array_contains("new_capabilities", F.col("setting_key"))
-    reason = (
-        F.when(F.col("aborted"), HELD_ABORTED)
-        .when(F.col("new_ref").isNull(), HELD_NO_TYPE)
-        .when(~known, HELD_CAPABILITY)
-    )
+    alone = F.when(F.col("new_ref").isNull(), HELD_NO_TYPE).when(~known, HELD_CAPABILITY)
+    reason = F.coalesce(held_whole(), alone)
     return settings.join(keyed, ["home_id", "device_ref"]).select(
         "home_id", "device_ref", "setting_key", "value", "new_ref", reason.alias("reason")
     )
@@ -84,9 +91,9 @@ def map_routines(actions: DataFrame, matches: DataFrame, homes: DataFrame) -> Da
         actions.join(homes, "home_id")
         .join(keyed, ["home_id", "device_ref"], "left")
         .groupBy("home_id", "routine_id")
-        .agg(F.every(fits).alias("fits"), F.first("aborted").alias("aborted"))
+        .agg(F.every(fits).alias("fits"), F.first("rejected").alias("rejected"), F.first("aborted").alias("aborted"))
     )
-    reason = F.when(F.col("aborted"), HELD_ABORTED).when(~F.col("fits"), HELD_ROUTINE)
+    reason = F.coalesce(held_whole(), F.when(~F.col("fits"), HELD_ROUTINE))
     return judged.select("home_id", "routine_id", reason.alias("reason"))
 
 
@@ -101,7 +108,7 @@ def remapped_actions(actions: DataFrame, matches: DataFrame, routines: DataFrame
 
 def unmatched_new(new: DataFrame, homes: DataFrame, matches: DataFrame) -> DataFrame:
     """New devices no old device was matched to."""
-    ready = homes.filter(~F.col("aborted"))
+    ready = homes.filter(~F.col("aborted") & ~F.col("rejected"))
     used = matches.filter(F.col("new_ref").isNotNull()).select(
         "home_id", F.col("new_ref").alias("device_ref")
     )
@@ -113,7 +120,7 @@ def unmatched_new(new: DataFrame, homes: DataFrame, matches: DataFrame) -> DataF
 
 
 def report(matches: DataFrame, settings: DataFrame, routines: DataFrame) -> DataFrame:
-    """(home_id, kind, outcome, n): old items = transferred + held, for every home and kind."""
+    """(home_id, kind, outcome, n): old items = transferred + held + rejected, for every home and kind."""
 
     def tally(df: DataFrame, kind: str) -> DataFrame:
         outcome = F.coalesce("reason", F.lit("transferred")).alias("outcome")

@@ -115,7 +115,7 @@ def violations(devices: DataFrame, settings: DataFrame, actions: DataFrame) -> D
     )
 
 
-def within_limits(
+def limit_outcomes(
     devices: DataFrame,
     actions: DataFrame,
     settings: DataFrame | None = None,
@@ -123,23 +123,30 @@ def within_limits(
     max_routines: int = MAX_ROUTINES,
     max_actions: int = MAX_ACTIONS,
 ) -> DataFrame:
-    """Homes whose counts fit a profile. Everything that gathers lists starts from these."""
+    """(home_id, n_devices, n_routines, outcome) for every home: `ok`, or the first limit of a profile it breaks."""
     n_devices = devices.groupBy("home_id").agg(F.count(F.lit(1)).alias("n_devices"))
     per_routine = actions.groupBy("home_id", "routine_id").agg(F.count(F.lit(1)).alias("n"))
     n_routines = per_routine.groupBy("home_id").agg(
         F.count(F.lit(1)).alias("n_routines"), F.max("n").alias("max_actions")
     )
     sized = n_devices.join(n_routines, "home_id", "left").na.fill(0, ["n_routines", "max_actions"])
-    fits = (
-        (F.col("n_devices") <= max_devices)
-        & (F.col("n_routines") <= max_routines)
-        & (F.col("max_actions") <= max_actions)
+    sized = sized.withColumn("crowded", F.lit(False))
+    if settings is not None:
+        crowded = over(settings, ["home_id", "device_ref"], MAX_SETTINGS, "x").select("home_id").distinct()
+        sized = sized.drop("crowded").join(crowded.withColumn("crowded", F.lit(True)), "home_id", "left")
+    outcome = (
+        F.when(F.col("n_devices") > max_devices, "device_count")
+        .when(F.col("n_routines") > max_routines, "routine_count")
+        .when(F.col("max_actions") > max_actions, "action_count")
+        .when(F.col("crowded"), "setting_count")
+        .otherwise("ok")
     )
-    homes = sized.filter(fits).select("home_id", "n_devices", "n_routines")
-    if settings is None:
-        return homes
-    crowded = over(settings, ["home_id", "device_ref"], MAX_SETTINGS, "x").select("home_id")
-    return homes.join(crowded, "home_id", "left_anti")
+    return sized.select("home_id", "n_devices", "n_routines", outcome.alias("outcome"))
+
+
+def within_limits(devices: DataFrame, actions: DataFrame, settings: DataFrame | None = None, **limits: int) -> DataFrame:
+    """Homes whose counts fit a profile. Everything that gathers lists starts from these."""
+    return limit_outcomes(devices, actions, settings, **limits).filter("outcome = 'ok'").drop("outcome")
 
 
 def onboardable(devices: DataFrame, existing: DataFrame) -> DataFrame:

@@ -211,8 +211,13 @@ def _(t: Inputs):
 RECORDS = """nd as (select home_id, count(*) as n_devices from v_devices group by 1),
 nr as (select home_id, count(*) as n_routines, max(n) as max_actions
        from (select home_id, routine_id, count(*) as n from v_actions group by 1, 2) group by 1),
-ok as (select nd.home_id, coalesce(n_routines, 0) as n_routines from nd left join nr on nr.home_id = nd.home_id
-       where n_devices <= 30 and coalesce(n_routines, 0) <= 20 and coalesce(max_actions, 0) <= 10),
+lim as (select nd.home_id, coalesce(n_routines, 0) as n_routines, case when n_devices > 30 then 'device_count'
+          when n_routines > 20 then 'routine_count' when max_actions > 10 then 'action_count'
+          when nd.home_id in (select home_id from v_settings group by home_id, device_ref having count(*) > 12)
+          then 'setting_count' else 'ok' end as outcome
+        from nd left join nr on nr.home_id = nd.home_id),
+ok as (select home_id, n_routines from lim where outcome = 'ok'),
+refused as (select home_id, outcome from lim where outcome <> 'ok'),
 st as (select home_id, device_ref, '{' || array_to_string(
          list('"' || setting_key || '":"' || value || '"' order by setting_key), ',') || '}' as settings
        from v_settings group by 1, 2),
@@ -232,48 +237,67 @@ rec as (select ok.home_id, 'meta' as name, '{"schema_version":"1.0.0","reserved_
           payload from rt)"""
 
 
+def every_home(sql: str) -> str:
+    return f"select *, 'ok' as outcome from ({sql}) union all by name select home_id, outcome from refused"
+
+
+def limits(t: Inputs):
+    return t.once("limits", lambda i: fleet.limit_outcomes(devices(i), actions(i), settings(i)))
+
+
+def fitting(t: Inputs):
+    return limits(t).filter("outcome = 'ok'").drop("outcome")
+
+
+def with_refused(t: Inputs, df):
+    """The rows with outcome `ok`, and one row for every home beyond a limit, which is its outcome."""
+    refused = limits(t).filter("outcome <> 'ok'").select("home_id", "outcome")
+    return df.withColumn("outcome", F.lit("ok")).unionByName(refused, allowMissingColumns=True)
+
+
 def records(t: Inputs):
-    d = devices(t)
-    homes = fleet.within_limits(d, actions(t), settings(t))
-    return store.split(homes, d, settings(t), actions(t))
+    return store.split(fitting(t), devices(t), settings(t), actions(t))
 
 
-@query("chunk_split", f"with {RECORDS} select home_id, name, payload from rec")
+@query("chunk_split", f"with {RECORDS} {every_home('select home_id, name, payload from rec')}")
 def _(t: Inputs):
-    return records(t)
+    return with_refused(t, records(t))
 
 
 @query(
     "chunk_merge",
-    f"""with {RECORDS} select ok.home_id, '{{"schema_version":"1.0.0","devices":['
+    f"""with {RECORDS}, whole as (select ok.home_id, '{{"schema_version":"1.0.0","devices":['
         || (select array_to_string(list(body || '}}' order by pos), ',') from dv where dv.home_id = ok.home_id)
         || '],"settings":{{' || (select array_to_string(list('"' || device_ref || '":' || settings order by pos), ',')
             from dv where dv.home_id = ok.home_id)
         || '}},"routines":[' || coalesce((select array_to_string(list(payload order by routine_id), ',')
-            from rt where rt.home_id = ok.home_id), '') || '],"reserved_wellness":{{}}}}' as profile from ok""",
+            from rt where rt.home_id = ok.home_id), '') || '],"reserved_wellness":{{}}}}' as profile from ok)
+        {every_home("from whole")}""",
 )
 def _(t: Inputs):
-    return store.merge(materialize(records(t), "records"))
+    return with_refused(t, store.merge(materialize(records(t), "records")))
 
 
 @query(
     "residency_footprint",
-    f"""with {RECORDS} select home_id, split_part(name, ':', 1) as kind, count(*) as n_records,
-        cast(sum(strlen(name) + strlen(payload)) as bigint) as n_bytes from rec group by 1, 2""",
+    f"""with {RECORDS}, parts as (select home_id, split_part(name, ':', 1) as kind, count(*) as n_records,
+        cast(sum(strlen(name) + strlen(payload)) as bigint) as n_bytes from rec group by 1, 2) {every_home("from parts")}""",
 )
 def _(t: Inputs):
-    return store.footprint(records(t))
+    return with_refused(t, store.footprint(records(t)))
 
 
 @query(
     "store_put_audit",
-    f"""with {RECORDS} select home_id, count(*) as n_records, max(strlen(payload)) as largest_bytes,
-        cast(sum(strlen(name) + strlen(payload)) as bigint) as total_bytes, cast(0 as bigint) as n_malformed,
+    f"""with {RECORDS}, batches as (select home_id, count(*) as n_records, max(strlen(payload)) as largest_bytes,
+        cast(sum(strlen(name) + strlen(payload)) as bigint) as total_bytes,
+        count(*) filter (where payload is null or name = '') as n_malformed,
         max(strlen(payload)) <= 4096 and sum(strlen(name) + strlen(payload)) <= 131072 as accepted
-        from rec group by home_id""",
+        from rec group by home_id)
+        select * replace (coalesce(accepted, false) as accepted) from ({every_home("from batches")})""",
 )
 def _(t: Inputs):
-    return store.put_audit(records(t))
+    return with_refused(t, store.put_audit(records(t))).withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 @query(
@@ -290,19 +314,17 @@ def _(t: Inputs):
             round(avg(strlen(payload)) filter (where starts_with(name, 'routine:')), 6) as bytes_per_routine
           from rec group by home_id),
     big as (select home_id, name as largest_chunk from rec
-            qualify row_number() over (partition by home_id order by strlen(payload) desc, name desc) = 1)
-    select g.*, largest_chunk, total_bytes, total_bytes <= 131072 as total_within_budget,
+            qualify row_number() over (partition by home_id order by strlen(payload) desc, name desc) = 1),
+    sizes as (select g.*, largest_chunk, total_bytes, total_bytes <= 131072 as total_within_budget,
            cast(ceil(total_bytes / 20) as bigint) as frames
-    from g join big on big.home_id = g.home_id join tot on tot.home_id = g.home_id""",
+    from g join big on big.home_id = g.home_id join tot on tot.home_id = g.home_id) {every_home("from sizes")}""",
 )
 def _(t: Inputs):
-    d = devices(t)
-    homes = fleet.within_limits(d, actions(t), settings(t))
-    kept = homes.select("home_id")
+    kept = fitting(t).select("home_id")
     parts = store.device_records(
-        d.join(kept, "home_id", "left_semi"), settings(t).join(kept, "home_id", "left_semi")
+        devices(t).join(kept, "home_id", "left_semi"), settings(t).join(kept, "home_id", "left_semi")
     )
-    return store.size_report(store.split(homes, d, settings(t), actions(t)), parts)
+    return with_refused(t, store.size_report(records(t), parts))
 
 
 # the stored names of a fleet: one record per device, meta from the same devices
@@ -408,22 +430,23 @@ def _(t: Inputs):
 # --- crosswalk -------------------------------------------------------------------------------
 
 CROSSWALK = """nd as (select home_id, count(*) as n from v_devices group by 1),
-homes as (select o.home_id, coalesce(n.n > 30, false) as aborted from nd o
-          left join nd n on n.home_id = o.home_id + 1 where o.n <= 30),
+homes as (select o.home_id, o.n > 30 as rejected, coalesce(n.n > 30, false) as aborted from nd o
+          left join nd n on n.home_id = o.home_id + 1),
 od as (select d.*, row_number() over (partition by home_id, device_type order by pos, device_ref) as nth
-       from v_devices d where home_id in (select home_id from homes)),
+       from v_devices d),
 nw as (select home_id - 1 as home_id, device_ref as new_ref, device_type, cap1 as c1, cap2 as c2,
          row_number() over (partition by home_id, device_type order by pos, device_ref) as nth
-       from v_devices where home_id - 1 in (select home_id from homes where not aborted)),
-mt as (select od.home_id, od.device_ref as old_ref, od.device_type, nw.new_ref, nw.c1, nw.c2, h.aborted,
-         case when h.aborted then 'mapping_aborted' when nw.new_ref is null then 'no_matching_type' end as reason
+       from v_devices where home_id - 1 in (select home_id from homes where not aborted and not rejected)),
+mt as (select od.home_id, od.device_ref as old_ref, od.device_type, nw.new_ref, nw.c1, nw.c2, h.rejected, h.aborted,
+         case when h.rejected then 'profile_rejected' when h.aborted then 'mapping_aborted' when nw.new_ref is null then 'no_matching_type' end as reason
        from od join homes h on h.home_id = od.home_id
        left join nw on nw.home_id = od.home_id and nw.device_type = od.device_type and nw.nth = od.nth),
 sm as (select s.home_id, s.device_ref, s.setting_key, s.value, mt.new_ref,
-         case when mt.aborted then 'mapping_aborted' when mt.new_ref is null then 'no_matching_type'
+         case when mt.rejected then 'profile_rejected' when mt.aborted then 'mapping_aborted' when mt.new_ref is null then 'no_matching_type'
               when s.setting_key not in (mt.c1, mt.c2) then 'capability_unsupported' end as reason
        from v_settings s join mt on mt.home_id = s.home_id and mt.old_ref = s.device_ref),
-rm as (select a.home_id, a.routine_id, case when bool_or(h.aborted) then 'mapping_aborted'
+rm as (select a.home_id, a.routine_id, case when bool_or(h.rejected) then 'profile_rejected'
+         when bool_or(h.aborted) then 'mapping_aborted'
          when not bool_and(coalesce(mt.new_ref is not null and a.setting_key in (mt.c1, mt.c2), false))
          then 'routine_action_unmappable' end as reason
        from v_actions a join homes h on h.home_id = a.home_id
@@ -504,26 +527,32 @@ def landed_profiles(t: Inputs):
     )
 
 
-@query("src_profile_settings", f"with {RECORDS} select home_id, device_ref, setting_key, value from v_settings where home_id in (select home_id from ok)")
+@query(
+    "src_profile_settings",
+    f"""with {RECORDS}
+        {every_home("select home_id, device_ref, setting_key, value from v_settings where home_id in (select home_id from ok)")}""",
+)
 def _(t: Inputs):
-    return profiles.settings(profiles.accepted(landed_profiles(t)))
+    return with_refused(t, profiles.settings(profiles.accepted(landed_profiles(t))))
 
 
 @query(
     "src_profile_actions",
-    f"""with {RECORDS} select home_id, row_number() over (partition by home_id order by routine_id) - 1 as routine_id, n as n_actions
+    f"""with {RECORDS}, steps as (
+        select home_id, row_number() over (partition by home_id order by routine_id) - 1 as routine_id, n as n_actions
         from (select home_id, routine_id, count(*) as n from v_actions
-              where home_id in (select home_id from ok) group by 1, 2)""",
+              where home_id in (select home_id from ok) group by 1, 2)) {every_home("from steps")}""",
 )
 def _(t: Inputs):
     steps = profiles.actions(profiles.accepted(landed_profiles(t)))
-    return steps.groupBy("home_id", "routine_id").agg(F.count(F.lit(1)).alias("n_actions"))
+    return with_refused(t, steps.groupBy("home_id", "routine_id").agg(F.count(F.lit(1)).alias("n_actions")))
 
 
 @query(
     "profile_payload_audit",
     f"""with {RECORDS} select home_id, case home_id % 5 when 0 then 'accepted' when 1 then 'version'
-        when 2 then 'unknown_key' when 3 then 'trailing_text' else 'reserved_not_empty' end as outcome from ok""",
+        when 2 then 'unknown_key' when 3 then 'trailing_text' else 'reserved_not_empty' end as outcome from ok
+        union all from refused""",
 )
 def _(t: Inputs):
     p = F.col("payload")
@@ -535,4 +564,5 @@ def _(t: Inputs):
         .when(kind == 4, F.regexp_replace(p, r'"reserved_wellness":\{\}', '"reserved_wellness":{"a":1}'))
         .otherwise(p)
     )
-    return landed_profiles(t).select("home_id", profiles.profile_reason(damaged).alias("outcome"))
+    judged = landed_profiles(t).select("home_id", profiles.profile_reason(damaged).alias("outcome"))
+    return judged.unionByName(limits(t).filter("outcome <> 'ok'").select("home_id", "outcome"))

@@ -124,6 +124,32 @@ def test_crosswalk_conserves_every_item(spark):
     assert totals == {"device": 4, "setting": 4, "routine": 3}
 
 
+def test_crosswalk_reports_homes_beyond_the_limits(spark):
+    old, settings, actions = sample(spark, n_devices=31, n_routines=2, homes=1)
+    homes = crosswalk.movable(old, old)
+    matches = crosswalk.match_devices(old, old, homes)
+    mapped, routines = crosswalk.map_settings(settings, matches), crosswalk.map_routines(actions, matches, homes)
+    report = rows(crosswalk.report(matches, mapped, routines), "kind", "outcome", "n")
+    assert report == [("device", "profile_rejected", 31), ("routine", "profile_rejected", 2), ("setting", "profile_rejected", 93)]
+    assert crosswalk.unmatched_new(old, homes, matches).count() == 0
+
+
+@pytest.mark.parametrize(
+    "shape, outcome", [((5, 3), "ok"), ((30, 20), "ok"), ((31, 3), "device_count"), ((5, 21), "routine_count"), ((5, 0), "ok")]
+)
+def test_every_home_has_an_outcome(spark, shape, outcome):
+    devices, settings, actions = sample(spark, n_devices=shape[0], n_routines=shape[1])
+    assert rows(fleet.limit_outcomes(devices, actions, settings), "home_id", "outcome") == [(0, outcome), (1, outcome)]
+
+
+def test_outcomes_of_crowded_devices_and_routines(spark):
+    devices, settings, actions = sample(spark, homes=1)
+    crowded = spark.createDataFrame([(0, "dev000", f"k{i}", "v") for i in range(13)], SETTINGS)
+    long = spark.createDataFrame([(0, 0, i, 0, 0, "dev000", "power", "on") for i in range(11)], ACTIONS)
+    assert fleet.limit_outcomes(devices, actions, crowded).first()["outcome"] == "setting_count"
+    assert fleet.limit_outcomes(devices, long, settings).first()["outcome"] == "action_count"
+
+
 def test_onboarding_needs_a_valid_list_and_an_empty_store(spark):
     devices, *_ = sample(spark, homes=3)
     bad = devices.withColumn("device_type", F.when(F.col("home_id") == 2, F.lit("X")).otherwise(F.col("device_type")))
