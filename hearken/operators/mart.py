@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hearken.functions.numeric import round_even
-from hearken.schemas import DEFAULT_APP, MART, NOT_NULL
+from hearken.schemas import DEFAULT_APP, LANDED_AS, MART, NOT_NULL, OPTIONAL
 
 PASSED = "passed"
 
@@ -16,18 +16,24 @@ PASSED = "passed"
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns, order and types of a mart table; cells that do not fit become NULL.
 
-    Whole numbers written as text such as "1.0" are accepted, columns the input lacks are NULL.
+    A column is taken by its mart name or else by its landed name. Whole numbers written as text such as
+    "1.0" are accepted. An absent column is an error unless the table may lack it.
     """
-    cells = []
+    cells, absent = [], []
     for field in StructType.fromDDL(MART[table]).fields:
         name, kind = field.name, field.dataType.simpleString()
-        if name not in df.columns:
+        source = next((c for c in (name, LANDED_AS.get(table, {}).get(name)) if c in df.columns), None)
+        if source is None:
+            if name not in OPTIONAL.get(table, ()):
+                absent.append(name)
             cell = F.lit(DEFAULT_APP if (table, name) == ("competitor_reviews", "app") else None)
         elif kind in ("smallint", "int"):
-            cell = F.col(name).try_cast("double")
+            cell = F.col(source).try_cast("double")
         else:
-            cell = F.col(name)
+            cell = F.col(source)
         cells.append(cell.try_cast(kind).alias(name))
+    if absent:
+        raise ValueError(f"{table}: no column for {', '.join(absent)}")
     return df.select(*cells)
 
 
@@ -63,8 +69,8 @@ def load(spark: SparkSession, base: str, runs: DataFrame, tables: dict[str, Data
     for table, rows in tables.items():
         kept = conform(rows, table).join(passed, "run_id", "left_semi")
         (
-            # the hash spreads a large run over many files instead of one task
-            kept.repartition("run_id", F.pmod(F.xxhash64(*kept.columns), F.lit(16)))
+            # runs stay together, but large ones are split by their size
+            kept.hint("rebalance", F.col("run_id"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("run_id")

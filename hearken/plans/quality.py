@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions import hashing, text
 from hearken.functions.numeric import to_number, to_whole
-from hearken.operators import gate, mart
+from hearken.operators import gate, mart, survey
 from hearken.operators.cleaning import first_per_key, long_enough
-from hearken.plans import reviews
+from hearken.plans import reviews, surveys
 from hearken.plans.registry import Inputs, query
 from hearken.session import scratch_dir
 
@@ -288,15 +291,19 @@ def runs(t: Inputs):
     )
 
 
+def mart_points(t: Inputs):
+    return t.v_mart_painpoints.withColumn("rep_review", F.lit(None).cast("string"))
+
+
 @query(
     "mart_ddl",
-    """select run_id, topic, cast(freq as int) as freq, cast(avg_rating as decimal(3,1)) as avg_rating,
+    """select run_id, topic, cast(freq as int) as freq, cast(avg_rating as decimal(4,2)) as avg_rating,
        cast(mention_all_neg as decimal(5,1)) as mention_all_neg,
        cast(mention_assigned as decimal(5,1)) as mention_assigned, cast(null as varchar) as rep_review
        from v_mart_painpoints""",
 )
 def _(t: Inputs):
-    return mart.conform(t.v_mart_painpoints, "painpoints")
+    return mart.conform(mart_points(t), "painpoints")
 
 
 @query("mart_insert_run", "select run_id, gate_status from v_runs where gate_status = 'passed' and run_id >= '199500'")
@@ -305,17 +312,64 @@ def _(t: Inputs):
     return mart.new_runs(t.v_runs, existing).select("run_id", "gate_status")
 
 
-LOADED = """select 'runs' as table_name, count(*) as n_rows from v_runs where gate_status = 'passed' union all
-    select 'painpoints', count(*) from v_painpoints p join v_runs r on r.run_id = p.run_id
-    where gate_status = 'passed'"""
+def run_of(key: str):
+    """Spreads rows without a run over the months of seven years."""
+    year, month = F.lit(1992) + F.col(key) % 7, F.lpad((F.col(key) % 12 + 1).cast("string"), 2, "0")
+    return F.concat(year.cast("string"), month)
+
+
+def mart_tables(t: Inputs):
+    """The landed tables under the names the pipeline gives them."""
+    r = t.v_reviews.withColumns({"run_id": run_of("seq"), "date": F.col("review_date")})
+    landed = r.select("run_id", "review", "rating", "date", "likes", "source_type", F.lower("review").alias("tokens"))
+    members = survey.encode(surveys.answers(t)).withColumns(
+        {"run_id": run_of("respondent_id"), "segment": F.col("respondent_id") % 4, "is_synthetic": F.lit(True)}
+    )
+    return {
+        "painpoints": mart_points(t),
+        "reviews": landed,
+        "strengths": r.filter("rating = 5").select("run_id", "review", "rating", "likes"),
+        "competitor_reviews": r.filter("app = 'rival'").select("run_id", "review", "rating", "date"),
+        "segments": members,
+        "testimony": t.v_hits.select(run_of("seq").alias("run_id"), F.col("markup").alias("text")),
+    }
+
+
+def _loaded(table: str, source: str, key: str | None = None, where: str = "true", cell: str = "run_id") -> str:
+    run = "s.run_id" if key is None else f"cast(1992 + {key} % 7 as varchar) || lpad(cast({key} % 12 + 1 as varchar), 2, '0')"
+    return f"""select '{table}' as table_name, count(*) as n_rows, count({cell}) as n_filled
+        from (select {run} as run_id, s.* {"exclude (run_id)" if key is None else ""} from {source} s) p
+        join (select run_id as passed from v_runs where gate_status = 'passed') on passed = run_id where {where}"""
+
+
+# the cells counted are columns that the landed tables name differently
+FILLED = {
+    "painpoints": "mention_all_neg", "reviews": "review_date", "strengths": "rep_review",
+    "competitor_reviews": "app", "segments": "app_freq", "testimony": "testimony",
+}
+LOADED = " union all ".join(
+    [
+        _loaded("painpoints", "v_mart_painpoints", cell="mention_all_neg"),
+        _loaded("reviews", "v_reviews", "seq", cell="review_date"),
+        _loaded("strengths", "v_reviews", "seq", "rating = 5", "review"),
+        _loaded("competitor_reviews", "v_reviews", "seq", "app = 'rival'", "app"),
+        _loaded("segments", f"({surveys.ENCODED})", "respondent_id", cell="app_frequency"),
+        _loaded("testimony", "v_hits", "seq", cell="markup"),
+        "select 'runs', count(*), count(*) from v_runs where gate_status = 'passed'",
+    ]
+)
 
 
 @query("mart_load", LOADED)
 def _(t: Inputs):
-    base = scratch_dir(t.spark, "mart")
-    tables = {"painpoints": t.v_mart_painpoints}
+    base, tables = scratch_dir(t.spark, "mart"), mart_tables(t)
     mart.load(t.spark, base, runs(t), tables)
-    return mart.load(t.spark, base, runs(t), tables)  # a second load changes nothing
+    counts = mart.load(t.spark, base, runs(t), tables)  # a second load changes nothing
+    filled = [
+        mart.read(t.spark, base, table).agg(F.count(cell).alias("n_filled")).withColumn("table_name", F.lit(table))
+        for table, cell in {**FILLED, "runs": "run_id"}.items()
+    ]
+    return counts.join(reduce(DataFrame.unionByName, filled), "table_name")
 
 
 @query(

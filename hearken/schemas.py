@@ -10,9 +10,9 @@ MART = {
     "gate_status string, agent_results string",
     "reviews": "run_id string, review string, rating smallint, review_date date, likes int, "
     "source_type string, tokens string",
-    "painpoints": "run_id string, topic string, freq int, avg_rating decimal(3,1), "
+    "painpoints": "run_id string, topic string, freq int, avg_rating decimal(4,2), "
     "mention_all_neg decimal(5,1), mention_assigned decimal(5,1), rep_review string",
-    "strengths": "run_id string, topic string, freq int, avg_rating decimal(3,1), rep_review string, "
+    "strengths": "run_id string, topic string, freq int, avg_rating decimal(4,2), rep_review string, "
     "rating smallint, likes int",
     "competitor_reviews": "run_id string, review string, rating smallint, review_date date, app string",
     "segments": "run_id string, respondent_id int, devices_owned smallint, app_freq smallint, "
@@ -34,6 +34,28 @@ NOT_NULL = {
 }
 DEFAULT_APP = "rival"
 
+# What the landed tables call a mart column, where the names differ.
+LANDED_AS = {
+    "reviews": {"review_date": "date"},
+    "painpoints": {"mention_all_neg": "mention_all_pct", "mention_assigned": "mention_assigned_pct"},
+    "strengths": {"rep_review": "review"},
+    "competitor_reviews": {"review_date": "date"},
+    "segments": {
+        "app_freq": "app_frequency",
+        "bought_wedding": "wedding_purchase",
+        "p1_exp": "p1_experience",
+        "p2_exp": "p2_experience",
+        "has_watch": "owns_watch",
+    },
+    "testimony": {"testimony": "text"},
+}
+# Columns a landed table may lack; they are NULL then, but for the app.
+OPTIONAL = {
+    "runs": ("agent_results",),
+    "strengths": ("topic", "freq", "avg_rating", "rating", "likes"),
+    "competitor_reviews": ("app",),
+}
+
 LINEAGE_META = (
     "run_id string, status string, source_type string, app_id string, warning string, "
     "raw_csv_hash string, clean_csv_hash string, painpoints_csv_hash string, "

@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from hearken.functions import hashing
+from hearken.functions.fixed_values import FEATURE_HEADERS
 from hearken.operators import gate, mart
 
 META = dict(
@@ -124,13 +125,25 @@ def test_mart_load_is_idempotent_and_takes_passed_runs_only(spark, tmp_path):
     segments = spark.createDataFrame(
         [("r1", "1.0", "2.0", True), ("r1", "2", "x", False), ("r2", "3", "1", True), ("r3", "4", None, True)],
         "run_id string, respondent_id string, age_band string, is_synthetic boolean",
-    )
+    ).withColumns({c: F.lit("3.0") for c in (*FEATURE_HEADERS, "segment") if c != "age_band"})
     first = rows(mart.load(spark, base, runs, {"segments": segments}))
     again = rows(mart.load(spark, base, runs, {"segments": segments}))
     assert first == again == [("runs", 2), ("segments", 3)]
     mart.load(spark, base, runs.filter("run_id = 'r3'"), {"segments": segments.filter("respondent_id = '9'")})
     stored = mart.read(spark, base, "segments")
     assert rows(stored, "run_id", "respondent_id", "age_band")[:2] == [("r1", 1, 2), ("r1", 2, None)]
+    landed_otherwise = ("app_freq", "bought_wedding", "p1_exp", "p2_exp", "has_watch")
+    assert stored.filter(F.least(*landed_otherwise) == 3).count() == 3
+
+
+def test_mart_columns_are_mapped_or_missed(spark):
+    points = spark.createDataFrame([("r1", "t", 4, 2.45, 10.0, 12.5, "q")], "run_id string, topic string, freq long, avg_rating double, mention_all_pct double, mention_assigned_pct double, rep_review string")
+    got = mart.conform(points, "painpoints").first()
+    assert (float(got["avg_rating"]), float(got["mention_all_neg"]), float(got["mention_assigned"])) == (2.45, 10.0, 12.5)
+    with pytest.raises(ValueError, match="mention_all_neg, mention_assigned"):
+        mart.conform(points.drop("mention_all_pct", "mention_assigned_pct"), "painpoints")
+    rival = spark.createDataFrame([("r1", "t", 4)], "run_id string, review string, rating int").withColumn("date", F.current_date())
+    assert mart.conform(rival, "competitor_reviews").first()["app"] == "rival"
 
 
 def test_constraints(spark):
