@@ -61,8 +61,7 @@ LDA_TOPICS = 5
 LDA_SEED = 42
 TOPIC_LABEL_WORDS = 4
 MIN_TOPIC_SIZE = 5
-LARGE_CORPUS = 1000
-LARGE_CORPUS_TOPICS = 16
+TOPICS_ON_VECTORS = 16
 QUOTE_LENGTH = 100
 STRENGTH_ROWS = 10
 

@@ -63,21 +63,26 @@ def representative(
     return winners.join(assigned.select("seq", F.col("review").alias("rep_review")), "seq")
 
 
-def with_quotes(points: DataFrame, quotes: DataFrame, topic: str = "topic") -> DataFrame:
-    """Attach the representative text, cut to report length; topics without one get ''."""
-    quote = F.substring(F.coalesce(F.col("rep_review"), F.lit("")), 1, QUOTE_LENGTH)
+def with_quotes(
+    points: DataFrame, quotes: DataFrame, topic: str = "topic", length: int | None = QUOTE_LENGTH
+) -> DataFrame:
+    """Attach the representative text, cut to report length (whole without one); topics without a text get ''."""
+    quote = F.coalesce(F.col("rep_review"), F.lit(""))
+    quote = quote if length is None else F.substring(quote, 1, length)
     return points.join(quotes.select(topic, "rep_review"), topic, "left").withColumn(
         "rep_review", quote
     )
 
 
-def pain_points(negatives: DataFrame, topic: str = "topic", weight: str = "topic_prob") -> DataFrame:
+def pain_points(
+    negatives: DataFrame, topic: str = "topic", weight: str = "topic_prob", length: int | None = QUOTE_LENGTH
+) -> DataFrame:
     """The six-column pain-point table in one aggregation.
 
-    Only the first characters of a text can reach the report, so the aggregation carries those and
-    not whole reviews.
+    Only the first `length` characters of a text can reach the report, so the aggregation carries those and
+    not whole reviews; with None it carries the texts.
     """
-    quote = F.substring("review", 1, QUOTE_LENGTH)
+    quote = F.col("review") if length is None else F.substring("review", 1, length)
     best = F.max_by(quote, F.struct(F.col(weight), -F.col("seq")))
     counts = negatives.groupBy(topic).agg(
         F.count(F.lit(1)).alias("freq"),

@@ -11,33 +11,34 @@ from pyspark.sql import functions as F
 from hearken.functions import text
 from hearken.functions.fixed_values import (
     COUNT_TERMS,
-    LARGE_CORPUS,
-    LARGE_CORPUS_TOPICS,
     LDA_SEED,
     LDA_TOPICS,
     MIN_NEGATIVES,
     MIN_TOPIC_SIZE,
     NOISE_TOPIC,
     TOPIC_LABEL_WORDS,
+    TOPICS_ON_VECTORS,
 )
 from hearken.operators.cleaning import top_per_key
-from hearken.operators.vectors import corpus_size, doc_terms, vocabulary
+from hearken.operators.vectors import corpus_size, doc_terms, published_min_df, vocabulary
 
 
 def lda_topic_count(n_docs: int, requested: int = LDA_TOPICS) -> int:
+    """The published number of topics of a corpus."""
     return min(requested, max(2, n_docs // 10))
 
 
 def lda_topics(
     negatives: DataFrame,
     content: str = "tokens",
-    requested: int = LDA_TOPICS,
+    k: int | None = None,
     seed: int = LDA_SEED,
     iterations: int = 20,
+    max_terms: int = COUNT_TERMS,
 ) -> tuple[DataFrame, DataFrame]:
     """Assign every document its most likely topic; also return the labelled topic table.
 
-    The vocabulary (at most COUNT_TERMS words) and the topic-word matrix are model parameters and
+    Without `k` the published number of topics is taken. The vocabulary (at most `max_terms` words) and the topic-word matrix are model parameters and
     live on the driver, the documents do not.
     """
     spark = negatives.sparkSession
@@ -45,11 +46,11 @@ def lda_topics(
     if n_docs < MIN_NEGATIVES:
         raise ValueError(f"{n_docs} negative reviews, at least {MIN_NEGATIVES} are needed")
     terms = doc_terms(negatives, content, pairs=False)
-    words = [r["term"] for r in vocabulary(terms, corpus_size(negatives), COUNT_TERMS).collect()]
+    words = [r["term"] for r in vocabulary(terms, max_terms, published_min_df(corpus_size(negatives))).collect()]
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="_words", outputCol="_tf")
     counted = counter.transform(negatives.withColumn("_words", text.words(F.col(content))))
     model = LDA(
-        k=lda_topic_count(n_docs, requested), seed=seed, maxIter=iterations, featuresCol="_tf"
+        k=k or lda_topic_count(n_docs), seed=seed, maxIter=iterations, featuresCol="_tf"
     ).fit(counted.select("seq", "_tf"))
     strongest = model.describeTopics(TOPIC_LABEL_WORDS).collect()
     labels = {
@@ -104,7 +105,7 @@ def topic_labels(words: DataFrame, topic: str = "topic") -> DataFrame:
 
 def embedding_topics(
     negatives: DataFrame,
-    k: int | None = None,
+    k: int = TOPICS_ON_VECTORS,
     seed: int = LDA_SEED,
     min_size: int = MIN_TOPIC_SIZE,
     far: float = 3.0,
@@ -119,8 +120,6 @@ def embedding_topics(
     n_docs = vectors.count()
     if n_docs < MIN_NEGATIVES:
         raise ValueError(f"{n_docs} negative reviews, at least {MIN_NEGATIVES} are needed")
-    if k is None:
-        k = LARGE_CORPUS_TOPICS if n_docs > LARGE_CORPUS else max(2, n_docs // 50)
     model = KMeans(k=k, seed=seed, featuresCol="x").fit(vectors)
     centres = F.create_map(
         *[

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearken.functions import hashing, text
-from hearken.functions.fixed_values import EMBEDDING_MODEL, SMALL_CORPUS, TFIDF_TERMS, TFIDF_TOP
+from hearken.functions.fixed_values import EMBEDDING_MODEL, SMALL_CORPUS, TFIDF_TOP
 from hearken.functions.numeric import round_even
 
-# A vocabulary of up to this many terms is certain to fit every executor.
-BROADCAST_TERMS = 100_000
-
 
 def doc_terms(df: DataFrame, content: str = "tokens", pairs: bool = True) -> DataFrame:
     """(seq, term, tf) of every document, with word pairs when `pairs`.
@@ -34,42 +31,39 @@ def corpus_size(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def min_df(n_docs: Column) -> Column:
-    """Small corpora keep words that occur once."""
+def published_min_df(n_docs: Column) -> Column:
+    """The published rule: small corpora keep words that occur once. Operators take it only as an argument."""
     return F.when(n_docs < SMALL_CORPUS, F.lit(1)).otherwise(F.lit(2))
 
 
-def vocabulary(terms: DataFrame, n_docs: Column, max_terms: int) -> DataFrame:
-    """The most frequent terms with their document frequency."""
-    return (
+def vocabulary(terms: DataFrame, max_terms: int | None = None, least_df: int | Column = 1) -> DataFrame:
+    """All terms of at least `least_df` documents with their frequencies; with `max_terms` only the most frequent."""
+    found = (
         terms.groupBy("term")
         .agg(F.sum("tf").alias("corpus_tf"), F.count(F.lit(1)).alias("df"))
-        .filter(F.col("df") >= min_df(n_docs))
-        .orderBy(F.desc("corpus_tf"), "term")
-        .limit(max_terms)
+        .filter(F.col("df") >= least_df)
     )
+    return found if max_terms is None else found.orderBy(F.desc("corpus_tf"), "term").limit(max_terms)
 
 
-def restrict(terms: DataFrame, vocab: DataFrame, max_terms: int) -> DataFrame:
-    """Keep vocabulary terms; the vocabulary is sent to all tasks only when its limit is small."""
-    small = F.broadcast(vocab) if max_terms <= BROADCAST_TERMS else vocab
-    return terms.join(small, "term")
-
-
-def count_vectors(df: DataFrame, max_terms: int, content: str = "tokens") -> DataFrame:
+def count_vectors(
+    df: DataFrame, max_terms: int | None = None, least_df: int | Column = 1, content: str = "tokens"
+) -> DataFrame:
     terms = doc_terms(df, content, pairs=False)
-    vocab = vocabulary(terms, corpus_size(df), max_terms).select("term")
-    return restrict(terms, vocab, max_terms).select("seq", "term", "tf")
+    vocab = vocabulary(terms, max_terms, least_df).select("term")
+    return terms.join(vocab, "term").select("seq", "term", "tf")
 
 
-def tfidf(df: DataFrame, content: str = "tokens", max_terms: int = TFIDF_TERMS) -> DataFrame:
-    """(seq, term, tf, tfidf): smoothed idf, rows of length one."""
+def tfidf(
+    df: DataFrame, content: str = "tokens", max_terms: int | None = None, least_df: int | Column = 1
+) -> DataFrame:
+    """(seq, term, tf, tfidf): smoothed idf, rows of length one, over all terms unless limits are given."""
     n_docs = corpus_size(df)
     terms = doc_terms(df, content)
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    vocab = vocabulary(terms, n_docs, max_terms).select("term", idf.alias("idf"))
-    weighted = restrict(terms, vocab, max_terms).withColumn("w", F.col("tf") * F.col("idf"))
-    # a document has at most max_terms rows here
+    vocab = vocabulary(terms, max_terms, least_df).select("term", idf.alias("idf"))
+    weighted = terms.join(vocab, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # one document's distinct terms, however many documents there are
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("seq")))
     return weighted.select("seq", "term", "tf", (F.col("w") / length).alias("tfidf"))
 

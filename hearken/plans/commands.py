@@ -126,13 +126,19 @@ def _(t: Inputs):
 # --- the same as streams over landed files -----------------------------------------------------
 
 
-def run_stream(t: Inputs, source: DataFrame, build, purpose: str) -> DataFrame:
-    """Land the source as files, drain the stream over them, read what it wrote."""
+def run_stream(t: Inputs, source: DataFrame, build, purpose: str, closing: list[DataFrame] | None = None) -> DataFrame:
+    """Land the source as files, drain the stream over them, read what it wrote.
+
+    Each closing table lands later, as a file of its own that moves the watermark on.
+    """
     stateful.use_state_store(t.spark)
     base = scratch_dir(t.spark, purpose)
     source.write.parquet(f"{base}/in")
     stream = build(stateful.landed(t.spark, f"{base}/in", source.schema))
     stateful.drain(stream, f"{base}/out", f"{base}/checkpoint")
+    for marker in closing or []:
+        marker.write.mode("append").parquet(f"{base}/in")
+        stateful.drain(stream, f"{base}/out", f"{base}/checkpoint")
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -149,17 +155,22 @@ def _(t: Inputs):
     return run_stream(t, timed(t.v_challenges), stateful.replay_guard, "replay")
 
 
-@query(
-    "stream_frame_reassembly",
-    FRAMES.replace("from r", "from r where outcome <> 'total_not_received'"),
-)
+@query("stream_frame_reassembly", FRAMES)
 def _(t: Inputs):
-    """Messages decided by their frames alone; whether an incomplete one has already timed out
-    depends on how far the watermark got, so those are left out on both sides."""
-    arrived = F.timestamp_seconds(F.col("msg_id") * 60 + F.col("seq_no"))
+    """All outcomes: two closing markers, messages -1 and -2, move the watermark past the last frame, so that
+    incomplete messages time out."""
+    # a stream's watermark starts at 1970-01-01 00:00 and frames at or before it are late
+    arrived = F.timestamp_seconds(F.col("msg_id") * 60 + F.col("seq_no") + 3600)
     frames = t.v_frames.withColumn("ts", arrived)
-    done = run_stream(t, frames, stateful.reassemble, "frames")
-    return done.filter(F.col("outcome") != "total_not_received")
+    last = frames.agg(F.max("ts").alias("ts"))
+    cells = {"msg_id": F.lit(-1), "seq_no": F.lit(0), "total": F.lit(1), "payload": F.lit(""), "ts": F.col("ts")}
+
+    def marker(day: int) -> DataFrame:
+        own = cells | {"msg_id": F.lit(-day), "ts": F.col("ts") + F.make_dt_interval(F.lit(day))}
+        return last.select(*[own[f.name].cast(f.dataType).alias(f.name) for f in frames.schema])
+
+    done = run_stream(t, frames, stateful.reassemble, "frames", [marker(1), marker(2)])
+    return done.filter("msg_id >= 0")
 
 
 @query("ingest_checkpoint", "select page_id, url, html from pages")

@@ -157,5 +157,5 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     path = scratch_dir(t.spark, "weights")
-    sinks.save_weights(vectors.tfidf(models.tokenised(t)), path)
+    sinks.save_weights(models.weights(t), path)
     return t.spark.read.parquet(f"{path}/vocabulary")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearken.functions.fixed_values import COUNT_TERMS, FEATURE_HEADERS
+from hearken.functions.fixed_values import COUNT_TERMS, FEATURE_HEADERS, LDA_TOPICS, TFIDF_TERMS, TOPICS_ON_VECTORS
 from hearken.functions.numeric import round_even
 from hearken.operators import segments, survey, topics, vectors
 from hearken.plans import reviews
@@ -34,10 +34,15 @@ def tokenised(t: Inputs):
     )
 
 
+def weights(t: Inputs):
+    """TF-IDF with the published limits: 2,000 terms, and words that occur once only in small corpora."""
+    docs = tokenised(t)
+    return vectors.tfidf(docs, max_terms=TFIDF_TERMS, least_df=vectors.published_min_df(vectors.corpus_size(docs)))
+
+
 @query("tfidf", f"with {TERM_CTES} select seq, term, tf, round_half(tfidf, 6) as tfidf from x")
 def _(t: Inputs):
-    weights = vectors.tfidf(tokenised(t))
-    return weights.withColumn("tfidf", round_even(F.col("tfidf"), 6))
+    return weights(t).withColumn("tfidf", round_even(F.col("tfidf"), 6))
 
 
 @query(
@@ -46,7 +51,7 @@ def _(t: Inputs):
         select term, score from s order by score desc, term limit 15""",
 )
 def _(t: Inputs):
-    return vectors.top_terms(vectors.tfidf(tokenised(t)))
+    return vectors.top_terms(weights(t))
 
 
 @query(
@@ -59,7 +64,8 @@ def _(t: Inputs):
         select seq, term, tf from tf where term in (select term from vocab)""",
 )
 def _(t: Inputs):
-    return vectors.count_vectors(tokenised(t), COUNT_TERMS)
+    docs = tokenised(t)
+    return vectors.count_vectors(docs, COUNT_TERMS, vectors.published_min_df(vectors.corpus_size(docs)))
 
 
 TOPIC_WORDS = f"""{reviews.CLEAN_CTES},
@@ -94,14 +100,14 @@ def _(t: Inputs):
 @query("topics_lda")
 def _(t: Inputs):
     docs = materialize(low_rated(t), "lda-docs")
-    assigned, _table = topics.lda_topics(docs)
+    assigned, _table = topics.lda_topics(docs, k=LDA_TOPICS)
     return assigned.select("seq", "topic", "topic_label", F.round("topic_prob", 4).alias("topic_prob"))
 
 
 @query("lda_topic_terms")
 def _(t: Inputs):
     docs = materialize(low_rated(t), "lda-docs")
-    return topics.lda_topics(docs)[1]
+    return topics.lda_topics(docs, k=LDA_TOPICS)[1]
 
 
 # --- embeddings ------------------------------------------------------------------------------
@@ -152,7 +158,7 @@ def _(t: Inputs):
 def _(t: Inputs):
     low = t.v_reviews.filter(F.col("rating") <= 3).drop("topic", "topic_prob")
     docs = materialize(vectors.with_embeddings(low, t.embeddings), "topic-docs")
-    return topics.embedding_topics(docs).select("seq", "topic", F.round("topic_prob", 4).alias("topic_prob"))
+    return topics.embedding_topics(docs, k=TOPICS_ON_VECTORS).select("seq", "topic", F.round("topic_prob", 4).alias("topic_prob"))
 
 
 # --- segments --------------------------------------------------------------------------------
