@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hearken.operators import cleaning, commands, ordered
+from hearken.operators import cleaning, commands, ordered, painpoints, vectors
 
 
 def skewed(spark, n=600):
@@ -100,3 +100,27 @@ def test_frame_rules(spark):
         "too_large", "too_many_frames", "seq_out_of_range",
     ]
     assert all(got[i][1] is None for i in range(2, 10))
+
+
+def test_exact_medians_with_far_values(spark):
+    rng = random.Random(2)
+    a = [rng.gauss(0, 1) for _ in range(20_000)] + [1e300, -1e300, float(1 << 60)]
+    b = [float(i % 2) * 1e9 for i in range(len(a))]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double").repartition(5)
+    got = {r["feature"]: r["median"] for r in ordered.exact_medians(df, ["a", "b"]).collect()}
+    assert got == {"a": statistics.median(a), "b": statistics.median(b)}
+    empty = spark.createDataFrame([], "a double, b double")
+    assert ordered.exact_medians(empty, ["a", "b"]).count() == 0
+
+
+def test_no_limits_by_default(spark):
+    long = "x" * 5000
+    rows = [(i, long + str(i), 0, 1.0, 2) for i in range(3)]
+    df = spark.createDataFrame(rows, "seq long, review string, topic int, topic_prob double, rating int")
+    assert painpoints.pain_points(df, length=None).first()["rep_review"] == long + "0"
+    assert painpoints.pain_points(df).first()["rep_review"] == long[:100]
+    docs = spark.createDataFrame([(i, f"word{i} shared") for i in range(2500)], "seq long, tokens string")
+    terms = vectors.doc_terms(docs, pairs=False)
+    assert vectors.vocabulary(terms).count() == 2501
+    assert [r["term"] for r in vectors.vocabulary(terms, least_df=2).collect()] == ["shared"]
+    assert vectors.vocabulary(terms, max_terms=7).count() == 7
