@@ -21,17 +21,19 @@ from hearken.functions.fixed_values import (
 from hearken.functions.text import matches
 
 NON_ASCII = r"[^\x00-\x7F]"
+# Texts of ASCII and Hangul syllables only are their own NFKC form.
+NOT_STABLE = r"[^\x00-\x7F\uAC00-\uD7A3]"
 HIDDEN = r"[\p{Cf}\p{Cs}]"
 
 
 def compatibility_form(text: Column) -> Column:
-    """NFKC. ASCII text is its own NFKC form, so only other text travels to Python."""
+    """NFKC. Only text that may differ from it travels to Python."""
 
     @F.pandas_udf("string")
     def nfkc(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.coalesce(nfkc(F.when(text.rlike(NON_ASCII), text)), text)
+    return F.coalesce(nfkc(F.when(text.rlike(NOT_STABLE), text)), text)
 
 
 def any_fragment(text: Column, fragments: tuple[str, ...]) -> Column:

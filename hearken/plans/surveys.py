@@ -9,6 +9,8 @@ from hearken.functions.fixed_values import CODEBOOK, FEATURE_HEADERS
 from hearken.functions.numeric import round_even
 from hearken.operators import scoring, segments, survey
 from hearken.plans.registry import Inputs, query
+from hearken.session import scratch_dir
+from hearken.sources import readers, sinks
 
 NUMERIC = ["f1", "f2", "f3"]
 
@@ -51,9 +53,17 @@ def answers(t: Inputs):
     return survey.without_screened_out(survey.with_question_names(raw_export(t)))
 
 
+def landed_export(t: Inputs):
+    """The form export written as CSV and read back, every cell text but the respondent's number."""
+    raw, path = raw_export(t), scratch_dir(t.spark, "survey-csv")
+    sinks.rows_csv(raw, path)
+    number = F.col("respondent_id").cast(raw.schema["respondent_id"].dataType)
+    return readers.survey_export(t.spark, path).withColumn("respondent_id", number)
+
+
 @query("src_survey_raw", "select respondent_id, q1, q5, q13, q13_1 from v_survey_raw")
 def _(t: Inputs):
-    named = survey.with_question_names(raw_export(t))
+    named = survey.with_question_names(landed_export(t))
     return named.select("respondent_id", "q1", "q5", "q13", "q13_1")
 
 
@@ -101,7 +111,8 @@ def _(t: Inputs):
     f"select respondent_id, {', '.join(FEATURE_HEADERS)} from ({ENCODED})",
 )
 def _(t: Inputs):
-    return survey.encode(answers(t)).select("respondent_id", *FEATURE_HEADERS)
+    landed = survey.without_screened_out(survey.with_question_names(landed_export(t)))
+    return survey.encode(landed).select("respondent_id", *FEATURE_HEADERS)
 
 
 @query(

@@ -116,3 +116,12 @@ def test_identifier_rules_see_through_full_width_and_hidden_characters(spark):
     assert found[0] == ["email"] and "hidden_characters" in found[1]
     assert found[2] == ["phone"] and "national_id" in found[3]
     assert found[4] == ["identifier_phrase"] and found[5] == [] and found[6] == ["too_long"]
+
+
+def test_compatibility_form_agrees_with_nfkc(spark):
+    import unicodedata
+
+    texts = ["plain", "한글 리뷰", "한글 ａｂｃ", "ᄒ" + "ᅡ" + "ᆫ", "가" + "ᆨ", "①②", "e" + "\u0301", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["f"] for r in df.select("i", privacy.compatibility_form(F.col("t")).alias("f")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
