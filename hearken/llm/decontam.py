@@ -182,8 +182,8 @@ class ItemIndex:
         found = self.candidates(words)
         if not len(found):
             return
-        owner = np.clip(np.searchsorted(bounds, found[:, 1], "right") - 1, 0, len(bounds) - 2)
-        # a place just before its text belongs to the text in which the window stands
+        filled = np.flatnonzero(np.diff(bounds) > 0)
+        begins = bounds[filled]
         for item in np.unique(found[:, 0]).tolist():
             own, limit, size = self.items[item], self.limits[item], len(self.items[item])
             rows = np.flatnonzero(found[:, 0] == item)
@@ -196,9 +196,12 @@ class ItemIndex:
                 spot = np.minimum(np.searchsorted(vocabulary, seen), len(vocabulary) - 1)
                 enough = (vocabulary[spot] == seen).sum(axis=1) >= size - limit
                 best: dict[int, int] = {}
-                for row in part[enough].tolist():
-                    place = int(found[row, 1])
-                    for text in {int(owner[row]), min(int(owner[row]) + 1, len(bounds) - 2)}:
+                # a copy may begin or end outside its text, so every text with words in the region is tried
+                first = np.maximum(np.searchsorted(begins, found[part, 1] - limit, "right") - 1, 0)
+                last = np.searchsorted(begins, found[part, 1] + size + limit, "left")
+                for i in np.flatnonzero(enough).tolist():
+                    place = int(found[part[i], 1])
+                    for text in filled[first[i] : last[i]].tolist():
                         low, high = max(place - limit, int(bounds[text])), min(place + size + limit, int(bounds[text + 1]))
                         if best.get(text, size) == 0 or high - low < size - limit:
                             continue

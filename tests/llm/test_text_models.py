@@ -153,6 +153,20 @@ def test_recall_at_the_limit_and_no_false_match():
     assert found >= 0.95 * wanted
 
 
+@pytest.mark.parametrize("between", [[""], ["one"], [""] * 300, ["one", "", "two", ""]])
+def test_cut_copies_behind_any_neighbours(between):
+    rng = random.Random(3)
+    item = words(rng, 30)
+    index = decontam.ItemIndex([(4, " ".join(item))])
+    head = [" ".join(words(rng, 50)), *between, " ".join(item[2:] + words(rng, 2)), *between, " ".join(words(rng, 10))]
+    start = 50 + sum(map(len, map(str.split, between)))
+    index.candidates = lambda _: np.array([[0, start - 2]])  # one alignment only, that of the words that are left
+    assert list(index.search(head)) == [(1 + len(between), 0, 2)]
+    tail = [" ".join(words(rng, 50) + item[:-2]), *between, " ".join(words(rng, 50))]
+    index.candidates = lambda _: np.array([[0, 50]])
+    assert list(index.search(tail)) == [(0, 0, 2)]
+
+
 def test_contaminations_edges(spark, monkeypatch):
     rng = random.Random(9)
     item = " ".join(words(rng, 20))
