@@ -13,6 +13,12 @@ Only distinct fingerprints are compared, so groups of copies cost one row. Compo
 Defined results: a null or empty text, or one of white space only, has the fingerprint zero, which links like any
 other; a text of one or two words is one shingle. Rows with a null doc_id get a fingerprint and no component. Repeated
 rows stay as they are, each with the same fingerprint and component. Further columns are ignored.
+
+`keep_first` asks for more than three bits can tell: texts are near copies if the sets of their five-word shingles have a
+Jaccard similarity of at least 0.8 (`similar`). Such pairs lie about ten bits apart, so candidates come from bands of
+MinHash values instead: 16 bands of 4 meet a pair at 0.8 with probability 0.9998. Every candidate is verified exactly by
+its shingles. Buckets of up to SMALL distinct texts give all pairs; in a larger one all are compared with one leader, which
+differs from band to band, so that pairs grow with the rows. A text of fewer words than a shingle is one shingle.
 """
 
 from __future__ import annotations
@@ -38,6 +44,15 @@ SEGMENTS = (0, 16, 32, 48)  # lowest bits
 WIDTH = 16
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 SLICE = 1 << 16  # shingles whose bits are unpacked at once
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+BANDS = 16
+BAND = 4  # MinHash values in a key
+SMALL = 32
+MIXED = 1 << 12  # shingles whose MinHash values are computed at once
+_rng = np.random.default_rng(11)
+FLIPS = _rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
+FACTORS = _rng.integers(0, 1 << 62, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -175,12 +190,100 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return wide.select(id_col, hexed.alias("fingerprint"), own.alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row per component, the smallest id; rows with a null id stay.
+def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """Hash of the word sequence, and the distinct hashes of its shingles."""
+    words = (text or "").encode().lower().split()
+    joined = b" ".join(words)
+    whole = xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= width:
+        return whole, np.array([whole], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, ends = (ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return whole, np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), MIXED):
+        mixed = (shingles[at : at + MIXED] ^ FLIPS[:, None]) * FACTORS[:, None]
+        least = np.minimum(least, mixed.min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND))]
+
+
+def _banded(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, print, size of the shingle set, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            prints = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
+            keys = pa.array(list(np.array([band_keys(r[1]) for r in rows], np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([len(r[1]) for r in rows], pa.int32()), keys], ["id", "print", "size", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
+    return picked.mapInArrow(run, f"id {kind}, print bigint, size int, keys array<bigint>")
+
+
+def _shingled(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(print, shingles), one row per print."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            prints = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
+            sets = pa.array([r[1].view(np.int64) for r in rows], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([prints, sets], ["print", "shingles"])
+
+    picked = small_batches(docs).select(F.col(text_col).cast("string"))
+    return picked.mapInArrow(run, "print bigint, shingles array<bigint>").dropDuplicates(["print"])
+
+
+def candidates(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(lead, other): distinct pairs of prints that share a bucket and whose sizes allow the similarity."""
+    rows = distinct.select("print", "size", F.explode("keys").alias("key"))
+    order = F.struct(F.xxhash64("print", "key").alias("turn"), F.col("print").alias("lead"), F.col("size").alias("lead_size"))
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    shared = materialize(rows.join(buckets.select("key", "n", "first.lead", "first.lead_size"), "key"), "buckets")
+    large = shared.filter(F.col("n") > SMALL).select("lead", "lead_size", F.col("print").alias("other"), "size")
+    small = shared.filter(F.col("n") <= SMALL).select("key", "print", "size")
+    pairs = small.select("key", F.col("print").alias("lead"), F.col("size").alias("lead_size")).join(small.withColumnRenamed("print", "other"), "key")
+    pairs = pairs.filter("lead < other").select("lead", "lead_size", "other", "size")
+    fits = F.least("lead_size", "size") >= similarity * F.greatest("lead_size", "size")
+    return pairs.unionByName(large.filter("lead <> other")).filter(fits).select("lead", "other").distinct()
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """(id, component_id) of rows with an id: the smallest id reachable over pairs of at least that Jaccard similarity."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    prints = materialize(_banded(named, id_col, text_col, shingle), "shingles")
+    least = F.min(F.struct("id", "size", "keys")).alias("row")
+    distinct = materialize(prints.groupBy("print").agg(least).select("print", F.col("row.id").alias("first"), "row.size", "row.keys"), "prints")
+    pairs = materialize(candidates(distinct, similarity), "pairs")
+    asked = pairs.select(F.col("lead").alias("print")).unionByName(pairs.select(F.col("other").alias("print"))).distinct()
+    ids = distinct.join(asked, "print", "left_semi").select(F.col("first").alias(id_col)).distinct()
+    sets = materialize(_shingled(named.join(ids, id_col, "left_semi"), text_col, shingle), "sets")
+    met = pairs.join(sets.select(F.col("print").alias("other"), F.col("shingles").alias("b")), "other")
+    met = met.join(sets.select(F.col("print").alias("lead"), F.col("shingles").alias("a")), "lead")
+    common = F.size(F.array_intersect("a", "b"))
+    linked = met.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select(F.col("lead").alias("a"), F.col("other").alias("b"))
+    merged = components(linked, distinct.select(F.col("print").alias("id"), "first"))
+    owners = merged.select(F.col("id").alias("print"), F.col("first").alias("component_id"))
+    return prints.select(F.col("id").alias(id_col), "print").join(owners, "print").select(id_col, "component_id")
+
+
+def keep_first(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY
+) -> DataFrame:
+    """The documents with one row per component of `similar`, the smallest id; rows with a null id stay.
 
     Of repeated rows with that id one stays, the one with the smallest text.
     """
-    first = groups(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    first = similar(docs, id_col, text_col, shingle, similarity).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     kept = docs.join(first, id_col, "left_semi")
     rest = [c for c in docs.columns if c != id_col]
     once = kept.groupBy(id_col).agg(F.min(F.struct(text_col, *[c for c in rest if c != text_col])).alias("row"))

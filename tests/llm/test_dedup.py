@@ -107,6 +107,35 @@ def test_keep_first(spark):
     assert kept == sorted([(2, "a b c d", "y"), (9, "other words in here", None), (None, "a b c d", "z")], key=repr)
 
 
+@pytest.mark.parametrize("small", [simhash.SMALL, 2])
+def test_keep_first_joins_near_copies_that_three_bits_miss(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.choice([3, 30, 200]))) for _ in range(12)]
+    for t in texts[:12]:
+        for n in (1, 2, 4, 8):
+            changed = t.split()
+            for at in rng.sample(range(len(changed)), min(n, len(changed))):
+                changed[at] = "new"
+            texts.append(" ".join(changed))
+    texts += [None, "", " "]
+    sets = [simhash.shingle_set(t, 5)[1].tolist() for t in texts]
+    plain = {}
+    for t in texts:
+        w = (t or "").lower().split()
+        plain[t] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    assert [len(s) for s in sets] == [len(plain[t]) for t in texts]
+    ids = range(len(texts))
+    links = [(a, b) for b in ids for a in range(b) if len(plain[texts[a]] & plain[texts[b]]) >= 0.8 * len(plain[texts[a]] | plain[texts[b]])]
+    assert sum((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3 for a, b in links) >= 4
+    want = union(links, ids)
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], DOCS)
+    kept = simhash.keep_first(docs)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [i for i in ids if want[i] == i]
+    assert kept.filter("doc_id is null").count() == 1
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
 def test_groups_of_nothing(spark):
     assert simhash.groups(spark.createDataFrame([], DOCS)).count() == 0
 
