@@ -1,23 +1,25 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-Texts are cut into sentences at line ends and after `.`, `!`, `?`, `;` or `:` followed by white space. A sentence is
-normalised: lower case, and every run of other characters than a-z and 0-9 becomes one space. Known sentences have
-identifiers; they reach the texts by a broadcast join, since their table is as small as the list below (its size does not
-depend on the corpus). The identifiers of a text, in order, are matched against ordered rules: each rule is a sequence
-of identifiers, a rule that occurs yields its licence and takes its sentences away, and later rules see the rest. So a
-longer licence, which comes first, is not also reported as a shorter one that it contains.
+Texts are cut after `.`, `!`, `?`, `;` or `:` followed by white space, at line ends, and between paragraphs (at lines without
+a letter or digit). A sentence is one piece, or several pieces in a row that only single line ends part, so hard-wrapped
+licences and commented headers are read as well: what stands before the first letter or digit of a line, and a leading
+`rem` or `dnl`, is a comment mark. A sentence is normalised: lower case, and every run of other characters than a-z and 0-9
+becomes one space. All known sentences form one regular expression, a tree of their words, which begins and ends at cuts
+only; of several that begin at one cut the longest counts, and pieces within it do not count again. Known sentences have
+identifiers. The identifiers of a text, in order, are matched against ordered rules: each rule is a sequence of identifiers,
+a rule that occurs yields its licence and takes its sentences away, and later rules see the rest. So a longer licence, which
+comes first, is not also reported as a shorter one that it contains.
 
 Defined results: null and empty texts, and texts without a known sentence, have no licence (an empty list and an empty
-sequence). Repeated rows of a doc_id with the same text are each judged alike; rows are told apart by (doc_id, hash of the
-text), and rows with a null doc_id by that hash alone. A licence found several times is reported once. Further columns
-are ignored.
+sequence). Every row is judged by itself, repeated rows and rows with a null doc_id too. A licence found several times is
+reported once. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of published licences and notices, in rule order.
@@ -122,15 +124,35 @@ def table_of(rules: list[tuple[str, list[str]]]) -> tuple[dict[str, str], list[t
     return ids, ordered
 
 
-def sentence_column(sentence: Column) -> Column:
-    lower = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
+def marked_text(text: Column) -> Column:
+    """The normalised text, with a line end where only a single one stood and a bar at every other cut."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz ")
+    lower = F.replace(F.replace(lower, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    bare = F.regexp_replace(lower, r"(?md)^[^a-z0-9\n]*+(?:(?:rem|dnl)(?![^ \t\n])[^a-z0-9\n]*+)?", "")
+    cuts = F.regexp_replace(bare, r"[.!?;:][ \t\n\x0B\f]+|\n\n+", "|")
+    return F.concat(F.lit("|"), F.regexp_replace(cuts, r"[^a-z0-9\n|]+", " "), F.lit("|"))
 
 
-def known_sentences(spark: SparkSession, ids: dict[str, str]) -> DataFrame:
-    """(sentence, sid) as literals: nothing is sent from Python to the executors."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("sentence"), F.lit(i).alias("sid")) for s, i in ids.items()])
-    return spark.range(1).select(F.explode(pairs).alias("p")).select("p.*")
+def tree(sentences: list[list[str]]) -> str:
+    """A regular expression for the word sequences, the longer ones first."""
+    branches: dict[str, list[list[str]]] = {}
+    for words in sentences:
+        if words:
+            branches.setdefault(words[0], []).append(words[1:])
+    ways = []
+    for word, rest in branches.items():
+        after = tree(rest)
+        ways.append(word + (f"(?:[ \\n]+{after})" + "?" * ([] in rest) if after else ""))
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+
+
+def known_sentences(text: Column, ids: dict[str, str]) -> Column:
+    """Identifiers of the known sentences of a text, in text order."""
+    if not ids:
+        return F.array().cast("array<string>")
+    found = F.regexp_extract_all(marked_text(text), F.lit(rf"[\n|] ?({tree([s.split() for s in ids])})(?= ?[\n|])"), 1)
+    names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    return F.transform(found, lambda s: names[F.regexp_replace(s, r"[ \n]+", " ")])
 
 
 def matched(sequence: Column, rules: list[tuple[str, str]]) -> Column:
@@ -151,18 +173,6 @@ def matched(sequence: Column, rules: list[tuple[str, str]]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """(id, licenses, sentences): licences in rule order and identifiers in text order, both joined by spaces."""
     ids, ordered = table_of(rules)
-    tag = F.xxhash64(text_col)
-    plain = docs.select(F.col(id_col).alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
-    spread = plain.select("id", "tag", F.posexplode(F.split("text", CUT, -1)).alias("at", "raw"))
-    spread = spread.filter(F.length("raw") >= min(map(len, ids)))  # normalising never lengthens
-    spread = spread.select("id", "tag", "at", sentence_column(F.col("raw")).alias("sentence"))
-    hits = spread.join(F.broadcast(known_sentences(docs.sparkSession, ids)), "sentence").select("id", "tag", "at", "sid")
-    per_text = hits.groupBy("id", "tag").agg(F.array_sort(F.collect_set(F.struct("at", "sid"))).alias("hits"))
-    names = F.transform("hits", lambda h: h["sid"])
-    bars = F.array_join(F.transform(names, lambda s: F.concat(F.lit("|"), s, F.lit("|"))), "")
-    judged = per_text.select("id", "tag", F.array_join(matched(bars, ordered), " ").alias("licenses"), F.array_join(names, " ").alias("sentences"))
-    every = docs.select(F.col(id_col).alias("own_id"), tag.alias("own_tag"))
-    met = every.join(judged, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_tag") == F.col("tag")), "left")
-    return met.select(
-        F.col("own_id").alias(id_col), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("sentences", F.lit("")).alias("sentences")
-    )
+    judged = docs.select(id_col, F.coalesce(known_sentences(F.col(text_col), ids), F.array().cast("array<string>")).alias("_names"))
+    bars = F.array_join(F.transform("_names", lambda s: F.concat(F.lit("|"), s, F.lit("|"))), "")
+    return judged.select(id_col, F.array_join(matched(bars, ordered), " ").alias("licenses"), F.array_join("_names", " ").alias("sentences"))

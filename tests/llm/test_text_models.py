@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -110,6 +111,35 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_and_commented_licences(spark):
+    def wrapped(*parts, mark="", width=70, gap="\n\n"):
+        lines = gap.join(textwrap.fill(p, width - len(mark)) for p in parts).split("\n")
+        return "\n".join((mark + line).rstrip() for line in lines)
+
+    mit = ("MIT License", "Copyright (c) 2020 Someone", licenses.GRANT, licenses.NOTICE)
+    bsd = [licenses.REDISTRIBUTION, "1. " + licenses.SOURCE_FORM, "2. " + licenses.BINARY_FORM]
+    gpl = f"{licenses.GPL_FREE} {licenses.GPL_3}"
+    rows = [(wrapped(*mit, mark=m, width=w, gap=g), "MIT") for m in ("", " * ", "# ", "// ", ";; ", "! ", "dnl ", "REM ") for w in (40, 76) for g in ("\n", "\n\n")]
+    rows += [
+        (wrapped(*mit).replace("\n", "\r\n"), "MIT"),
+        ("/* " + wrapped(*mit, mark=" * ") + "\n */\nint x;", "MIT"),
+        (wrapped(*bsd), "BSD-2-Clause"),
+        (wrapped(*bsd, "3. " + licenses.ENDORSEMENT, mark="// "), "BSD-3-Clause"),
+        (wrapped(licenses.ISC_GRANT), "ISC"),
+        (licenses.ISC_GRANT.replace("granted, ", "granted,\n"), "ISC"),
+        (licenses.ZERO_GRANT + "\nprovided by nobody", "0BSD"),
+        (wrapped(gpl, mark="# "), "GPL-3.0-or-later"),
+        (wrapped(f"{licenses.GPL_OLD} {licenses.GPL_2}"), "GPL-2.0-or-later"),
+        (wrapped(licenses.APACHE_FILE + " " + licenses.APACHE_USE, mark="# ", width=50), "Apache-2.0"),
+        (licenses.ISC_GRANT.replace("fee is", "fee\n\nis"), ""),
+        ("we say: all rights reserved\nreleased under | the\nMIT license", "MIT LicenseRef-All-Rights-Reserved"),
+        ("not all rights reserved\nor all rights\nreserved", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert [(t, got[i]) for i, (t, want) in enumerate(rows) if got[i] != want] == []
+
+
 def words(rng, n):
     return ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n)]
 
