@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontam, langid, licenses, lines, negatives, pieces, pivots, quality, simhash, urls, warc
+from hearken.llm import decontam, langid, licenses, lines, negatives, phrases, pieces, pivots, quality, simhash, urls, warc
 from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,44 @@ def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?' || chr(10) || '-' || chr(13) || ']')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^ ' || chr(9) || ']+') AS ws FROM pieces
+), grams AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM worded, (VALUES (1), (2), (3)) sizes(m) WHERE len(ws) >= m)
+), counts AS (
+  SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), keyed AS (
+  SELECT lang || chr(10) || phrase AS key, f FROM counts WHERE f >= 10
+), sums AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE m > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN keyed x ON x.key = c.lang || chr(10) || array_to_string(c.ws[:k], ' ')
+  JOIN keyed y ON y.key = c.lang || chr(10) || array_to_string(c.ws[k + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covered AS (
+  SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM candidates WHERE m = 3
+), kept AS (
+  SELECT * FROM lowest c WHERE NOT EXISTS (SELECT 1 FROM covered o WHERE o.lang = c.lang AND o.phrase = c.phrase AND 100 * o.a >= 50 * c.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN sums USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query("op13_phrase_parse", PHRASES_SQL)
+def phrase_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(table(spark, folder, "documents").select("lang", "text"))
