@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearken.llm import decontam, langid, licenses, lines, negatives, phrases, pieces, pivots, quality, simhash, urls, warc
+from hearken.llm import decontam, langid, licenses, lines, negatives, phrases, pieces, pivots, quality, simhash, toxicity, urls, warc
 from hearken.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +265,13 @@ QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase
 @query("op13_phrase_parse", PHRASES_SQL)
 def phrase_parse(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.mine(table(spark, folder, "documents").select("lang", "text"))
+
+
+@query("op12_toxic_clauses")
+def toxic_clauses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learned = ~F.coalesce(langid.held_out(), F.lit(False))
+    labels = table(spark, folder, "labels").filter(learned).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.predict(docs, toxicity.train(docs, labels))
+    held_out = F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
