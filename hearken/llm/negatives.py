@@ -61,11 +61,12 @@ class Packed:
         most = max(1, self.size * range_a * (int(rows.max()) - self.low))
         self.width = most.bit_length()
         self.fields = EXACT_BITS // self.width or BIG_FIELDS
-        self.small = self.width <= EXACT_BITS
+        high = max(abs(least_a), abs(least_a + range_a)) * max(abs(self.low), abs(int(rows.max()))) * self.size
+        self.small = self.width <= EXACT_BITS and high < 1 << 62  # else in Python's integers
+        rows = rows if self.small else rows.astype(object)
         words = -(-n // self.fields)
-        biased = rows.astype(object) - self.low if not self.small else rows - self.low
-        padded = np.zeros((words * self.fields, self.size), biased.dtype)
-        padded[:n] = biased
+        padded = np.zeros((words * self.fields, self.size), rows.dtype)
+        padded[:n] = rows - self.low
         lanes = padded.reshape(self.fields, words, self.size)
         self.words = lanes[0].copy()
         for i in range(1, self.fields):
@@ -75,11 +76,12 @@ class Packed:
 
     def scores(self, anchors: np.ndarray) -> np.ndarray:
         """Exact inner products, anchors down and candidates across."""
+        anchors = anchors if self.small else anchors.astype(object)
         biased = anchors - self.least_a
         if self.small:
             product = (biased.astype(np.float64) @ self.words.astype(np.float64).T).astype(np.int64)
         else:
-            product = biased.astype(object) @ self.words.T
+            product = biased @ self.words.T
         mask = (1 << self.width) - 1
         found = np.concatenate([(product >> (self.width * i)) & mask for i in range(self.fields)], axis=1)[:, : self.n]
         return found + self.low * anchors.sum(axis=1)[:, None] + self.least_a * (self.sums - self.size * self.low)[None, :]
@@ -133,9 +135,10 @@ class Anchors:
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[list[float]]):
         self.ids, self.labels = ids, labels
         self.sizes = np.array([len(v) for v in vectors], np.int64)
-        self.rows = {
-            int(s): whole(np.array([v for v in vectors if len(v) == s], np.float64).reshape(-1, int(s))) for s in np.unique(self.sizes)
-        }
+        self.rows: dict[int, np.ndarray] = {}
+        for size in np.unique(self.sizes).tolist():
+            some = [v for v in vectors if len(v) == size]
+            self.rows[size] = whole(np.array(some, np.float64).reshape(len(some), size))
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,7 +150,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             at = np.flatnonzero(sizes == size)
             for start in range(0, len(at), ROWS):
                 part = batch.take(pa.array(at[start : start + ROWS]))
-                rows = part.column(2).flatten().to_numpy().reshape(-1, size)
+                rows = part.column(2).flatten().to_numpy().reshape(part.num_rows, size)
                 yield part.column(0).to_numpy(), part.column(1).to_numpy(), whole(rows)
 
 
