@@ -23,6 +23,7 @@ from hearken.functions.fixed_values import (
 )
 from hearken.functions.numeric import to_number, to_whole
 from hearken.operators.cleaning import top_per_key
+from hearken.session import materialize
 
 Rules = dict[str, Column]
 
@@ -89,6 +90,42 @@ def hash_chain(recorded: DataFrame, table: DataFrame, columns: list[str], rule:
     return broken_rules(checked, {rule: ~F.col("content_hash").eqNullSafe(F.col("actual_hash"))})
 
 
+WALK = """
+with recursive walk(bundle_id, stage, next_stage, broken, step) as (
+  select bundle_id, stage, next_stage, broken, 1 from {links} where stage = {first}
+  union all
+  select w.bundle_id, w.next_stage, l.next_stage,
+         case when w.step >= {most} then 'chain_in_circles' when l.stage is null then 'link_missing' else l.broken end, w.step + 1
+  from walk w left join {links} l on l.bundle_id = w.bundle_id and l.stage = w.next_stage
+  where w.broken is null and w.next_stage is not null
+)
+select bundle_id, stage as detail, broken as rule from walk where broken is not null
+"""
+MOST_STAGES = 32
+
+
+def walk_chain(links: DataFrame, bundles: DataFrame, first: str, most: int = MOST_STAGES) -> DataFrame:
+    """The first broken link of every bundle, walking from the stage `first` along `next_stage`.
+
+    `links` has a row for each stage of a bundle: `recorded_hash` when the stage was written, `actual_hash` of its output as it
+    is now, and `used_hash`, which the next stage recorded as its input (NULL for the last stage). A bundle without the
+    first stage, a stage that nothing follows although the one before names it, and a chain of more than `most` stages
+    are broken too. Links are written first, since each step of the walk reads them. Spark limits a recursion to
+    `spark.sql.cteRecursionRowLimit` rows; beyond so many bundles that setting has to be raised, or the walk fails.
+    """
+    recorded, actual, used = (F.col(c) for c in ("recorded_hash", "actual_hash", "used_hash"))
+    broken = (
+        F.when(blank(recorded), "not_recorded")
+        .when(actual.isNull(), "output_missing")
+        .when(actual != recorded, "output_changed")
+        .when(F.col("next_stage").isNotNull() & ~used.eqNullSafe(recorded), "input_differs")
+    )
+    judged = materialize(links.select("bundle_id", "stage", "next_stage", broken.alias("broken")), "chain-links")
+    walked = links.sparkSession.sql(WALK, links=judged, first=first, most=most)
+    never = bundles.join(judged.filter(F.col("stage") == first), "bundle_id", "left_anti")
+    return walked.unionByName(never.select("bundle_id", F.lit(first).alias("detail"), F.lit("link_missing").alias("rule")))
+
+
 def source_column(metas: DataFrame, table: DataFrame, real: str = REAL_SOURCE) -> DataFrame:
     """Every row carries the one expected source, and the row count is the recorded one."""
     seen = table.groupBy("bundle_id").agg(

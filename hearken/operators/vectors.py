@@ -120,6 +120,51 @@ def embedding_check(
     return report.withColumn("usable", usable)
 
 
+REFUSALS = (
+    "not_available", "model_differs", "document_hash_differs", "row_count_differs", "vectors_missing", "vectors_left_over",
+    "broken_vectors", "dimensions_differ",
+)
+
+
+def judge_embeddings(docs: DataFrame, vectors: DataFrame, manifests: DataFrame, model: str = EMBEDDING_MODEL) -> DataFrame:
+    """`manifests` with the columns `refused` (the first rule that speaks against its vectors) and `usable`.
+
+    A manifest has sbert_available, sbert_model, document_hash and row_count as they were recorded. The documents and vectors are
+    looked at once, in scalar subqueries, however many manifests there are.
+    """
+    now = hashing.fingerprint(docs, ["seq", "review"]).select(F.struct("content_hash", "row_count")).scalar()
+    seen = embedding_check(docs, vectors).select(F.struct("*")).scalar()
+    told = manifests.withColumn("_now", now).withColumn("_seen", seen)
+    broken = {
+        "not_available": ~F.col("sbert_available").eqNullSafe(True),
+        "model_differs": ~F.col("sbert_model").eqNullSafe(model),
+        "document_hash_differs": ~F.col("document_hash").eqNullSafe(F.col("_now.content_hash")),
+        "row_count_differs": ~F.col("row_count").eqNullSafe(F.col("_now.row_count")),
+        "vectors_missing": F.col("_seen.n_matched") < F.col("_seen.n_docs"),
+        "vectors_left_over": F.col("_seen.n_matched") < F.col("_seen.n_vectors"),
+        "broken_vectors": F.col("_seen.n_broken") > 0,
+        "dimensions_differ": ~F.col("_seen.min_dim").eqNullSafe(F.col("_seen.max_dim")),
+    }
+    refused = F.coalesce(*[F.when(broken[r], F.lit(r)) for r in REFUSALS])
+    return told.withColumn("refused", refused).withColumn("usable", F.col("refused").isNull()).drop("_now", "_seen")
+
+
+def document_features(docs: DataFrame, vectors: DataFrame, manifest: DataFrame, model: str = EMBEDDING_MODEL, **limits) -> DataFrame:
+    """(seq, engine, feature, value): the vectors' components if the one manifest admits them, else TF-IDF weights of words.
+
+    The choice is a scalar subquery, made when the plan runs: either branch is filtered by it. Without a manifest, and
+    with more than one, the words are taken. `limits` go to `tfidf`; documents need tokens for it.
+    """
+    judged = judge_embeddings(docs, vectors, manifest, model)
+    admitted = judged.agg((F.count(F.lit(1)) == 1) & F.coalesce(F.bool_and("usable"), F.lit(False)))
+    parts = with_embeddings(docs.select("seq"), vectors).select("seq", F.posexplode("embedding").alias("at", "value"))
+    by_vector = parts.select(
+        "seq", F.lit("vectors").alias("engine"), F.concat(F.lit("d"), F.col("at").cast("string")).alias("feature"), F.col("value").cast("double").alias("value")
+    )
+    by_word = tfidf(docs, **limits).select("seq", F.lit("words").alias("engine"), F.col("term").alias("feature"), F.col("tfidf").alias("value"))
+    return by_vector.filter(admitted.scalar()).unionByName(by_word.filter(~admitted.scalar()))
+
+
 def embedding_manifest(docs: DataFrame, vectors: DataFrame, model: str = EMBEDDING_MODEL) -> DataFrame:
     """Document hash, row count, model and availability."""
     available = vectors.agg(F.count(F.lit(1)) > 0).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearken.functions.fixed_values import (
     PAINPOINT_HEADERS,
 )
-from hearken.operators import painpoints, vectors
+from hearken.operators import files, painpoints, vectors
 from hearken.plans import models, reviews
 from hearken.plans.registry import Inputs, query
 from hearken.session import scratch_dir
@@ -159,3 +159,37 @@ def _(t: Inputs):
     path = scratch_dir(t.spark, "weights")
     sinks.save_weights(models.weights(t), path)
     return t.spark.read.parquet(f"{path}/vocabulary")
+
+
+# Reviews landed as text files of up to 500 documents by run and part; a file is named by its part.
+FILE_CTES = """b as (select source_type as run_id, 'p' || (seq // 500) as name, coalesce(review, '') as line, seq from v_reviews),
+  f as (select run_id, name, string_agg(line, chr(10) order by seq) || chr(10) as bytes from b group by all),
+  h as (select run_id, name, cast(octet_length(encode(bytes)) as bigint) as length, sha256(encode(bytes)) as sha256, sha256(name) as k from f),
+  leaf as (select run_id, k as node, sha256(k || ':' || sha256) as hash, 1 as n from h),
+  n2 as (select run_id, substr(node, 1, 2) as node, sha256(string_agg(node || ':' || hash, ',' order by node)) as hash, sum(n) as n from leaf group by 1, 2),
+  n1 as (select run_id, substr(node, 1, 1) as node, sha256(string_agg(node || ':' || hash, ',' order by node)) as hash, sum(n) as n from n2 group by 1, 2),
+  n0 as (select run_id, '' as node, sha256(string_agg(node || ':' || hash, ',' order by node)) as hash, sum(n) as n from n1 group by 1)"""
+
+
+def landed_texts(t: Inputs):
+    path = scratch_dir(t.spark, "texts")
+    part = F.concat(F.lit("p"), F.expr("cast(seq div 500 as string)"))
+    lines = t.v_reviews.select("seq", F.coalesce("review", F.lit("")).alias("value"), F.col("source_type").alias("run_id"), part.alias("name"))
+    # a part has 500 documents at most, so one task writes a file of bounded size
+    ordered = lines.repartition("run_id", "name").sortWithinPartitions("run_id", "name", "seq")
+    ordered.select("value", "run_id", "name").write.partitionBy("run_id", "name").text(path)
+    return files.file_hashes(t.spark, path, "*.txt")
+
+
+@query("content_hash_files", f"with {FILE_CTES} select run_id, name, length, sha256 from h")
+def _(t: Inputs):
+    return landed_texts(t).select("run_id", "name", "length", "sha256")
+
+
+@query(
+    "content_hash_tree",
+    f"""with {FILE_CTES} select run_id, node, hash, cast(n as bigint) as n_files from n2
+        union all select run_id, node, hash, cast(n as bigint) from n1 union all select run_id, node, hash, cast(n as bigint) from n0""",
+)
+def _(t: Inputs):
+    return files.hash_tree(landed_texts(t), ["run_id"])

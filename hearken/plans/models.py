@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import COUNT_TERMS, FEATURE_HEADERS, LDA_TOPICS, TFIDF_TERMS, TOPICS_ON_VECTORS
@@ -10,7 +13,8 @@ from hearken.operators import segments, survey, topics, vectors
 from hearken.plans import reviews
 from hearken.plans.registry import Inputs, query
 from hearken.plans.surveys import answers
-from hearken.session import materialize
+from hearken.session import materialize, scratch_dir
+from hearken.sources import readers
 
 WORDS = r"regexp_extract_all(lower(array_to_string(tokens, ' ')), '[\p{L}\p{N}_]{2,}')"
 TERM_CTES = f"""{reviews.CLEAN_CTES},
@@ -141,7 +145,7 @@ def _(t: Inputs):
     return vectors.embedding_check(t.v_reviews, t.embeddings)
 
 
-_HASH, _ROW = reviews.sql_lanes("'=' || seq, coalesce('=' || review, '~')")
+_HASH, _ROW = reviews.sql_lanes("length(seq::varchar) || '=' || seq, coalesce(length(review) || '=' || review, '~')")
 
 
 @query(
@@ -154,6 +158,76 @@ def _(t: Inputs):
     return vectors.embedding_manifest(t.v_reviews, t.embeddings)
 
 
+# documents that have a vector; what the manifests say of them is landed as files, one of them true
+CASES = {"good": "", "model": "sbert_model", "hash": "document_hash", "rows": "row_count", "absent": "sbert_available"}
+EMBEDDED = """v_embedded as (select * from v_reviews where seq in (select vec_id from embeddings where embedding is not null)),
+  v_vectors as (select * from embeddings where vec_id in (select seq from v_reviews))"""
+
+
+def embedded(t: Inputs):
+    docs = t.v_reviews.join(t.embeddings.filter("embedding is not null").select(F.col("vec_id").alias("seq")), "seq", "left_semi")
+    return docs, t.embeddings.join(t.v_reviews.select(F.col("seq").alias("vec_id")), "vec_id", "left_semi")
+
+
+def landed_manifests(t: Inputs, docs, cases=tuple(CASES)):
+    """The manifest of `docs`, once as it is and once with each of its members changed."""
+    path = scratch_dir(t.spark, "embedding-manifests")
+    true = vectors.embedding_manifest(docs, t.embeddings).select(
+        "document_hash", "row_count", F.col("model").alias("sbert_model"), F.col("available").alias("sbert_available")
+    )
+    wrong = {
+        "document_hash": F.reverse("document_hash"), "row_count": F.col("row_count") + 1, "sbert_model": F.lit("other"),
+        "sbert_available": F.lit(False),
+    }
+    told = [
+        true.select(F.lit(case).alias("case"), *[(wrong[c] if c == CASES[case] else F.col(c)).alias(c) for c in true.columns]) for case in cases
+    ]
+    reduce(DataFrame.unionByName, told).write.partitionBy("case").json(path)
+    return readers.embedding_manifests(t.spark, path)
+
+
+@query(
+    "src_embeddings_recorded",
+    f"""with {EMBEDDED}, cases(name, refused) as (values ('good', cast(null as varchar)), ('model', 'model_differs'),
+         ('hash', 'document_hash_differs'), ('rows', 'row_count_differs'), ('absent', 'not_available')),
+       r as (select cast(count(*) as bigint) + (name = 'rows')::int as row_count, name, refused from v_embedded, cases group by name, refused),
+       good as (select count(*) filter (where len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) > 0 or len(embedding) = 0) as n_broken,
+         min(len(embedding)) = max(len(embedding)) as even from v_vectors)
+       select name as "case", row_count,
+         coalesce(refused, case when n_broken > 0 then 'broken_vectors' when not even then 'dimensions_differ' end) as refused,
+         refused is null and n_broken = 0 and even as usable from r, good""",
+)
+def _(t: Inputs):
+    docs, known = embedded(t)
+    return vectors.judge_embeddings(docs, known, landed_manifests(t, docs)).select("case", "row_count", "refused", "usable")
+
+
+@query(
+    "embedding_features",
+    f"""with {EMBEDDED} select seq, 'vectors' as engine, cast(len(embedding) as bigint) as n_features, round_half(s, 4) as total
+        from (select vec_id as seq, embedding, list_sum(list_transform(embedding, lambda x: cast(x as double) * x)) as s from v_vectors)""",
+)
+def _(t: Inputs):
+    docs, known = embedded(t)
+    told = vectors.document_features(docs.withColumn("tokens", F.coalesce("review", F.lit(""))), known, landed_manifests(t, docs, ("good",)))
+    sums = told.groupBy("seq", "engine").agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.col("value") * F.col("value")).alias("s"))
+    return sums.select("seq", "engine", "n_features", round_even(F.col("s"), 4).alias("total"))
+
+
+@query(
+    "embedding_fallback",
+    f"""with {EMBEDDED}, w as (select seq, regexp_extract_all(lower(coalesce(review, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}') as ws from v_embedded),
+       x as (select seq, unnest(ws) as term from w union all
+             select seq, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w)
+       select seq, 'words' as engine, count(distinct term) as n_features, 1.0::double as total from x group by seq""",
+)
+def _(t: Inputs):
+    docs, known = embedded(t)
+    told = vectors.document_features(docs.withColumn("tokens", F.coalesce("review", F.lit(""))), known, landed_manifests(t, docs, ("hash",)))
+    sums = told.groupBy("seq", "engine").agg(F.count(F.lit(1)).alias("n_features"), F.sum(F.col("value") * F.col("value")).alias("s"))
+    return sums.select("seq", "engine", "n_features", round_even(F.col("s"), 4).alias("total"))
+
+
 @query("topics_embedding")
 def _(t: Inputs):
     low = t.v_reviews.filter(F.col("rating") <= 3).drop("topic", "topic_prob")

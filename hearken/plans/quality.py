@@ -13,6 +13,7 @@ from hearken.operators import gate, mart, survey
 from hearken.operators.cleaning import first_per_key, long_enough
 from hearken.plans import reviews, surveys
 from hearken.plans.registry import Inputs, query
+from hearken.session import materialize
 from hearken.session import scratch_dir
 
 NUMBER = r"'^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
@@ -90,13 +91,73 @@ def current(t: Inputs):
     return t.v_bundle_raw.select("bundle_id", "seq", F.col("review_now").alias("review"))
 
 
+STAGES = ("raw", "clean", "vectors", "report")
+# what each stage holds, as it was recorded; from month 1 to 4 that stage was changed afterwards
+STAGE_CELLS = {"raw": "review", "clean": "lower(review)", "vectors": "cast(length(review) as string)", "report": "substr(review, 1, 1)"}
+STAGE_NOW = {
+    stage: f"case when substr(bundle_id, 5, 2) = '0{i}' then concat({cell}, '!') else {cell} end"
+    for i, (stage, cell) in enumerate(STAGE_CELLS.items(), 1)
+}
+# and these months have a stage that read another input, was never recorded, was not written or is not there at all
+USED, RECORDED, WRITTEN, ABSENT = {"05": "clean"}, {"06": "vectors"}, {"07": "report"}, {"08": "vectors"}
+
+
+def stage_rows(engine_hash: dict[str, tuple[str, str]]) -> str:
+    """One row for each bundle and stage out of a table of hashes, in words both engines know."""
+    month = "substr(bundle_id, 5, 2)"
+    parts = []
+    for i, stage in enumerate(STAGES):
+        then, now = engine_hash[stage]
+
+        def unless(cases: dict[str, str], value: str, other: str, stage=stage) -> str:
+            hit = [f"{month} = '{m}'" for m, s in cases.items() if s == stage]
+            return f"case when {hit[0]} then {other} else {value} end" if hit else value
+
+        following = f"'{STAGES[i + 1]}'" if i + 1 < len(STAGES) else "cast(null as string)"
+        absent = [m for m, s in ABSENT.items() if s == stage]
+        where = f" where {month} <> '{absent[0]}'" if absent else ""
+        parts.append(
+            f"select bundle_id, '{stage}' as stage, {following} as next_stage, {unless(RECORDED, then, 'null')} as recorded_hash, "
+            f"{unless(WRITTEN, now, 'null')} as actual_hash, {unless(USED, then, 'reverse(' + then + ')')} as used_hash from hashes{where}"
+        )
+    return " union all ".join(parts)
+
+
+def stage_hashes() -> str:
+    """The hashes of all stages, then and now, in one pass over the rows of DuckDB."""
+    cells = {f"{s}_{w}": f"substr({c}, 1)" for w, of in (("then", STAGE_CELLS), ("now", STAGE_NOW)) for s, c in of.items()}
+    digests, hashes = [], []
+    for name, cell in cells.items():
+        digests.append(f"sha256(concat_ws(chr(31), length(seq::varchar) || '=' || seq, coalesce(length({cell}) || '=' || {cell}, '~'))) as {name}")
+        lanes = ", ".join(f"sum(cast(('0x' || substr({name}, {1 + 15 * i}, 15))::bigint as decimal(38,0)))::varchar" for i in range(4))
+        hashes.append(f"sha256(concat_ws(',', count(*)::varchar, {lanes})) as {name}")
+    return f"""digests as (select bundle_id, {', '.join(digests)} from v_bundle_raw),
+        hashes as (select bundle_id, {', '.join(hashes)} from digests group by bundle_id)"""
+
+
 @query(
     "gate_hash_chain",
-    f"""with {HASH_CTES} select rec.bundle_id, '' as detail, 'raw_changed' as rule
-        from rec join act on act.bundle_id = rec.bundle_id where recorded_hash <> actual_hash""",
+    f"""with {stage_hashes()},
+      links as ({stage_rows({s: (f'{s}_then', f'{s}_now') for s in STAGES})}),
+      numbered as (select *, list_position(['raw', 'clean', 'vectors', 'report'], stage) as no,
+          case when recorded_hash is null then 'not_recorded' when actual_hash is null then 'output_missing'
+               when actual_hash <> recorded_hash then 'output_changed'
+               when next_stage is not null and used_hash is distinct from recorded_hash then 'input_differs' end as broken from links),
+      gaps as (select bundle_id, no + 1 as no, next_stage as stage, 'link_missing' as broken from numbered n where next_stage is not null
+          and not exists (select 1 from links l where l.bundle_id = n.bundle_id and l.stage = n.next_stage)),
+      found as (select bundle_id, no, stage, broken from numbered where broken is not null union all select * from gaps)
+      select bundle_id, arg_min(stage, no) as detail, arg_min(broken, no) as rule from found group by bundle_id""",
 )
 def _(t: Inputs):
-    return gate.hash_chain(recorded(t), current(t), ["seq", "review"], "raw_changed")
+    cells = {f"{s}_{w}": F.expr(c) for w, of in (("then", STAGE_CELLS), ("now", STAGE_NOW)) for s, c in of.items()}
+    rows = t.v_bundle_raw.select("bundle_id", "seq", *[c.alias(n) for n, c in cells.items()])
+    prints = [hashing.fingerprint_of(F.col("seq"), F.col(n)).alias(n) for n in cells]
+    hashes = rows.groupBy("bundle_id").agg(*prints)
+    links = t.spark.sql(
+        f"with hashes as (select * from {{stage_hashes}}) {stage_rows({s: (f'{s}_then', f'{s}_now') for s in STAGES})}",
+        stage_hashes=materialize(hashes, "stage-hashes"),
+    )
+    return gate.walk_chain(links, t.v_bundle_raw.select("bundle_id").distinct(), STAGES[0])
 
 
 @query(

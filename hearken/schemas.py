@@ -66,6 +66,7 @@ RUN_MANIFEST = (
     "run_id string, created_at timestamp, data_mode string, source_type string, "
     "gate_status string, agents map<string,string>, gate_failures array<string>"
 )
+EMBEDDING_MANIFEST = "document_hash string, row_count bigint, sbert_model string, sbert_available boolean"
 SEARCH_PAGE = (
     "axis string, query string, origin string, "
     "items array<struct<title:string,description:string,link:string>>"

@@ -74,6 +74,11 @@ def run_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RUN_MANIFEST).option("multiLine", True).json(path)
 
 
+def embedding_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded manifests of vectors; a file that is no JSON object has NULL everywhere and admits nothing."""
+    return spark.read.schema(schemas.EMBEDDING_MANIFEST).option("multiLine", True).json(path)
+
+
 def newest_passed(manifests: DataFrame) -> DataFrame:
     """The manifest of the newest passed run."""
     passed = manifests.filter(F.col("gate_status") == "passed")
