@@ -18,7 +18,7 @@ toxic, are the lexicon (the `LEXICON` strongest, a size of the model), and the l
 Threats, targets, negations and words of speech are fixed lists. Three numbers drawn from a text (its weight, damped and
 plain, and its heaviest clause) and a constant then make the score in a logistic model with a ridge penalty.
 
-Training takes at most `DOCS_PER_CLASS` labelled documents of each class, those first by a hash of doc_id; the shares of the
+Training takes about `DOCS_PER_CLASS` labelled documents of each class (all, if there are fewer), by a hash of doc_id; the shares of the
 classes are those of all labels. The chosen ids are bounded by that and are broadcast, so no text is shuffled.
 
 Defined results: a null or empty text has no clause and the score of any text without a match. Null ids are never training
@@ -40,7 +40,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
-from pyspark.sql.window import Window
 
 from hearken.llm.batches import small_batches
 from hearken.llm.lines import slabs
@@ -248,9 +247,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, docs_per_class: int) -> tu
     """(text, label) of a bounded number of documents, and how many labels of either class there are in all."""
     known = labels.filter("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= docs_per_class).select("doc_id", "label")
-    # at most 2 * docs_per_class rows of two numbers
+    share = F.lit(1.0)
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, min(1.0, 0.95 * docs_per_class / n)).otherwise(share)
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    # some 2 * docs_per_class rows of two numbers at most
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label"), [sizes.get(0, 0), sizes.get(1, 0)]
 
 
