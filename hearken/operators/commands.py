@@ -13,15 +13,7 @@ from hearken.functions.fixed_values import (
     RANGES,
     SWITCHES,
 )
-from hearken.operators.ordered import (
-    BUCKET,
-    carried,
-    inside,
-    last_known,
-    time_bucket,
-    with_position,
-    with_previous,
-)
+from hearken.operators import scans
 
 
 def item_error(capability: Column, value: Column, value_type: Column) -> Column:
@@ -56,20 +48,13 @@ def judged_commands(items: DataFrame) -> DataFrame:
     )
 
 
-def change_events(commands: DataFrame, width: str = "1 day") -> DataFrame:
+def change_events(commands: DataFrame, parts: int | None = None) -> DataFrame:
     """Commands that change a value: old and new value, numbered per device.
 
-    Both passes over the ordered commands work in time slots of a device, so a device that sends
-    a large share of all commands is spread over many tasks.
+    A prefix scan over (device, ts, seq), see `scans`: a device that sends any share of all commands, in whatever burst,
+    is spread over as many tasks as its rows fill.
     """
-    order = ["ts", "seq"]
-    slotted = commands.withColumn(BUCKET, time_bucket("ts", width))
-    known = with_previous(slotted, ["device", "capability"], order, "value", "old")
-    changed = known.filter(F.col("old").isNull() | (F.col("old") != F.col("value")))
-    numbered = with_position(changed, ["device"], order, "change_no")
-    return numbered.select(
-        "device", "change_no", "ts", "seq", "capability", "old", F.col("value").alias("new")
-    )
+    return scans.change_events(commands, parts)
 
 
 def latest_state(commands: DataFrame) -> DataFrame:
@@ -78,52 +63,14 @@ def latest_state(commands: DataFrame) -> DataFrame:
     return commands.groupBy("device", "capability").agg(newest.alias("value"))
 
 
-def replay_guard(events: DataFrame, width: str = "1 day") -> DataFrame:
+def replay_guard(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Outcome of every attempt against the one live challenge of its device.
 
     Input rows are `issue` or `attempt` with a nonce. An issue replaces the live challenge; the
     first matching attempt closes it. Later attempts find no challenge until the next issue.
-
-    Step one finds the challenge each attempt meets (the last issue before it); step two the first
-    matching attempt of that challenge. Both carry short summaries over time slots.
+    A prefix scan over (device, ts, seq), see `scans`.
     """
-    order = ["ts", "seq"]
-    slotted = events.withColumn(BUCKET, time_bucket("ts", width))
-    stamp = F.struct("ts", "seq")
-    issue = F.when(F.col("kind") == "issue", F.struct(stamp.alias("at"), "nonce"))
-    with_issue = slotted.withColumn("_issue", issue)
-    met = carried(with_issue, ["device"], {"_carry": (F.max("_issue"), last_known)})
-    here = F.last("_issue", ignorenulls=True).over(inside(["device"], order))
-    attempts = met.withColumn("_live", F.coalesce(here, F.col("_carry"))).filter(
-        F.col("kind") == "attempt"
-    )
-    judged = attempts.select(
-        "device", "seq", "ts", "nonce", BUCKET,
-        F.col("_live.at").alias("issued"),
-        F.coalesce(F.col("nonce") == F.col("_live.nonce"), F.lit(False)).alias("match"),
-    )
-    first_match = F.min(F.when(F.col("match"), F.struct("ts", "seq")))
-    # one row per device, challenge and slot
-    per_slot = carried(
-        judged.filter(F.col("issued").isNotNull()),
-        ["device", "issued"],
-        {"_earlier": (first_match, F.min)},
-    )
-    local = F.min(F.when(F.col("match"), F.struct("ts", "seq"))).over(
-        inside(["device", "issued"], order)
-    )
-    used = F.least(F.coalesce("_earlier", local), F.coalesce(local, F.col("_earlier")))
-    outcome = (
-        F.when(used < stamp, "no_challenge")
-        .when(F.col("nonce").isNull(), "malformed")
-        .when(F.col("match"), "accepted")
-        .otherwise("mismatch")
-    )
-    answered = per_slot.select("device", "seq", outcome.alias("outcome"))
-    unanswered = judged.filter(F.col("issued").isNull()).select(
-        "device", "seq", F.lit("no_challenge").alias("outcome")
-    )
-    return answered.unionByName(unanswered)
+    return scans.replay_guard(events, parts)
 
 
 def reassemble(frames: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ def test_change_events_equal_the_plain_window(spark):
     plain = df.withColumn("old", F.lag("value").over(by)).filter("old is null or old <> value")
     number = F.row_number().over(Window.partitionBy("device").orderBy("ts", "seq"))
     want = rows(plain.withColumn("change_no", number), "device", "change_no", "seq", "old")
-    for width in ("1 hour", "3 days", "60 days"):
-        got = commands.change_events(df, width)
+    for parts in (1, 2, 7, 300):
+        got = commands.change_events(df, parts)
         assert rows(got, "device", "change_no", "seq", "old") == want
 
 
@@ -54,8 +54,50 @@ def test_replay_guard_equals_a_sequential_reading(spark):
             want.append((device, seq, "accepted"))
         else:
             want.append((device, seq, "mismatch"))
-    for width in ("2 hours", "30 days"):
-        assert rows(commands.replay_guard(df, width), "device", "seq", "outcome") == sorted(want, key=repr)
+    for parts in (1, 2, 9, 200):
+        assert rows(commands.replay_guard(df, parts), "device", "seq", "outcome") == sorted(want, key=repr)
+
+
+def test_a_burst_of_one_device_is_spread_and_stays_in_order(spark):
+    # one device, all within a second; values repeat in runs, capabilities come late, one challenge waits for parts on end
+    data = [(i, "hot", f"c{i // 400}", (i // 3) % 2) for i in range(2000)]
+    df = spark.createDataFrame(data, "seq long, device string, capability string, value int").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    got = commands.change_events(df.repartition(8, "value"), 16)
+    last, want = {}, []
+    for seq, device, capability, value in data:
+        if last.get(capability) != value:
+            want.append((device, len(want) + 1, seq, last.get(capability)))
+            last[capability] = value
+    assert rows(got, "device", "change_no", "seq", "old") == sorted(want, key=repr)
+    events = [(i, "hot", "issue" if i == 3 else "attempt", "right" if i in (2, 3, 1500, 1700) else None if i % 7 == 0 else "wrong") for i in range(2000)]
+    table = spark.createDataFrame(events, "seq long, device string, kind string, nonce string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    outcomes = {r["seq"]: r["outcome"] for r in commands.replay_guard(table, 16).collect()}
+    for i, _, kind, nonce in events:
+        if kind == "issue":
+            assert i not in outcomes
+        elif i < 3 or i > 1500:
+            assert outcomes[i] == "no_challenge"
+        else:
+            assert outcomes[i] == ("accepted" if i == 1500 else "malformed" if nonce is None else "mismatch")
+
+
+def test_scans_of_odd_tables(spark):
+    empty = skewed(spark).limit(0)
+    assert rows(commands.change_events(empty)) == []
+    assert rows(commands.replay_guard(empty.selectExpr("*", "'issue' as kind", "'x' as nonce"))) == []
+    nulls = [(1, None, "a", 1), (2, None, "a", 1), (3, None, "b", 2), (4, "d", "a", 2), (5, None, None, 2)]
+    df = spark.createDataFrame(nulls, "seq long, device string, capability string, value int").selectExpr("*", "cast(seq as timestamp) as ts", "map(1, 2) as part", "'z' as carry")
+    got = rows(commands.change_events(df, 3), "device", "change_no", "seq", "old", "new")
+    assert got == sorted([(None, 1, 1, None, 1), (None, 2, 3, None, 2), (None, 3, 5, None, 2), ("d", 1, 4, None, 2)], key=repr)
+
+
+def test_scans_shuffle_the_rows_once(spark):
+    # the rows are placed by one written shuffle; what is left reads them and the few carries
+    plan = commands.change_events(skewed(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange") - plan.count("BroadcastExchange") == 1
+    events = skewed(spark).selectExpr("*", "if(value = 0, 'issue', 'attempt') as kind", "cast(value as string) as nonce")
+    plan = commands.replay_guard(events)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and plan.count("Exchange") - plan.count("BroadcastExchange") == 0
 
 
 def test_exact_medians(spark):
