@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.functions import text
+from hearken.functions import hashing, text
 from hearken.functions.fixed_values import RESET_SIGNAL
 from hearken.functions.numeric import percent, round_even
+from hearken.sources import snapshots
+
+RATINGS = [1, 2, 3, 4, 5]
 
 
 def one_table(*apps: tuple[str, DataFrame]) -> DataFrame:
@@ -57,6 +60,17 @@ def rating_histogram(df: DataFrame) -> DataFrame:
     return df.groupBy("rating").agg(F.count(F.lit(1)).alias("n")).orderBy("rating")
 
 
+def crawl_metrics(date: str, columns: tuple[str, ...] = ("seq", "review", "rating")) -> dict[str, Column]:
+    """What the manifest of one crawl says, as aggregates to observe while the crawl is written."""
+    return {
+        "n_reviews": F.count(F.lit(1)),
+        "first_date": F.min(date),
+        "last_date": F.max(date),
+        "rating_dist": snapshots.counts("rating", RATINGS),
+        "content_hash": hashing.fingerprint_of(*map(F.col, columns)),
+    }
+
+
 def crawl_manifest(df: DataFrame, date: str, by: str = "app") -> DataFrame:
     """Rows, first and last date and the rating histogram of every crawl.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearken.functions import text
+from hearken.functions import hashing, text
 from hearken.functions.fixed_values import (
     APP_MENTION,
     AXIS_SIGNAL,
@@ -88,6 +88,26 @@ def manifest(hits: DataFrame) -> DataFrame:
     )
 
 
+def search_metrics(axes: list[str], threshold: float = AXIS_YIELD_THRESHOLD) -> dict[str, Column]:
+    """What the manifest of a search says, as aggregates to observe while the flagged hits are written.
+
+    `axis_yield` has `axis:collected:valid` for every known axis that occurs, `adopted` the axes at or over the threshold.
+    """
+    told, adopted = [], []
+    for axis in axes:
+        total, valid = F.count_if(F.col("axis") == axis), F.count_if((F.col("axis") == axis) & F.col("valid"))
+        told.append(F.when(total > 0, F.concat_ws(":", F.lit(axis), total.cast("string"), valid.cast("string"))))
+        share = valid.cast("double") / F.nullif(total, F.lit(0)) * F.lit(100.0)
+        adopted.append(F.when(share >= threshold, F.lit(axis)))
+    return {
+        "n_rows": F.count(F.lit(1)),
+        "sponsored_rows": F.count_if("sponsored"),
+        "axis_yield": F.concat_ws(",", *told),
+        "adopted": F.concat_ws(",", *adopted),
+        "content_hash": hashing.fingerprint_of(F.col("seq"), F.col("review"), F.col("axis")),
+    }
+
+
 def with_tone(valid: DataFrame, experience: str = EXPERIENCE, guide: str = GUIDE_TONE) -> DataFrame:
     return valid.withColumns(
         {

@@ -10,9 +10,10 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearken.functions import hashing
 from hearken.functions.fixed_values import (
     MIN_RESPONDENTS,
     QUOTES_PER_SEGMENT,
@@ -23,6 +24,7 @@ from hearken.functions.fixed_values import (
 from hearken.functions.numeric import round_even
 from hearken.operators.cleaning import top_per_key
 from hearken.operators.ordered import exact_medians
+from hearken.sources import snapshots
 
 PARALLEL_FITS = 5
 
@@ -179,3 +181,54 @@ def manifest(df: DataFrame, features: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("k"),
         F.array_join(F.array_sort(F.collect_list(entry)), ",").alias("segment_sizes"),
     )
+
+
+def silhouette(df: DataFrame, features: list[str], segment: str = "segment") -> DataFrame:
+    """(silhouette) on squared Euclidean distances, in two passes and without pairs.
+
+    The mean distance of a row to a segment follows from the segment's count, sums and sum of squares, of which there is one
+    row a segment. Rows of segments with one member count 0, as do all rows if there is one segment.
+    """
+    squares = sum((F.col(c) * F.col(c) for c in features), F.lit(0.0))
+    per_segment = df.groupBy(F.col(segment).alias("s")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(squares).alias("q"), *[F.sum(c).alias(f"m{i}") for i, c in enumerate(features)]
+    )
+    all_of_them = per_segment.agg(F.collect_list(F.struct("*"))).scalar()
+
+    def distance(o: Column, n: Column) -> Column:
+        dot = sum((F.col(c) * o[f"m{i}"] for i, c in enumerate(features)), F.lit(0.0))
+        return (squares * o["n"] + o["q"] - F.lit(2.0) * dot) / n
+
+    told = df.withColumn("_all", all_of_them)
+    own = F.filter("_all", lambda o: o["s"] == F.col(segment))[0]
+    others = F.filter("_all", lambda o: o["s"] != F.col(segment))
+    far = F.array_min(F.transform(others, lambda o: distance(o, o["n"])))
+    near = F.when(own["n"] > 1, distance(own, own["n"] - 1))
+    width = F.coalesce((far - near) / F.nullif(F.greatest(far, near), F.lit(0.0)), F.lit(0.0))
+    return told.select(width.alias("_w")).agg(F.avg("_w").alias("silhouette"))
+
+
+def publish_outputs(df: DataFrame, z: DataFrame, features: list[str], path: str, run_id: str, source_type: str) -> dict:
+    """Publishes members, profile and z-profile, and gives the manifest of the run, hashes from the passes that write.
+
+    `df` has respondent_id, segment and features (NULL where they were missing), `z` besides the filled features and their
+    z-scores (`_z`). Means are hashed as whole hundredths, as they are shown.
+    """
+    scores = [f"{c}_z" for c in features]
+
+    def shown(names: list[str]) -> Column:
+        return hashing.fingerprint_of(F.col("segment"), F.col("n"), *[F.rint(F.col(c) * 100).cast("bigint") for c in names])
+
+    told = snapshots.observed(df.select("respondent_id", "segment", *features), f"{path}/members", run_id, {
+        "n_respondents": F.count(F.lit(1)),
+        "n_imputed_cells": sum((F.count_if(F.col(c).isNull()) for c in features), F.lit(0)),
+        "seg_members_hash": hashing.fingerprint_of(F.col("respondent_id"), F.col("segment")),
+    })
+    told |= snapshots.observed(profile(z, features, source_type), f"{path}/profile", run_id, {
+        "k": F.count(F.lit(1)),
+        "segment_sizes": F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "segment", "n"))), ","),
+        "seg_profile_hash": shown(features),
+    })
+    told |= snapshots.observed(profile(z, scores, source_type), f"{path}/zprofile", run_id, {"seg_zprofile_hash": shown(scores)})
+    width = silhouette(z, scores).select(round_even(F.col("silhouette"), 4)).first()[0]
+    return {**told, "silhouette": width, "source_type": source_type}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import (
@@ -11,7 +14,7 @@ from hearken.operators import files, painpoints, vectors
 from hearken.plans import models, reviews
 from hearken.plans.registry import Inputs, query
 from hearken.session import scratch_dir
-from hearken.sources import readers, sinks
+from hearken.sources import readers, sinks, snapshots
 
 ORIGINAL = """select review, rating, cast(review_date as timestamp) as date, likes, source_type from v_reviews"""
 
@@ -139,6 +142,27 @@ def _(t: Inputs):
     return same_reviews(sinks.of_run(t.spark, path, "r1"))
 
 
+@query(
+    "sink_snapshot",
+    f"""select 'published' as step, review, rating, cast(review_date as timestamp) as date, likes, source_type from v_reviews where rating is not null
+        union all select 'first', review, rating, cast(review_date as timestamp), likes, source_type from v_reviews where rating is null""",
+)
+def _(t: Inputs):
+    """A step published twice, one published once, and one that had nothing to do this time."""
+    path, every = scratch_dir(t.spark, "snapshots"), review_columns(t)
+    steps = {
+        "published": [lambda: every.filter("rating is null"), lambda: every.filter("rating is not null")],
+        "first": [lambda: every.filter("rating is null")],
+        "skipped": [lambda: every, lambda: None],
+    }
+    found = []
+    for name, runs in steps.items():
+        for i, step in enumerate(runs):
+            snapshots.publish_step(step, f"{path}/{name}", f"r{i}")
+        found.append(same_reviews(snapshots.current(t.spark, f"{path}/{name}", every.schema)).withColumn("step", F.lit(name)))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "sink_meta",
     """select run_id, gate_status from v_runs union all select run_id, gate_status from v_runs where gate_status = 'failed'""",

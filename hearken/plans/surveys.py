@@ -8,6 +8,7 @@ from hearken.functions import survey as code
 from hearken.functions.fixed_values import CODEBOOK, FEATURE_HEADERS
 from hearken.functions.numeric import round_even
 from hearken.operators import scoring, segments, survey
+from hearken.plans import reviews
 from hearken.plans.registry import Inputs, query
 from hearken.session import scratch_dir
 from hearken.sources import readers, sinks
@@ -236,6 +237,43 @@ def _(t: Inputs):
     return segments.manifest(t.v_members, NUMERIC)
 
 
+def lanes_of(cells: str, source: str) -> str:
+    """The four-lane fingerprint of the rows of a table of DuckDB, as a scalar."""
+    total, row = reviews.sql_lanes(cells)
+    return f"(select {total} from (select {row} as h from {source}))"
+
+
+def shown_cells(names: list[str]) -> str:
+    whole = [f"cast(round_even({c} * 100, 0) as bigint)::varchar" for c in names]
+    return ", ".join(f"coalesce(length({c}) || '=' || {c}, '~')" for c in ["segment::varchar", "n::varchar", *whole])
+
+
+@query(
+    "manifest_segments_run",
+    f"""with {FILLED}, zz as (select respondent_id, segment, {', '.join(f'coalesce({c}_z, 0) as {c}_z' for c in NUMERIC)} from z),
+       prof as (select segment, count(*) as n, {', '.join(f'round_half(avg({c}), 2) as {c}' for c in NUMERIC)} from filled group by 1),
+       zprof as (select segment, count(*) as n, {', '.join(f'round_half(avg({c}_z), 2) as {c}_z' for c in NUMERIC)} from zz group by 1),
+       p as (select *, f1_z * f1_z + f2_z * f2_z + f3_z * f3_z as q from zz),
+       c as (select segment as s, cast(count(*) as double) as n, sum(q) as q, sum(f1_z) as a, sum(f2_z) as b, sum(f3_z) as d from p group by 1),
+       far as (select respondent_id, min((p.q * n + c.q - 2 * (f1_z * a + f2_z * b + f3_z * d)) / n) filter (where s <> segment) as b,
+          min(case when n > 1 then (p.q * n + c.q - 2 * (f1_z * a + f2_z * b + f3_z * d)) / (n - 1) end) filter (where s = segment) as a
+          from p, c group by 1)
+       select count(*) as n_respondents, count(*) filter (where f1 is null) as n_imputed_cells, (select count(*) from prof) as k,
+         (select array_to_string(list_sort(list(segment || ':' || n)), ',') from prof) as segment_sizes,
+         (select round_half(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 4) from far) as silhouette,
+         {lanes_of("length(respondent_id::varchar) || '=' || respondent_id, length(segment::varchar) || '=' || segment", "v_members")} as seg_members_hash,
+         {lanes_of(shown_cells(NUMERIC), "prof")} as seg_profile_hash,
+         {lanes_of(shown_cells([c + "_z" for c in NUMERIC]), "zprof")} as seg_zprofile_hash, 'survey' as source_type from v_members""",
+)
+def _(t: Inputs):
+    told = segments.publish_outputs(t.v_members, standardized(t), NUMERIC, scratch_dir(t.spark, "segments"), "s1", "survey")
+    schema = (
+        "n_respondents bigint, n_imputed_cells bigint, k bigint, segment_sizes string, silhouette double, "
+        "seg_members_hash string, seg_profile_hash string, seg_zprofile_hash string, source_type string"
+    )
+    return t.spark.createDataFrame([told], schema)
+
+
 @query(
     "quotes_per_segment",
     """select segment, respondent_id, trim(quote) as quote from v_members where length(trim(quote)) > 0

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from hearken.functions import text
 from hearken.operators import cleaning, compare, search
+from hearken.plans import reviews
 from hearken.plans.registry import Inputs, query
+from hearken.session import scratch_dir
+from hearken.sources import snapshots
 
 # Patterns for the driver's Latin text; the Korean ones are the defaults of the operators.
 SIGNALS = {"en": "tion|ing", "fr": "eau", "de": "ung", "es": "os"}
@@ -97,17 +100,31 @@ def _(t: Inputs):
     return compare.rating_histogram(t.v_ratings)
 
 
+_HASH, _ROW = reviews.sql_lanes(
+    "length(seq::varchar) || '=' || seq, coalesce(length(review) || '=' || review, '~'), "
+    "coalesce(length(rating::varchar) || '=' || rating, '~')"
+)
+
+
 @query(
     "manifest_crawl",
-    """with g as (select app, rating, count(*) as n, min(review_date) as lo, max(review_date) as hi
-                  from v_reviews group by 1, 2)
+    f"""with g as (select app, rating, count(*) as n, min(review_date) as lo, max(review_date) as hi
+                  from v_reviews group by 1, 2),
+       h as (select app, {_HASH} as content_hash from (select app, {_ROW} as h from v_reviews) group by app)
        select app, cast(sum(n) as bigint) as n_reviews, min(lo) as first_date, max(hi) as last_date,
               array_to_string(list_sort(list(coalesce(cast(rating as varchar), 'none') || ':' || n)), ',')
-                as rating_dist
-       from g group by app""",
+                as rating_dist, any_value(content_hash) as content_hash
+       from g join h using (app) group by app""",
 )
 def _(t: Inputs):
-    return compare.crawl_manifest(t.v_reviews, "review_date")
+    """Every crawl is published on its own; its manifest is observed in the pass that writes it."""
+    path = scratch_dir(t.spark, "crawls")
+    told = []
+    for app in ("own", "rival"):
+        crawl = t.v_reviews.filter(F.col("app") == app).select("seq", "review", "rating", "review_date", "likes")
+        told.append({"app": app, **snapshots.observed(crawl, f"{path}/{app}", app, compare.crawl_metrics("review_date"))})
+    schema = "app string, n_reviews bigint, first_date date, last_date date, rating_dist string, content_hash string"
+    return t.spark.createDataFrame([m for m in told if m["n_reviews"]], schema)
 
 
 # --- search hits -----------------------------------------------------------------------------
@@ -164,6 +181,29 @@ def _(t: Inputs):
     return search.manifest(search.collect_hits(hits(t), None, SPON, NOISE))
 
 
+_SHASH, _SROW = reviews.sql_lanes(
+    "length(seq::varchar) || '=' || seq, coalesce(length(review) || '=' || review, '~'), coalesce(length(axis) || '=' || axis, '~')"
+)
+
+
+@query(
+    "manifest_search_run",
+    f"""with {FLAGGED}, y as (select axis, count(*) as n, count(*) filter (where axis_hit and app_mention and not off_topic) as v
+          from flagged where axis in ({', '.join(f"'{a}'" for a in SIGNALS)}) group by axis),
+        h as (select {_SHASH} as content_hash from (select {_SROW} as h from flagged))
+        select (select count(*) from flagged) as n_rows, (select count(*) from flagged where sponsored) as sponsored_rows,
+          (select string_agg(axis || ':' || n || ':' || v, ',' order by list_position([{', '.join(f"'{a}'" for a in SIGNALS)}], axis)) from y) as axis_yield,
+          coalesce((select string_agg(axis, ',' order by list_position([{', '.join(f"'{a}'" for a in SIGNALS)}], axis)) from y
+            where cast(v as double) / n * 100 >= 18.8), '') as adopted, content_hash from h""",
+)
+def _(t: Inputs):
+    marked = flagged(t).withColumn("sponsored", text.matches(F.col("review"), SPON))
+    rows = marked.select("seq", "review", "axis", "axis_hit", "app_mention", "off_topic", "valid", "sponsored")
+    told = snapshots.observed(rows, scratch_dir(t.spark, "search-run"), "search", search.search_metrics(list(SIGNALS)))
+    schema = "n_rows bigint, sponsored_rows bigint, axis_yield string, adopted string, content_hash string"
+    return t.spark.createDataFrame([told], schema)
+
+
 @query("join_axis_pattern", f"with {FLAGGED} select seq, axis, axis_hit from flagged")
 def _(t: Inputs):
     return flagged(t).select("seq", "axis", "axis_hit")
