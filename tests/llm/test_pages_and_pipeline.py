@@ -74,9 +74,36 @@ def test_index_finds_by_blocks(spark, monkeypatch):
     folder, index_folder = scratch_dir(spark, "warc-test"), scratch_dir(spark, "cdx-test")
     captures = warc.write(pages, folder)
     index = warc.build_index(captures, index_folder)
-    asked = captures.select("key", "page_id").unionByName(spark.createDataFrame([("org,example)/none", 5), ("", 1), ("zz", 9)], "key string, page_id bigint"))
+    asked = captures.select("key", "id").unionByName(spark.createDataFrame([("org,example)/none", "5:"), ("", "1"), ("zz", "9")], "key string, id string"))
     found = warc.find(asked, index, index_folder)
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, captures.collect()))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, captures.select(*warc.CAPTURE).collect()))
+
+
+def plain_records(rows):
+    """What every row has to come back as."""
+    firsts = {}
+    for page_id, _, html in rows:
+        if page_id is not None:
+            data = (html or "").encode()
+            firsts[data] = min(firsts.get(data, page_id), page_id)
+    found = []
+    for page_id, _, html in rows:
+        data = (html or "").encode()
+        first = firsts.get(data)
+        kind, refers = ("response", None) if first is None or first == page_id else ("revisit", first)
+        found.append((page_id, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), kind, refers))
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_every_row_comes_back_once(spark, text_ids):
+    rows = [(1, "u:x", "same"), (1, "u:y", "same"), (1, "u:y", "other"), (2, "u:x", "same"), (None, "u:z", "same"), (None, "u:z", "alone")]
+    rows += [(None, "u:z", "alone"), (2, "u:x", "same"), (9, None, None), (8, "u:q", ""), *ROWS]
+    if text_ids:
+        rows = [(None if i is None else f"p<{i}>\t%", u, h) for i, u, h in rows]
+    pages = spark.createDataFrame(rows, PAGES.replace("bigint", "string") if text_ids else PAGES)
+    pages = pages.selectExpr("*", "1 as id", "2 as first", "map(1, 2) as payload").repartition(3)
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=repr) == plain_records(rows)
 
 
 def test_warc_of_nothing(spark):
