@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,55 @@ def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
-class KeepChanges(StatefulProcessor):
+class Expiring(StatefulProcessor):
+    """A processor that drops the state of a key when the watermark has passed its last event by `keep_ms`.
+
+    Each batch of a key moves its one timer on. Without `keep_ms` there are no timers and states stay.
+    """
+
+    def __init__(self, keep_ms: int | None = None):
+        self.keep_ms = keep_ms
+
+    def started(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at bigint") if self.keep_ms is not None else None
+
+    def move_timer(self, batch: pd.DataFrame) -> None:
+        if self.due is None:
+            return
+        at = int(batch["ts"].max().timestamp() * 1000) + self.keep_ms
+        if self.due.exists():
+            before = self.due.get()[0]
+            if before >= at:
+                return
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(at)
+        self.due.update((at,))
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.forget()
+        self.due.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(stream: DataFrame, keys: list[str], processor: Expiring, schema: str, delay: str) -> DataFrame:
+    """The stream through the processor; event time only if states expire."""
+    timed = stream if processor.keep_ms is None else stream.withWatermark("ts", delay)
+    mode = "none" if processor.keep_ms is None else "eventTime"
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, outputMode="append", timeMode=mode)
+
+
+class KeepChanges(Expiring):
     """Remembers the last value of a device capability and lets only changes through."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.started(handle)
         self.current = handle.getValueState("current", "value int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -46,6 +92,7 @@ class KeepChanges(StatefulProcessor):
             before.iloc[0] = self.current.get()[0]
         changed = before.isna() | (before != values)
         self.current.update((int(values.iloc[-1]),))
+        self.move_timer(batch)
         out = batch[changed.fillna(True)]
         yield pd.DataFrame(
             {
@@ -54,54 +101,80 @@ class KeepChanges(StatefulProcessor):
             }
         )
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.current.clear()
 
 
-def change_events(commands: DataFrame) -> DataFrame:
+def change_events(commands: DataFrame, keep_ms: int | None = None, delay: str = "1 minute") -> DataFrame:
     """Change events of a command stream, keyed by device and capability.
 
-    The finer key keeps one busy device on several tasks; numbering per device is left to readers.
+    The finer key keeps one busy device on several tasks; numbering per device is left to readers. With `keep_ms`, a
+    capability that is silent for longer (in event time, past the watermark) is forgotten: its next command counts as its
+    first, and commands later than the watermark are dropped.
     """
-    return commands.groupBy("device", "capability").transformWithStateInPandas(
-        KeepChanges(), CHANGE_SCHEMA, outputMode="append", timeMode="none"
-    )
+    return keyed(commands, ["device", "capability"], KeepChanges(keep_ms), CHANGE_SCHEMA, delay)
 
 
-class GuardChallenges(StatefulProcessor):
+def challenge_outcomes(issue: np.ndarray, nonce: np.ndarray, live: str | None, is_open: bool) -> tuple[np.ndarray, str | None, bool]:
+    """Outcomes of the rows that are no issues, in order, and the challenge after them.
+
+    Runs begin at issues; the first attempt of a run that has its nonce closes it, and all others after that find none.
+    """
+    given = ~pd.isna(nonce)
+    run = np.cumsum(issue)
+    heads = np.flatnonzero(issue)
+    wanted = np.append(np.array([live if is_open else None], object), np.where(given[heads], nonce[heads], None))[run]
+    opened = np.append(is_open, np.ones(len(heads), bool))[run]
+    match = ~issue & given & opened & (nonce == wanted) & ~pd.isna(wanted)
+    used = np.cumsum(match) - match
+    used = used - np.append(0, used[heads])[run]
+    outcome = np.where(match, "accepted", np.where(given, "mismatch", "malformed"))
+    outcome = np.where(~opened | (used > 0), "no_challenge", outcome)
+    if len(heads):
+        live, is_open = (nonce[heads[-1]] if given[heads[-1]] else None), True
+    return outcome[~issue], live, bool(is_open and not match[run == len(heads)].any())
+
+
+class GuardChallenges(Expiring):
     """Holds the one live challenge of a device; a matching attempt closes it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.started(handle)
         self.live = handle.getValueState("live", "nonce string, open boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         nonce, is_open = self.live.get() if self.live.exists() else (None, False)
-        found = []
-        for row in in_order(rows, ["ts", "seq"]).itertuples():
-            given = None if pd.isna(row.nonce) else row.nonce
-            if row.kind == "issue":
-                nonce, is_open = given, True
-                continue
-            if not is_open:
-                outcome = "no_challenge"
-            elif given is None:
-                outcome = "malformed"
-            elif given == nonce:
-                outcome, is_open = "accepted", False
-            else:
-                outcome = "mismatch"
-            found.append((row.device, row.seq, outcome))
+        batch = in_order(rows, ["ts", "seq"])
+        issue = (batch["kind"] == "issue").to_numpy()
+        outcome, nonce, is_open = challenge_outcomes(issue, batch["nonce"].to_numpy(object), nonce, bool(is_open))
         self.live.update((nonce, is_open))
-        yield pd.DataFrame(found, columns=["device", "seq", "outcome"])
+        self.move_timer(batch)
+        attempts = batch[~issue]
+        yield pd.DataFrame({"device": attempts["device"], "seq": attempts["seq"], "outcome": outcome})
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.live.clear()
 
 
-def replay_guard(events: DataFrame) -> DataFrame:
-    return events.groupBy("device").transformWithStateInPandas(
-        GuardChallenges(), REPLAY_SCHEMA, outputMode="append", timeMode="none"
-    )
+def replay_guard(events: DataFrame, keep_ms: int | None = None, delay: str = "1 minute") -> DataFrame:
+    """Outcomes of attempts; with `keep_ms`, a challenge whose device is silent for longer is forgotten, which closes it."""
+    return keyed(events, ["device"], GuardChallenges(keep_ms), REPLAY_SCHEMA, delay)
+
+
+def frame_reason(seq_no: pd.Series, total: pd.Series, n: int, known_total: int | None, known: list[int]) -> tuple[int, str | None]:
+    """How many frames come before the first that breaks a rule, and which rule that is; `n` frames were there before."""
+    totals, seqs = total.to_numpy(float, na_value=np.nan), seq_no.to_numpy(float, na_value=np.nan)
+    expected = float(known_total) if known_total is not None else totals[0]
+    rules = {
+        "total_invalid": ~(totals >= 1),
+        "totals_differ": totals != expected,
+        "too_many_frames": (totals > MAX_FRAMES) | (n + 1 + np.arange(len(totals)) > MAX_FRAMES),
+        "seq_out_of_range": ~((seqs >= 0) & (seqs < totals)),
+        "seq_repeated": pd.Series(seqs).duplicated().to_numpy() | np.isin(seqs, known),
+    }
+    broken = np.stack(list(rules.values()))
+    at = np.flatnonzero(broken.any(axis=0))
+    return (int(at[0]), list(rules)[int(broken[:, at[0]].argmax())]) if len(at) else (len(totals), None)
 
 
 class CollectFrames(StatefulProcessor):
@@ -126,13 +199,13 @@ class CollectFrames(StatefulProcessor):
         if n == 0:
             self.handle.registerTimer(int(batch["ts"].min().timestamp() * 1000) + self.wait_ms)
         if outcome is None:
-            for row in batch.itertuples():
-                n += 1
-                outcome = self.reason(row, n, total)
-                if outcome:
-                    break
-                total = int(row.total)
-                self.frames.updateValue((int(row.seq_no),), (row.payload,))
+            first = batch.head(MAX_FRAMES + 1)  # more frames break a rule whatever they hold
+            known = [k[0] for k, _ in self.frames.iterator()]
+            good, outcome = frame_reason(first["seq_no"], first["total"], n, total, known)
+            n += good + (outcome is not None)
+            for seq_no, payload in zip(first["seq_no"].head(good).tolist(), first["payload"].head(good).tolist()):
+                self.frames.updateValue((int(seq_no),), (payload,))
+            total = int(first["total"].iloc[0]) if total is None and good else total
             message = None
             if outcome is None and n == total:
                 parts = sorted((k[0], v[0]) for k, v in self.frames.iterator())
@@ -144,19 +217,6 @@ class CollectFrames(StatefulProcessor):
                 self.frames.clear()
                 yield self.row(key, n, outcome, message)
 
-    def reason(self, row: Any, n: int, total: int | None) -> str | None:
-        if pd.isna(row.total) or row.total < 1:
-            return "total_invalid"
-        if total is not None and row.total != total:
-            return "totals_differ"
-        if row.total > MAX_FRAMES or n > MAX_FRAMES:
-            return "too_many_frames"
-        if not 0 <= row.seq_no < row.total:
-            return "seq_out_of_range"
-        if self.frames.containsKey((int(row.seq_no),)):
-            return "seq_repeated"
-        return None
-
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         n, _total, outcome = self.seen.get()
         self.frames.clear()
