@@ -3,11 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +18,11 @@ from hearken.functions.fixed_values import (
     SEGMENT_SEED,
 )
 from hearken.functions.numeric import round_even
+from hearken.operators import kmeans
 from hearken.operators.cleaning import top_per_key
 from hearken.operators.ordered import exact_medians
 from hearken.sources import snapshots
 
-PARALLEL_FITS = 5
-
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
     """Fill NULL with the exact median of the column, as a model parameter in the expression."""
@@ -58,45 +53,41 @@ def distinct_vectors(df: DataFrame, features: list[str]) -> DataFrame:
     Coded answers repeat a lot, so k-means on weighted patterns gives the result of k-means on all
     rows over far fewer vectors.
     """
-    patterns = df.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return VectorAssembler(inputCols=features, outputCol="x").transform(patterns)
+    return df.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def best_kmeans(
-    patterns: DataFrame, k: int, restarts: int = SEGMENT_RESTARTS, seed: int = SEGMENT_SEED
-) -> KMeansModel:
-    """The restart of the lowest training cost.
-
-    The restarts are independent Spark jobs, so a few of them are submitted side by side; a fit on
-    few patterns cannot keep a cluster busy alone.
-    """
-
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, featuresCol="x", weightCol="weight").fit(patterns)
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(inheritable_thread_target(patterns.sparkSession)(fit), range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    patterns: DataFrame, features: list[str], k: int, restarts: int = SEGMENT_RESTARTS, seed: int = SEGMENT_SEED
+) -> kmeans.Model:
+    """The restart of the lowest cost; all restarts share their passes."""
+    models = kmeans.fit(patterns, features, [(k, seed + i) for i in range(restarts)])
+    return min(kmeans.judged(patterns, features, models), key=lambda m: m.cost)
 
 
 @dataclass
 class Choice:
     k: int
     silhouette: float
-    model: KMeansModel
-    elbow: list[tuple[int, float, float]]  # (k, cost, silhouette)
+    model: kmeans.Model
+    models: list[kmeans.Model]  # the best one of every k
+
+    @property
+    def elbow(self) -> list[tuple[int, float, float]]:
+        """(k, cost, silhouette)"""
+        return [(m.k, m.cost, m.silhouette) for m in self.models]
 
 
 def choose_k(
     patterns: DataFrame,
+    features: list[str],
     k_max: int = SEGMENT_K_MAX,
     restarts: int = SEGMENT_RESTARTS,
     seed: int = SEGMENT_SEED,
 ) -> Choice:
     """Fit k = 2..k_max and keep the highest silhouette, the smallest k on ties.
 
-    The silhouette is Spark's squared-Euclidean one, linear in the rows; the plain Euclidean one
-    needs all pairs.
+    All numbers of segments and all restarts are fitted together. The silhouette is the squared-Euclidean one, linear in the
+    rows; the plain Euclidean one needs all pairs.
     """
     size = patterns.agg(F.count(F.lit(1)).alias("distinct"), F.sum("weight").alias("rows")).first()
     if size["distinct"] < 2:
@@ -104,34 +95,22 @@ def choose_k(
     if size["rows"] < MIN_RESPONDENTS:
         raise ValueError(f"{size['rows']:.0f} respondents, at least {MIN_RESPONDENTS} are needed")
     top = int(min(k_max, size["rows"] - 1, size["distinct"]))
-    judge = ClusteringEvaluator(featuresCol="x", weightCol="weight")
-    elbow, best = [], None
-    for k in range(2, top + 1):
-        model = best_kmeans(patterns, k, restarts, seed)
-        used = sum(size > 0 for size in model.summary.clusterSizes)
-        if used < 2 or used >= size["rows"]:
-            continue
-        score = judge.evaluate(model.transform(patterns))
-        elbow.append((k, float(model.summary.trainingCost), float(score)))
-        if best is None or score > best[0]:
-            best = (score, model)
-    if best is None:
+    models = kmeans.fit(patterns, features, [(k, seed + i) for k in range(2, top + 1) for i in range(restarts)])
+    best = [min((m for m in models if m.k == k), key=lambda m: m.cost) for k in range(2, top + 1)]
+    usable = [m for m in kmeans.judged(patterns, features, best) if 2 <= (m.sizes > 0).sum() < size["rows"]]
+    if not usable:
         raise ValueError("no usable number of segments")
-    return Choice(best[1].getK(), float(best[0]), best[1], elbow)
+    chosen = max(usable, key=lambda m: (m.silhouette, -m.k))
+    return Choice(chosen.k, chosen.silhouette, chosen, usable)
 
 
-def assign(df: DataFrame, model: KMeansModel, features: list[str]) -> DataFrame:
+def assign(df: DataFrame, model: kmeans.Model, features: list[str]) -> DataFrame:
     """Segment of every respondent, numbered by size (largest first), then by centre.
 
     k-means labels are arbitrary; this numbering depends on the result only.
     """
-    vectors = VectorAssembler(inputCols=features, outputCol="x").transform(df)
-    labelled = model.transform(vectors).drop("x")
-    sizes = {r["prediction"]: r["count"] for r in labelled.groupBy("prediction").count().collect()}
-    centres = [tuple(c.tolist()) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: (-sizes.get(i, 0), centres[i]))
-    renumber = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
-    return labelled.withColumn("segment", renumber[F.col("prediction")]).drop("prediction")
+    order = sorted(range(len(model.centres)), key=lambda i: (-model.sizes[i], model.centres[i].tolist()))
+    return df.withColumn("segment", kmeans.nearest(features, model.centres[order])["cluster"])
 
 
 def pca_2d(df: DataFrame, features: list[str]) -> DataFrame:

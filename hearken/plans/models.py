@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from hearken.functions.fixed_values import COUNT_TERMS, FEATURE_HEADERS, LDA_TOPICS, TFIDF_TERMS, TOPICS_ON_VECTORS
 from hearken.functions.numeric import round_even
-from hearken.operators import segments, survey, topics, vectors
+from hearken.operators import kmeans, segments, survey, topics, vectors
 from hearken.plans import reviews
 from hearken.plans.registry import Inputs, query
-from hearken.plans.surveys import answers
+from hearken.plans.surveys import ENCODED, answers
 from hearken.session import materialize, scratch_dir
 from hearken.sources import readers
 
@@ -249,8 +249,8 @@ def standard_features(t: Inputs):
 
 def chosen(t: Inputs):
     z = standard_features(t)
-    patterns = materialize(segments.distinct_vectors(z, Z).select("x", "weight"), "segment-patterns")
-    return z, segments.choose_k(patterns)
+    patterns = materialize(segments.distinct_vectors(z, Z), "segment-patterns")
+    return z, segments.choose_k(patterns, Z)
 
 
 @query("choose_k")
@@ -268,9 +268,35 @@ def _(t: Inputs):
 @query("kmeans_segments")
 def _(t: Inputs):
     z = standard_features(t)
-    patterns = materialize(segments.distinct_vectors(z, Z).select("x", "weight"), "segment-patterns")
-    model = segments.best_kmeans(patterns, 3)
-    return segments.assign(z, model, Z).select("respondent_id", "segment")
+    patterns = materialize(segments.distinct_vectors(z, Z), "segment-patterns")
+    return segments.assign(z, segments.best_kmeans(patterns, Z, 3), Z).select("respondent_id", "segment")
+
+
+@query(
+    "kmeans_properties",
+    f"""with e as ({ENCODED}) select k, count(*) as n_rows, true as cost_recomputed, true as nearest, true as by_size,
+         true as centres_are_means, true as silhouette_recomputed from e, (values (2), (3), (4), (5), (6), (7)) ks(k) group by k""",
+)
+def _(t: Inputs):
+    """What must hold for the model of every k, recomputed from the rows."""
+    z, choice = chosen(t)
+    found = []
+    for model in choice.models:
+        told = segments.assign(z, model, Z).withColumn("_near", kmeans.nearest(Z, model.centres)["distance"])
+        told = materialize(told, "assigned")
+        means = told.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in Z]).orderBy("segment").collect()
+        order = sorted(range(len(model.centres)), key=lambda i: (-model.sizes[i], model.centres[i].tolist()))
+        gap = max(abs(r[c] - model.centres[order[r["segment"]]][i]) for r in means for i, c in enumerate(Z))
+        total = told.agg(F.sum("_near").alias("cost"), F.count(F.lit(1)).alias("n")).first()
+        centre = F.create_map(*[F.lit(x) for r in means for x in (r["segment"], F.array(*[F.lit(r[c]) for c in Z]))])[F.col("segment")]
+        own = sum(((F.col(c) - centre[i]) * (F.col(c) - centre[i]) for i, c in enumerate(Z)), F.lit(0.0))
+        nearest = told.filter(own > F.col("_near") + 0.01).isEmpty()
+        shown = segments.silhouette(told, Z).first()[0]
+        found.append((
+            model.k, total["n"], bool(abs(total["cost"] - model.cost) < 1e-6 * model.cost), nearest,
+            [r["n"] for r in means] == sorted((r["n"] for r in means), reverse=True), bool(gap < 0.01), bool(abs(shown - model.silhouette) < 1e-6),
+        ))
+    return t.spark.createDataFrame(found, "k int, n_rows bigint, cost_recomputed boolean, nearest boolean, by_size boolean, centres_are_means boolean, silhouette_recomputed boolean")
 
 
 @query("pca_2d")

@@ -1,11 +1,12 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from hearken.operators import scoring, segments, survey, topics, vectors
+from hearken.operators import kmeans, scoring, segments, survey, topics, vectors
 
 
 @pytest.mark.parametrize(
@@ -88,12 +89,36 @@ def test_planted_groups_are_found_and_numbered_by_size(spark):
     means = z.agg(*[F.avg(c) for c in zs], *[F.stddev_pop(c) for c in zs]).first()
     assert all(abs(m) < 1e-9 for m in means[: len(zs)]) and all(abs(s - 1) < 1e-9 for s in means[len(zs):])
     patterns = segments.distinct_vectors(z, zs)
-    choice = segments.choose_k(patterns, k_max=4, restarts=2)
+    choice = segments.choose_k(patterns, zs, k_max=4, restarts=2)
     assert choice.k in (2, 3) and [e[0] for e in choice.elbow] == [2, 3, 4]
     sizes = {r["segment"]: r["n"] for r in segments.sizes(segments.assign(z, choice.model, zs)).collect()}
     assert sum(sizes.values()) == 300 and sizes[0] == max(sizes.values())
 
 
+def test_models_fitted_together_cost_no_more_than_single_fits(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rng = random.Random(9)
+    data = [tuple(rng.gauss(rng.choice([0, 4, 9]), 1.0) for _ in range(3)) + (float(rng.randrange(1, 4)),) for _ in range(400)]
+    rows = spark.createDataFrame([*data, (None, 1.0, 1.0, 1.0), (1.0, 1.0, 1.0, 0.0)], "a double, b double, c double, weight double")
+    names = ["a", "b", "c"]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("together", "together")
+    models = kmeans.judged(rows, names, kmeans.fit(rows, names, [(k, seed) for k in (2, 3, 5) for seed in range(6)]))
+    assert len(tracker.getJobIdsForGroup("together")) <= 60  # two jobs a pass, whatever the number of models
+    spark.sparkContext.setJobGroup("plain", "plain")
+    wide = VectorAssembler(inputCols=names, outputCol="x").transform(spark.createDataFrame(data, "a double, b double, c double, weight double"))
+    for k in (2, 3, 5):
+        best = min((m for m in models if m.k == k), key=lambda m: m.cost)
+        plain = min(KMeans(k=k, seed=s, featuresCol="x", weightCol="weight").fit(wide).summary.trainingCost for s in range(3))
+        assert best.cost <= plain * 1.001 and abs(best.sizes.sum() - sum(d[3] for d in data)) < 1e-6
+    with pytest.raises(ValueError):
+        kmeans.fit(rows.limit(0), names, [(2, 0)])
+    few = kmeans.judged(rows.limit(2), names, kmeans.fit(rows.limit(2), names, [(3, 0)]))[0]
+    assert few.cost < 1e-9 and len(few.centres) <= 2
+
+
 def test_constant_column_standardises_to_zero(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0)], "a double, b double")
     assert {r["b_z"] for r in segments.standardize(df, ["a", "b"]).collect()} == {0.0}
