@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 MEDIAN_BINS = 65536
-MEDIAN_ACCURACY = 10_000  # an approximate rank is off by at most one in so many rows
+SKETCH_SIZE = 2048
+SKETCH_SLACK = 0.01  # ranks on either side of the middle; the sketch is off by some 0.2 %
 
 
 def time_bucket(ts: str, width: str = "1 hour") -> Column:
@@ -71,57 +72,52 @@ def with_position(
 
 
 def exact_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, median) of every column, exact at any size.
+    """(feature, median) of every column, exact at any size; columns without a value have no row.
 
-    Values are counted first, so repeats cost nothing. Approximate quantiles on both sides of the middle bound
-    a narrow range, which is cut into bins, with one more bin below and one above it, so far values cannot
-    crowd the others into one bin. Bin totals point to the bin or two that hold the middle ranks, and only the
-    values of those are put in order. The result is exact whatever the approximation gave.
+    One pass sketches all columns at once (KLL quantiles and counts). They bound a narrow range around the middle, which
+    is cut into bins, with one more bin below and one above it, so far values cannot crowd the others into one bin. The
+    second pass counts by bin, and the totals point to the bin or two that hold the middle ranks; the third reads only the
+    values of those. Nothing but counts is shuffled before that. The result is exact whatever the sketch gave.
     """
-    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)")
-    counted = long.filter("value is not null").groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("n")
+    numbered = list(enumerate(columns))
+    seen = df.agg(
+        *[F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(SKETCH_SIZE)).alias(f"s{i}") for i, c in numbered],
+        *[F.count(c).alias(f"n{i}") for i, c in numbered],
     )
-    near = [0.5 - 3.0 / MEDIAN_ACCURACY, 0.5 + 3.0 / MEDIAN_ACCURACY]
-    spans = (
-        long.filter("value is not null")
-        .groupBy("feature")
-        .agg(F.percentile_approx("value", near, MEDIAN_ACCURACY).alias("span"), F.count(F.lit(1)).alias("total"))
-        .select("feature", F.col("span")[0].alias("lo"), F.col("span")[1].alias("hi"), "total")
-    )
-    # at most one row per listed column
-    sized = counted.join(F.broadcast(spans), "feature")
+
+    def quantile(i: int, rank: float) -> Column:
+        return F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(F.col(f"s{i}"), F.lit(rank)))
+
+    spans = seen.select(
+        F.array(*[
+            F.struct(quantile(i, 0.5 - SKETCH_SLACK).alias("lo"), quantile(i, 0.5 + SKETCH_SLACK).alias("hi"), F.col(f"n{i}").alias("total"))
+            for i, _ in numbered
+        ])
+    ).scalar()
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for i, c in numbered])
+    long = df.select(F.explode(cells).alias("cell")).select("cell.*").filter("value is not null").withColumn("span", spans[F.col("i")])
+    value, lo, hi = F.col("value"), F.col("span.lo"), F.col("span.hi")
     place = (
-        F.when(F.col("value") < F.col("lo"), F.lit(-1))
-        .when(F.col("value") > F.col("hi"), F.lit(MEDIAN_BINS + 1))
-        .when(
-            F.col("hi") > F.col("lo"),
-            F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * MEDIAN_BINS),
-        )
+        F.when(value < lo, F.lit(-1))
+        .when(value > hi, F.lit(MEDIAN_BINS + 1))
+        .when(hi > lo, F.floor((value - lo) / (hi - lo) * MEDIAN_BINS))
         .otherwise(F.lit(0))
     )
-    binned = sized.withColumn("bin", place)
-    totals = binned.groupBy("feature", "bin").agg(
-        F.sum("n").alias("bin_n"), F.first("total").alias("total")
-    )
-    up_to = Window.partitionBy("feature").orderBy("bin")
-    ends = totals.withColumn("upto", F.sum("bin_n").over(up_to))
+    binned = long.select("feature", "value", place.cast("bigint").alias("bin"), F.col("span.total").alias("total"))
+    totals = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("bin_n"), F.first("total").alias("total"))
+    ends = totals.withColumn("upto", F.sum("bin_n").over(Window.partitionBy("feature").orderBy("bin")))
     low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
     before = F.col("upto") - F.col("bin_n")
-    middle = ends.filter(
-        ((before < low) & (low <= F.col("upto"))) | ((before < high) & (high <= F.col("upto")))
-    ).select("feature", "bin", before.alias("before"))
-    # at most two bins per feature
-    values = binned.join(F.broadcast(middle), ["feature", "bin"])
-    rank = F.col("before") + F.sum("n").over(
-        Window.partitionBy("feature", "bin").orderBy("value")
-    )
-    ranked = values.withColumn("last_rank", rank).withColumn("first_rank", rank - F.col("n") + 1)
+    middle = ends.filter(((before < low) & (low <= F.col("upto"))) | ((before < high) & (high <= F.col("upto"))))
+    # at most two bins a column
+    held = middle.agg(F.collect_list(F.struct("feature", "bin", before.alias("before")))).scalar()
+    mine = F.get(F.filter("_held", lambda h: (h["feature"] == F.col("feature")) & (h["bin"] == F.col("bin"))), F.lit(0))
+    few = binned.withColumn("_held", held).withColumn("before", mine["before"]).filter("before is not null")
+    counted = few.groupBy("feature", "bin", "before", "total", "value").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.col("before") + F.sum("n").over(Window.partitionBy("feature", "bin").orderBy("value"))
+    ranked = counted.withColumn("last_rank", rank).withColumn("first_rank", rank - F.col("n") + 1)
     hit_low = (F.col("first_rank") <= low) & (low <= F.col("last_rank"))
     hit_high = (F.col("first_rank") <= high) & (high <= F.col("last_rank"))
     return ranked.groupBy("feature").agg(
-        (
-            (F.max(F.when(hit_low, F.col("value"))) + F.max(F.when(hit_high, F.col("value")))) / 2
-        ).alias("median")
+        ((F.max(F.when(hit_low, F.col("value"))) + F.max(F.when(hit_high, F.col("value")))) / 2).alias("median")
     )

@@ -25,26 +25,23 @@ from hearken.sources import snapshots
 
 
 def impute_median(df: DataFrame, features: list[str]) -> DataFrame:
-    """Fill NULL with the exact median of the column, as a model parameter in the expression."""
-    medians = {r["feature"]: r["median"] for r in exact_medians(df, features).collect()}
-    filled = {
-        c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in features if c in medians
-    }
-    return df.withColumns(filled)
+    """Fill NULL with the exact median of the column, which a scalar subquery finds when the plan runs."""
+    pairs = exact_medians(df, features).agg(F.map_from_entries(F.collect_list(F.struct("feature", "median"))))
+    told = df.withColumn("_medians", pairs.scalar())  # one entry a column
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.try_element_at("_medians", F.lit(c))) for c in features}
+    return told.withColumns(filled).drop("_medians")
 
 
 def standardize(df: DataFrame, features: list[str], suffix: str = "_z") -> DataFrame:
     """z-scores with the population deviation; a constant column becomes 0."""
-    stats = df.agg(
-        *[F.avg(c).alias(f"{c}_m") for c in features],
-        *[F.stddev_pop(c).alias(f"{c}_s") for c in features],
-    ).first()
+    moments = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in features])
+    told = df.withColumn("_moments", moments.select(F.struct("*")).scalar())
 
-    def z(c: str):
-        mean, deviation = stats[f"{c}_m"], stats[f"{c}_s"]
-        return (F.col(c) - F.lit(mean)) / F.lit(deviation) if deviation else F.col(c) * F.lit(0.0)
+    def z(c: str) -> Column:
+        mean, deviation = F.col(f"_moments.`{c}`.m"), F.col(f"_moments.`{c}`.s")
+        return F.when(deviation > 0, (F.col(c) - mean) / F.nullif(deviation, F.lit(0.0))).otherwise(F.col(c) * F.lit(0.0))
 
-    return df.withColumns({f"{c}{suffix}": z(c) for c in features})
+    return told.withColumns({f"{c}{suffix}": z(c) for c in features}).drop("_moments")
 
 
 def distinct_vectors(df: DataFrame, features: list[str]) -> DataFrame:
