@@ -264,6 +264,32 @@ def first_valid(candidates: DataFrame, violations: DataFrame) -> DataFrame:
     )
 
 
+def rejections(candidates: DataFrame, violations: DataFrame) -> DataFrame:
+    """(grp, bundle_id, priority, rule, n): why each candidate was passed over that came before the one chosen.
+
+    Where no candidate is valid these are all of the group. Violations are counted by rule first, so there is one row for
+    each broken rule of a bundle, however many cells break it.
+    """
+    counted = violations.groupBy("bundle_id", "rule").agg(F.count(F.lit(1)).alias("n"))
+    chosen = first_valid(candidates, violations).select("grp", F.col("bundle_id").alias("_chosen"))
+    at = candidates.join(chosen, "grp").filter(F.col("bundle_id") == F.col("_chosen")).select("grp", F.struct("priority", "bundle_id").alias("_at"))
+    before = candidates.join(at, "grp", "left").filter(F.col("_at").isNull() | (F.struct("priority", "bundle_id") < F.col("_at")))
+    return before.join(counted, "bundle_id").select("grp", "bundle_id", "priority", "rule", "n")
+
+
+def strength_state(bundles: DataFrame, cells: DataFrame) -> DataFrame:
+    """(bundle_id, n_strengths, state): `rejected` if a row breaks a rule, `reported`, or `not_reported` for a table without rows.
+
+    A bundle without strengths stays valid; its report just says that none were found.
+    """
+    counts = cells.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n_strengths"))
+    broken = strengths(cells).select("bundle_id").distinct().withColumn("_broken", F.lit(True))
+    told = bundles.select("bundle_id").join(counts, "bundle_id", "left").join(broken, "bundle_id", "left")
+    n = F.coalesce("n_strengths", F.lit(0))
+    state = F.when(F.col("_broken"), "rejected").when(n == 0, "not_reported").otherwise("reported")
+    return told.select("bundle_id", n.alias("n_strengths"), state.alias("state"))
+
+
 def trusted_quotes(metas: DataFrame, quotes: DataFrame, n: int = 3) -> DataFrame:
     """The first quotes of bundles whose meta exists, names a real source and matches the content."""
     trusted = metas.filter(

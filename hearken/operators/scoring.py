@@ -33,6 +33,15 @@ def shares(df: DataFrame, by: str) -> DataFrame:
     return counted.withColumn("share_pct", round_even(F.col("n") / total * F.lit(100.0), 1))
 
 
+def answer_cells(answer: str | Column) -> Column:
+    """The members of the JSON object in a free-text answer, as text by name; NULL if there is none.
+
+    The object is the span from the first to the last brace, or its `distribution` member.
+    """
+    span = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
+    return F.from_json(F.coalesce(F.get_json_object(span, "$.distribution"), span), "map<string,string>")
+
+
 def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distribution") -> DataFrame:
     """The distribution a free-text answer contains, as a map over the scale that adds up to one.
 
@@ -40,8 +49,6 @@ def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distrib
     the answer leaves out are 0. No JSON, a null, a value that is no number, a negative value or no mass
     at all gives NULL.
     """
-    span = F.regexp_extract(answer, r"(?s)\{.*\}", 0)
-    inner = F.coalesce(F.get_json_object(span, "$.distribution"), span)
     cells = F.col("_cells")
 
     def share(category) -> Column:
@@ -56,7 +63,7 @@ def parsed_answers(df: DataFrame, answer: str, scale: tuple, out: str = "distrib
     scaled = F.map_from_arrays(names, F.transform(values, lambda v: v / total))
     # one column per step, so that no answer is parsed twice
     return (
-        df.withColumn("_cells", F.from_json(inner, "map<string,string>"))
+        df.withColumn("_cells", answer_cells(answer))
         .withColumn("_values", F.array(*[share(c) for c in scale]))
         .withColumn(out, F.when(F.coalesce(sound, F.lit(False)), scaled))
         .drop("_cells", "_values")

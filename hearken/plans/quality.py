@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearken.functions import hashing, text
 from hearken.functions.numeric import to_number, to_whole
-from hearken.operators import gate, mart, survey
+from hearken.operators import gate, mart, scoring, survey
 from hearken.operators.cleaning import first_per_key, long_enough
 from hearken.plans import reviews, surveys
 from hearken.plans.registry import Inputs, query
@@ -249,6 +249,23 @@ def _(t: Inputs):
     return gate.strengths(t.v_strength_cells)
 
 
+STRENGTHS = f"""broken as (select distinct bundle_id from ({rules_sql('v_strength_cells', STRENGTH_RULES, "'row ' || seq")})),
+  n as (select bundle_id, count(*) as n from v_strength_cells group by 1)"""
+
+
+@query(
+    "gate_strength_state",
+    f"""with {STRENGTHS}, b as (select distinct source_type as bundle_id from v_reviews union all select bundle_id from v_bundles)
+        select b.bundle_id, coalesce(n.n, 0) as n_strengths,
+          case when broken.bundle_id is not null then 'rejected' when n.n is null then 'not_reported' else 'reported' end as state
+        from b left join n on n.bundle_id = b.bundle_id left join broken on broken.bundle_id = b.bundle_id""",
+)
+def _(t: Inputs):
+    """The bundles of months have no strength rows here."""
+    bundles = t.v_reviews.select(F.col("source_type").alias("bundle_id")).distinct().unionByName(t.v_bundles.select("bundle_id"))
+    return gate.strength_state(bundles, t.v_strength_cells)
+
+
 @query(
     "gate_segments",
     rules_sql(
@@ -321,6 +338,20 @@ def _(t: Inputs):
     return gate.first_valid(t.v_bundles.select("grp", "bundle_id", "priority"), found)
 
 
+@query(
+    "gate_rejections",
+    f"""with bad as ({rules_sql('v_bundles', RUN_ID_RULES)} union all {rules_sql('v_bundles', SOURCE_RULES)}
+         union all {rules_sql('v_painpoint_cells', RANGE_RULES, "'row ' || row_no")}),
+       ok as (select grp, min((priority, bundle_id)) as best from v_bundles b where not exists (select 1 from bad where bad.bundle_id = b.bundle_id) group by grp)
+       select b.grp, b.bundle_id, b.priority, bad.rule, count(*) as n from v_bundles b join bad on bad.bundle_id = b.bundle_id
+         left join ok on ok.grp = b.grp where ok.grp is null or (b.priority, b.bundle_id) < ok.best group by 1, 2, 3, 4""",
+)
+def _(t: Inputs):
+    found = gate.run_ids(t.v_bundles).unionByName(gate.source_chain(t.v_bundles))
+    found = found.unionByName(gate.ranges(t.v_painpoint_cells))
+    return gate.rejections(t.v_bundles.select("grp", "bundle_id", "priority"), found)
+
+
 @query(
     "gate_quote_source",
     f"""with {HASH_CTES},
@@ -594,5 +625,4 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     answer = F.concat(F.lit("answer: "), F.col("props"), F.lit(" end"))
-    parsed = F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), "map<string,double>")
-    return t.events.select("event_id", F.try_element_at(parsed, F.lit("k")).alias("k"))
+    return t.events.select("event_id", to_number(F.try_element_at(scoring.answer_cells(answer), F.lit("k"))).alias("k"))

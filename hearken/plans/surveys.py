@@ -217,8 +217,11 @@ def _(t: Inputs):
 
 @query("watermark_source", "select segment, count(*) as n, source_type from v_members group by segment, source_type")
 def _(t: Inputs):
-    m = t.v_members
-    return m.groupBy("segment", "source_type").agg(F.count(F.lit(1)).alias("n"))
+    """The members of either source profiled and stamped on their own."""
+    parts = [
+        segments.profile(t.v_members.filter(F.col("source_type") == s).drop("source_type"), NUMERIC, s) for s in ("survey", "synthetic_demo")
+    ]
+    return parts[0].unionByName(parts[1]).select("segment", "n", "source_type")
 
 
 @query("agg_segment_sizes", "select label as segment, count(*) as n from embeddings group by label")

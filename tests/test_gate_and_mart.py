@@ -153,3 +153,19 @@ def test_constraints(spark):
     reviews = spark.createDataFrame([("r1", None, 6), ("r9", "t", 5), ("r1", "t", None)], "run_id string, review string, rating int")
     found = rows(mart.constraint_violations("reviews", reviews, runs=runs), "rule", "key", "n")
     assert found == [("rating_range", "r1", 1), ("review_null", "r1", 1), ("run_missing", "r9", 1)]
+
+
+def test_reasons_of_passed_over_candidates_are_kept(spark):
+    candidates = spark.createDataFrame([("g", "a", 1), ("g", "b", 2), ("g", "c", 3), ("h", "d", 1), ("h", "e", 2)], "grp string, bundle_id string, priority int")
+    bad = spark.createDataFrame([("a", "r1", ""), ("a", "r1", "x"), ("a", "r2", ""), ("c", "r1", ""), ("d", "r3", ""), ("e", "r1", "")], "bundle_id string, rule string, detail string")
+    assert rows(gate.rejections(candidates, bad), "grp", "bundle_id", "rule", "n") == [
+        ("g", "a", "r1", 2), ("g", "a", "r2", 1), ("h", "d", "r3", 1), ("h", "e", "r1", 1)]
+    assert rows(gate.rejections(candidates, bad.limit(0))) == []
+
+
+def test_a_table_without_strengths_is_not_reported_rather_than_rejected(spark):
+    bundles = spark.createDataFrame([("a",), ("b",), ("c",)], "bundle_id string")
+    cells = spark.createDataFrame(
+        [("a", 1, "gut", "5", "0", "rating_fallback"), ("c", 2, "gut", "1", "0", "rating_fallback"), ("c", 3, "gut", "5", "1", "rating_fallback")],
+        "bundle_id string, seq bigint, rep_review string, rating string, likes string, sentiment_method string")
+    assert rows(gate.strength_state(bundles, cells)) == [("a", 1, "reported"), ("b", 0, "not_reported"), ("c", 2, "rejected")]
