@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearken.llm import decontam, langid, licenses, lines, negatives, phrases, pieces, pivots, quality, simhash, toxicity, urls, warc
@@ -28,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def is_held_out() -> Column:
+    """For results: false where there is no doc_id. Rows without one are no training rows either."""
+    return F.coalesce(langid.held_out(), F.lit(False))
+
+
 @query("op3_simhash_golay")
 def simhash_golay(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents").select("doc_id", "text"))
@@ -113,7 +118,7 @@ def language_cnn(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.train(docs.filter(~langid.held_out()))
     judged = langid.predict(docs.select("doc_id", "text"), model)
-    return judged.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
 @query("op9_quality_rules")
@@ -121,7 +126,7 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     stats = materialize(quality.with_statistics(table(spark, folder, "documents")), "statistics")
     labels = table(spark, folder, "labels").filter(~langid.held_out()).select("doc_id", F.col("quality").alias("label"))
     rules = quality.fit(materialize(stats.join(labels, "doc_id").select("stats", "label"), "labelled"))
-    scored = stats.select("doc_id", langid.held_out().alias("held_out"), quality.score(rules, F.col("stats")).alias("score"))
+    scored = stats.select("doc_id", is_held_out().alias("held_out"), quality.score(rules, F.col("stats")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
@@ -270,8 +275,6 @@ def phrase_parse(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_toxic_clauses")
 def toxic_clauses(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    learned = ~F.coalesce(langid.held_out(), F.lit(False))
-    labels = table(spark, folder, "labels").filter(learned).select("doc_id", F.col("toxic").alias("label"))
+    labels = table(spark, folder, "labels").filter(~langid.held_out()).select("doc_id", F.col("toxic").alias("label"))
     scored = toxicity.predict(docs, toxicity.train(docs, labels))
-    held_out = F.coalesce(langid.held_out(), F.lit(False)).alias("held_out")
-    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

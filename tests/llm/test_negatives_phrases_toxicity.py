@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from conftest import FOLDER, rows
-from hearken.llm import langid, negatives, phrases, queries, toxicity
+from hearken.llm import negatives, phrases, queries, toxicity
 
 SCHEMA = "vec_id bigint, embedding array<double>, label int"
 
@@ -182,4 +182,14 @@ def test_toxicity_of_odd_rows(spark):
     assert len(found) == 5
     by_id = {r["doc_id"]: round(r["score"], 6) for r in found}
     assert by_id[None] == by_id[2] == round(1 / (1 + math.exp(4)), 6) and by_id[1] > by_id[3] > 0.1
-    assert langid.held_out() is not None
+
+
+@pytest.mark.parametrize("name", ["op5_language_cnn", "op9_quality_rules", "op12_toxic_clauses"])
+def test_held_out_is_never_null(spark, tmp_path, name):
+    docs = queries.table(spark, FOLDER, "documents")
+    alone = spark.createDataFrame([(None, "A text without a number.")], "doc_id bigint, text string")
+    docs.unionByName(alone, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    queries.table(spark, FOLDER, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.QUERIES[name](spark, str(tmp_path)).select("doc_id", "held_out").collect()
+    assert len(found) == docs.count() + 1 and {r["held_out"] for r in found} == {True, False}
+    assert [r["held_out"] for r in found if r["doc_id"] is None] == [False]
