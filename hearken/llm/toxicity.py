@@ -338,7 +338,8 @@ def train(
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with the probability that a text is toxic."""
+    """`docs` with the probability that a text is toxic, in place of a column that has this name."""
+    docs = docs.drop(score_col)
     if model.weights is None:
         return docs.withColumn(score_col, F.lit(model.fixed))
     at = docs.columns.index(text_col)

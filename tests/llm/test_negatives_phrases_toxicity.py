@@ -178,8 +178,8 @@ def test_toxicity_of_odd_rows(spark):
     ones = spark.createDataFrame([(1, 1), (9, None), (None, 0)], "doc_id bigint, label int")
     assert {r["score"] for r in toxicity.predict(docs, toxicity.train(docs, ones)).collect()} == {1.0}
     model = toxicity.Model({"idiot": 5}, [-4.0, 1.0, 1.0, 1.0])
-    found = toxicity.predict(docs, model).collect()
-    assert len(found) == 5
+    found = toxicity.predict(docs.selectExpr("*", "'clash' as score", "1 as predicted"), model).collect()
+    assert len(found) == 5 and all(isinstance(r["score"], float) for r in found)
     by_id = {r["doc_id"]: round(r["score"], 6) for r in found}
     assert by_id[None] == by_id[2] == round(1 / (1 + math.exp(4)), 6) and by_id[1] > by_id[3] > 0.1
 
