@@ -7,7 +7,7 @@ from hearken.plans.catalog import QUERIES
 
 # these run jobs while they are being built
 EAGER = {
-    "choose_k", "elbow_table", "kmeans_segments", "pca_2d", "topics_lda",
+    "choose_k", "elbow_table", "kmeans_segments", "kmeans_properties", "pca_2d", "topics_lda",
     "lda_topic_terms", "topics_embedding", "stream_change_events", "stream_replay_guard",
     "stream_frame_reassembly", "ingest_checkpoint", "mart_load",
 }
