@@ -43,7 +43,10 @@ MAX_ITEMS = 20_000
 MAX_INDEX_WORDS = 2_000_000  # of all items of a block
 PIECE = 1 << 20  # characters of text handled at once
 BLOCK = 1 << 14  # windows walked at once
+PAIRS = 1 << 11  # regions verified at once
 FILTER_BITS = 22
+MASK = (1 << 64) - 1
+SHIFT = 1 << 39  # an item's first word may lie before the first word read
 
 WORD_BYTE = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
 _rng = np.random.default_rng(20)
@@ -114,6 +117,26 @@ def distance(item: np.ndarray, masks: dict[int, int], region: np.ndarray) -> int
     return least
 
 
+def distances(masks: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """`distance` of many items of at most 64 words at once: row t of `masks` has the places of every region's word t."""
+    one = np.uint64(1)
+    top = one << (sizes - 1).astype(np.uint64)
+    full = top | (top - one)
+    plus, minus = full.copy(), np.zeros_like(full)
+    score = sizes.astype(np.int64)
+    least = score.copy()
+    for same in masks:
+        diagonal = (((same & plus) + plus) ^ plus) | same | minus
+        up = minus | (~(diagonal | plus) & full)
+        down = plus & diagonal
+        score += ((up & top) != 0).astype(np.int64) - ((down & top) != 0)
+        up, down = up << one & full, down << one & full
+        plus = (down | ~(same | minus | up)) & full
+        minus = up & (same | minus)
+        np.minimum(least, score, out=least)
+    return least
+
+
 class ItemIndex:
     """Keys of all windows of a block of items."""
 
@@ -139,6 +162,14 @@ class ItemIndex:
             self.masks.append(masks)
             self.limits.append(int((1 - SIMILARITY) * len(words) + 1e-9))
         self.overlap = 4 * chars + 1000
+        self.sizes = np.array([len(w) for w in self.items], np.int64)
+        self.limits = np.array(self.limits, np.int64)
+        pairs = sorted((i << 32 | word, mask & MASK) for i, masks in enumerate(self.masks) for word, mask in masks.items())
+        self.word_keys = np.array([k for k, _ in pairs], np.uint64)
+        self.word_masks = np.array([m for _, m in pairs], np.uint64)
+        bitmap = np.zeros(1 << FILTER_BITS, bool)
+        bitmap[self.word_keys * FACTOR >> np.uint64(64 - FILTER_BITS)] = True
+        self.word_filter = np.packbits(bitmap)
         self.tables = []
         padded = [np.r_[w, np.zeros(2 * WINDOWS[0][1], np.uint32)] for w in self.items]
         base = np.cumsum([0, *map(len, padded)])
@@ -174,44 +205,66 @@ class ItemIndex:
                             low, high = np.searchsorted(known, row[hit], "left"), np.searchsorted(known, row[hit], "right")
                             n = high - low
                             which = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                            found.append(np.column_stack([owners[which], np.repeat(part[hit], n) - starts[which]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                            shifted = np.repeat(part[hit], n) - starts[which] + SHIFT
+                            found.append(owners[which].astype(np.int64) << 40 | shifted)
+        packed = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.column_stack([packed >> 40, (packed & (1 << 40) - 1) - SHIFT])
+
+    def regions(self, found: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(item, text, low, high) of the stretches to verify; a copy may begin or end outside its text, so a candidate
+        is tried with every text that has enough words near its place."""
+        filled = np.flatnonzero(np.diff(bounds) > 0)
+        begins = bounds[filled]
+        for at in range(0, len(found), BLOCK):
+            item, place = found[at : at + BLOCK, 0], found[at : at + BLOCK, 1]
+            size, limit = self.sizes[item], self.limits[item]
+            first = np.maximum(np.searchsorted(begins, place - limit, "right") - 1, 0)
+            n = np.maximum(np.searchsorted(begins, place + size + limit, "left") - first, 0)
+            row = np.repeat(np.arange(len(item)), n)
+            text = filled[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            low = np.maximum((place - limit)[row], bounds[text])
+            high = np.minimum((place + size + limit)[row], bounds[text + 1])
+            kept = high - low >= (size - limit)[row]
+            yield item[row[kept]], text[kept], low[kept], high[kept]
+
+    def verified(self, words: np.ndarray, bitmap: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least distance of each item to a stretch of its region, or the item's size where it is beyond the limit."""
+        least = self.sizes[item].copy()
+        needed = self.sizes[item] - self.limits[item]
+        span = np.arange(int((high - low).max(initial=0)))
+        where = low[:, None] + span
+        inside = where < high[:, None]
+        keys = item[:, None].astype(np.uint64) << np.uint64(32) | words[np.minimum(where, len(words) - 1)]
+        maybe = bitmap[keys * FACTOR >> np.uint64(64 - FILTER_BITS)] & inside
+        rows = np.flatnonzero(maybe.sum(axis=1) >= needed)
+        if not len(rows):
+            return least
+        keys, inside = keys[rows], inside[rows]
+        spot = np.minimum(np.searchsorted(self.word_keys, keys), len(self.word_keys) - 1)
+        known = (self.word_keys[spot] == keys) & inside
+        enough = known.sum(axis=1) >= needed[rows]
+        short = np.flatnonzero(enough & (self.sizes[item[rows]] <= 64))
+        if len(short):
+            masks = np.where(known[short], self.word_masks[spot[short]], np.uint64(0))
+            least[rows[short]] = distances(np.ascontiguousarray(masks.T), self.sizes[item[rows[short]]])
+        for i in rows[enough & (self.sizes[item[rows]] > 64)].tolist():
+            own = int(item[i])
+            least[i] = distance(self.items[own], self.masks[own], words[low[i] : high[i]])
+        return least
 
     def matches(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, distance): `bounds` are the first words of the texts and the end of the last one."""
-        found = self.candidates(words)
-        if not len(found):
-            return
-        filled = np.flatnonzero(np.diff(bounds) > 0)
-        begins = bounds[filled]
-        for item in np.unique(found[:, 0]).tolist():
-            own, limit, size = self.items[item], self.limits[item], len(self.items[item])
-            rows = np.flatnonzero(found[:, 0] == item)
-            span = np.arange(-limit, size + limit)
-            vocabulary = np.unique(own)
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                where = np.clip(found[part, 1][:, None] + span, 0, len(words) - 1)
-                seen = words[where]
-                spot = np.minimum(np.searchsorted(vocabulary, seen), len(vocabulary) - 1)
-                enough = (vocabulary[spot] == seen).sum(axis=1) >= size - limit
-                best: dict[int, int] = {}
-                # a copy may begin or end outside its text, so every text with words in the region is tried
-                first = np.maximum(np.searchsorted(begins, found[part, 1] - limit, "right") - 1, 0)
-                last = np.searchsorted(begins, found[part, 1] + size + limit, "left")
-                for i in np.flatnonzero(enough).tolist():
-                    place = int(found[part[i], 1])
-                    for text in filled[first[i] : last[i]].tolist():
-                        low, high = max(place - limit, int(bounds[text])), min(place + size + limit, int(bounds[text + 1]))
-                        if best.get(text, size) == 0 or high - low < size - limit:
-                            continue
-                        if low <= place and place + size <= high and np.array_equal(words[place : place + size], own):
-                            best[text] = 0
-                        else:
-                            best[text] = min(best.get(text, size), distance(own, self.masks[item], words[low:high]))
-                for text, far in best.items():
-                    if far <= limit:
-                        yield text, item, far
+        best: dict[tuple[int, int], int] = {}
+        bitmap = np.unpackbits(self.word_filter).view(bool)
+        for item, text, low, high in self.regions(self.candidates(words), bounds):
+            for at in range(0, len(item), PAIRS):
+                part = slice(at, at + PAIRS)
+                least = self.verified(words, bitmap, item[part], low[part], high[part])
+                near = np.flatnonzero(least <= self.limits[item[part]])
+                for t, i, far in zip(text[part][near].tolist(), item[part][near].tolist(), least[near].tolist()):
+                    best[t, i] = min(best.get((t, i), far), far)
+        for (text, item), far in best.items():
+            yield text, item, far
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         """(text, item, distance) for several texts at once."""

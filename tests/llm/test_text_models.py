@@ -216,6 +216,18 @@ def test_contaminations_edges(spark, monkeypatch):
     assert decontam.contaminations(docs.limit(0), bench).count() == 0
 
 
+def test_distances_of_many_items_are_those_of_one():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2, 5, 9, 31, 63, 64, 64])
+    items = [rng.integers(0, 6, n).astype(np.uint32) for n in sizes]
+    regions = [rng.integers(0, 6, 90).astype(np.uint32) for _ in sizes]
+    regions[5][10:73] = items[5]
+    places = [{w: sum(1 << i for i, x in enumerate(item.tolist()) if x == w) for w in range(6)} for item in items]
+    masks = np.array([[places[k].get(int(w), 0) for k, w in enumerate(step)] for step in zip(*regions)], np.uint64)
+    wanted = [decontam.distance(item, place, region) for item, place, region in zip(items, places, regions)]
+    assert decontam.distances(masks, sizes).tolist() == wanted and wanted[5] == 0
+
+
 def published():
     import sentencepiece
 
