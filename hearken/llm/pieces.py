@@ -5,16 +5,17 @@ neighbours of 0 if BPE leaves the two pieces apart when it encodes their joined
 The path that BPE itself finds is the only one of weight 0, so a max-plus search over paths yields exactly the identifiers
 of the published tokenizer.
 
-A giant text is cut into chunks of `CHUNK` characters anywhere. The state at a cut is the piece that covers the character
+A text is cut into chunks of `CHUNK` characters anywhere; one that fits a single chunk has no cut and no matrix. The state at a cut is the piece that covers the character
 before it; around a cut, only pieces that match the text there are possible, a few dozen at most. Each chunk yields a
 transfer matrix: entry (i, j) is the weight of the best path from state i at its left cut to state j at its right cut.
 Matrices are multiplied in the max-plus semiring, which is associative, so products are formed in groups of `GROUP` chunks
-and then over the groups. The vectors of states reached at every cut select one state for each cut (the scan), and each
+and then over the groups. One task does the chunks of a group; a text of several groups is spread over tasks. The vectors of states reached at every cut select one state for each cut (the scan), and each
 chunk is backtraced on its own between its two states.
 
 A piece never holds a word start inside (checked when the vocabulary is loaded), so within a chunk every path passes all
-word starts. Words between them have one inner path, found by merging all distinct words of a batch at once in numpy; only
-the ends of a chunk, and runs without a word start, are searched piece by piece.
+word starts. Words between them have one inner path: the words of a batch are dictionary-encoded in Arrow, the distinct
+ones are merged at once in numpy, and their pieces are gathered by index. Only the ends of a chunk, and runs without a word
+start, are searched piece by piece.
 
 Decoding joins the pieces, turns byte pieces back into UTF-8 and drops the space that encoding put in front.
 
@@ -29,10 +30,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearken.llm.batches import small_batches
@@ -41,13 +44,11 @@ from hearken.session import materialize
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK = 16_384  # characters
-GROUP = 256  # chunks whose matrices one task multiplies
+CHUNK = 8192  # characters
+GROUP = 8  # chunks whose matrices one task multiplies
 NEVER = -np.inf
 START = re.compile(f"(?<!{SPACE}){SPACE}")
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-CACHE = 1 << 17  # words remembered by a worker
-GIANT = 4 * CHUNK  # longer texts are cut
+CACHE = 1 << 18  # words remembered by a worker
 SLAB = 1 << 20  # characters whose words are merged at once
 
 
@@ -87,10 +88,16 @@ class Vocabulary:
         self.char_of: dict[int, str] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.alone: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.spelled: dict[bytes, list[int]] = {}  # identifiers of words, spaces as they are
         self.bytes = [p.encode() for p in self.pieces]
         for value, i in enumerate(self.byte_ids.tolist()):
             self.bytes[i] = bytes([value])
+        self.inside = np.zeros((256, 256), bool)  # bytes that meet at the characters inside a piece
+        for piece in self.ids:
+            chars = [c.encode() for c in piece.replace(SPACE, " ")]
+            for a, b in zip(chars, chars[1:]):
+                self.inside[a[-1], b[0]] = True
+        self.plain_bytes = pa.array([b.replace(SPACE.encode(), b" ") for b in self.bytes], pa.binary())
 
     def symbol(self, char: str) -> int:
         found = self.ids.get(char)
@@ -106,43 +113,53 @@ class Vocabulary:
         """BPE of many strings at once: in each step every string merges its pair of lowest rank, the leftmost of equals."""
         if not words:
             return []
-        order = np.argsort([len(w) for w in words], kind="stable")
+        lengths = np.array([len(w) for w in words])
+        begins = np.cumsum(lengths) - lengths
+        chars, which = np.unique(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), return_inverse=True)
+        symbols = np.array([self.symbol(chr(c)) for c in chars.tolist()], np.int64)[which]
+        order = np.argsort(lengths, kind="stable")
         found: list[tuple[int, ...]] = [()] * len(words)
         for at in range(0, len(order), 4096):  # strings of like length share a matrix
-            part = order[at : at + 4096].tolist()
-            size = len(words[part[-1]])
-            grid = np.full((len(part), size + 1), -1, np.int64)
-            for row, i in enumerate(part):
-                grid[row, : len(words[i])] = [self.symbol(c) for c in words[i]]
-            lengths = np.array([len(words[i]) for i in part])
-            self._merge(grid, lengths)
-            for row, i in enumerate(part):
-                found[i] = tuple(grid[row, : lengths[row]].tolist())
+            part = order[at : at + 4096]
+            left = lengths[part]
+            place = np.arange(left[-1] + 1)
+            grid = symbols[np.minimum(begins[part, None] + place, len(symbols) - 1)]
+            grid[place >= left[:, None]] = -1
+            self._merge(grid)
+            ends = np.cumsum((grid >= 0).sum(axis=1)).tolist()
+            flat = grid[grid >= 0].tolist()
+            for i, low, high in zip(part.tolist(), [0, *ends], ends):
+                found[i] = tuple(flat[low:high])
         return found
 
-    def _merge(self, grid: np.ndarray, lengths: np.ndarray) -> None:
-        live = np.arange(len(grid))
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, whole) of neighbours: the rank is infinite where they do not merge; -1 stands beyond the end."""
+        keys = np.where(right < 0, -1, left << 32 | np.maximum(right, 0))
+        spot = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        whole = self.pair_whole[spot]
+        return np.where(self.pair_keys[spot] == keys, self.rank[whole], np.inf), whole
+
+    def _merge(self, grid: np.ndarray) -> None:
+        """BPE of every row in place; only the two pairs beside a merge are ranked anew."""
+        live, now = np.arange(len(grid)), grid.copy()
+        rank, whole = self._pair(now[:, :-1], now[:, 1:])
+        place = np.arange(rank.shape[1])
         while len(live):
-            width = int(lengths[live].max())
-            part = grid[live, : width + 1]
-            keys = part[:, :-1] << 32 | np.maximum(part[:, 1:], 0)
-            keys[part[:, 1:] < 0] = -1
-            spot = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-            hit = self.pair_keys[spot] == keys
-            rank = np.where(hit, self.rank[self.pair_whole[spot]], np.inf)
             best = rank.argmin(axis=1)
-            rows = np.flatnonzero(rank[np.arange(len(live)), best] < np.inf)
-            if not len(rows):
-                return
-            best = best[rows]
-            part = part[rows]
-            part[np.arange(len(rows)), best] = self.pair_whole[spot[rows, best]]
-            place = np.arange(width)
-            moved = np.where(place[None] > best[:, None], part[:, 1:], part[:, :-1])
-            live = live[rows]
-            grid[live, :width] = moved
-            grid[live, width] = -1
-            lengths[live] -= 1
+            going = rank[np.arange(len(live)), best] < np.inf
+            if not going.all():
+                grid[live[~going]] = now[~going]
+                live, now, rank, whole, best = live[going], now[going], rank[going], whole[going], best[going]
+            rows = np.arange(len(live))
+            now[rows, best] = whole[rows, best]
+            later = place > best[:, None]
+            now[:, :-1] = np.where(later, now[:, 1:], now[:, :-1])
+            now[:, -1] = -1
+            for table in (rank, whole):
+                table[:, :-1] = np.where(later[:, :-1], table[:, 1:], table[:, :-1])
+            rank[:, -1] = np.inf
+            for spot in (np.maximum(best - 1, 0), best):
+                rank[rows, spot], whole[rows, spot] = self._pair(now[rows, spot], now[rows, spot + 1])
 
     def merged_long(self, text: str) -> list[int]:
         """BPE of one long string without word starts: a heap of pairs over a linked list."""
@@ -176,17 +193,6 @@ class Vocabulary:
                 offer(before[left])
         return [i for i in ids if i >= 0]
 
-    def learn(self, words: set[str]) -> None:
-        """Find the pieces of all new words of a batch."""
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        short = [w for w in new if len(w) <= 64]
-        self.words.update(zip(short, self.merged(short)))
-        for word in new:
-            if len(word) > 64:
-                self.words[word] = tuple(self.merged_long(word))
-
     def together(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two pieces apart, so that they may be neighbours: weight 0, else minus infinity."""
         found = self.apart.get((left, right))
@@ -231,12 +237,63 @@ def prepared(text: str) -> str:
     return (SPACE + text.replace(" ", SPACE)) if text else ""
 
 
-def encode_words(voc: Vocabulary, text: str) -> list[int]:
-    """Symbols of a string that begins at a word start."""
-    words = WORD.findall(text)
-    voc.learn(set(words))
-    known = voc.words
-    return [i for w in words for i in known[w]]
+def spaced(texts: pa.Array) -> pa.StringArray:
+    """`prepared` for an Arrow array, with spaces in place of U+2581."""
+    front = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " "))
+    return pc.replace_substring(front, SPACE, " ")
+
+
+def encode_array(voc: Vocabulary, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(identifiers of all texts, where those of each text begin and end); every text begins at a word start, with a space.
+
+    Words are cut wherever two characters meet as they do in no piece (before spaces, but also at most punctuation), so that
+    no piece can lie over a cut. They cover the bytes without gaps.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    begins = (raw & 0xC0) != 0x80
+    begins[1:] &= ~voc.inside[raw[:-1], raw[1:]]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(begins)
+    edges = np.r_[starts, len(raw)].astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+    spelled = spell(voc, words.dictionary.to_pylist())
+    which = words.indices.to_numpy()
+    sizes = np.array([len(x) for x in spelled], np.int64)
+    flat = np.fromiter(chain.from_iterable(spelled), np.int32, int(sizes.sum()))
+    n = sizes[which]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + n, n) + np.arange(ends[-1])]
+    return ids, np.r_[0, ends][np.searchsorted(starts, offsets)]
+
+
+def spell(voc: Vocabulary, words: list[bytes]) -> list[list[int]]:
+    """Identifiers of distinct words."""
+    known = voc.spelled
+    if len(known) > CACHE:
+        known.clear()
+    new = [w for w in words if w not in known]
+    texts = [w.decode().replace(" ", SPACE) for w in new]
+    short = [i for i, text in enumerate(texts) if len(text) <= 64]
+    for i, symbols in zip(short, voc.merged([texts[i] for i in short])):
+        known[new[i]] = voc.bytes_for(symbols)
+    for word, text in zip(new, texts):
+        if len(text) > 64:
+            known[word] = voc.bytes_for(voc.merged_long(text))
+    return [known[w] for w in words]
+
+
+def gives_back(voc: Vocabulary, texts: pa.StringArray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether the bytes of the pieces of each text are those of the text."""
+    joined = voc.plain_bytes.take(pa.array(ids))
+    at = np.r_[0, np.cumsum(pc.binary_length(joined).to_numpy())][bounds]
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), b"")[0].as_buffer()
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    whole = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), data])
+    return pc.equal(whole, texts).to_numpy(zero_copy_only=False)
 
 
 State = tuple[int, int, int]  # first and last character (exclusive) of a piece, and the piece
@@ -307,8 +364,8 @@ class Chunk:
     def _head(self, state: State, head: int) -> dict[int, tuple[int, int]]:
         return paths_from(self.voc, self.text, state, head)
 
-    def backtrace(self, i: int, j: int) -> list[int]:
-        """Symbols after left state i up to and with right state j."""
+    def backtrace(self, i: int, j: int) -> tuple[list[int], str, list[int]]:
+        """What lies after left state i up to and with right state j: symbols, whole words, symbols."""
 
         def back(reached: dict[int, tuple[int, int]], at: int, floor: int) -> list[int]:
             found = []
@@ -319,13 +376,22 @@ class Chunk:
 
         state, target = self.left[i], self.right[j]
         if target == state:
-            return []
+            return [], "", []
         if not self.starts:
-            return back(self._steps(state), target[1], state[1])
+            return back(self._steps(state), target[1], state[1]), "", []
         head, tail = self.starts
         before = back(self._head(state, head), head, state[1]) if state[1] < head else []
-        inner = encode_words(self.voc, self.text[head:tail]) if tail > head else []
-        return before + inner + back(self._steps((tail, tail, -1)), target[1], tail)
+        return before, self.text[head:tail], back(self._steps((tail, tail, -1)), target[1], tail)
+
+
+def joined_ids(voc: Vocabulary, traced: list[tuple[list[int], str, list[int]]]) -> list[np.ndarray]:
+    """Identifiers of backtraced chunks; the words of all of them are looked up together."""
+    inner = pa.array([words.replace(SPACE, " ") for _, words, _ in traced], pa.string())
+    ids, bounds = encode_array(voc, inner)
+    return [
+        np.concatenate([np.array(voc.bytes_for(a), np.int32), ids[low:high], np.array(voc.bytes_for(b), np.int32)])
+        for (a, _, b), low, high in zip(traced, bounds[:-1].tolist(), bounds[1:].tolist())
+    ]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -358,32 +424,48 @@ def chunk_rows(text: str, margin: int) -> Iterator[tuple[int, str, int, int, boo
         yield no, text[base : high + margin], low - base, high - base, no == 0, no == count - 1
 
 
+def scanned(voc: Vocabulary, texts: list[str]) -> list[np.ndarray]:
+    """The whole scan for some texts, in this process."""
+    traced, counts = [], []
+    for text in texts:
+        chunks = [Chunk(voc, *row[1:]) for row in chunk_rows(prepared(text), voc.longest)]
+        path = choose(0, 0, [c.matrix() for c in chunks]) if chunks else []
+        traced += [c.backtrace(i, j) for c, (i, j) in zip(chunks, path)]
+        counts.append(len(chunks))
+    ids = joined_ids(voc, traced)
+    ends = np.cumsum([0, *counts]).tolist()
+    return [np.concatenate([np.zeros(0, np.int32), *ids[low:high]]) for low, high in zip(ends, ends[1:])]
+
+
 def encode_chunks(voc: Vocabulary, text: str) -> list[int]:
-    """The whole scan for one text, in this process."""
-    chunks = [Chunk(voc, *row[1:]) for row in chunk_rows(prepared(text), voc.longest)]
-    path = choose(0, 0, [c.matrix() for c in chunks]) if chunks else []
-    return voc.bytes_for([s for c, (i, j) in zip(chunks, path) for s in c.backtrace(i, j)])
+    """The identifiers of one text by the scan."""
+    return scanned(voc, [text])[0].tolist()
 
 
 def as_matrix(row: dict) -> np.ndarray:
     return np.frombuffer(row["weights"], np.float32).reshape(row["n"], -1)
 
 
-def _encode_small(batches: Iterator[pa.RecordBatch], path: str, place: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _encode_whole(batches: Iterator[pa.RecordBatch], path: str, place: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     voc = vocabulary(path)
     for batch in batches:
         for part in slabs(batch, place, SLAB):
-            texts = part.column(place).to_pylist()
-            cut = [None if t is None else WORD.findall(prepared(t)) for t in texts]
-            voc.learn({w for words in cut if words for w in words})
-            known = voc.words
-            ids = [None if words is None else voc.bytes_for([i for w in words for i in known[w]]) for words in cut]
-            same = [None if t is None else voc.decode(x) == t.replace(SPACE, " ") for t, x in zip(texts, ids)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names)
-
-
-def _giant_ids(giants: DataFrame, text_col: str, path: str) -> DataFrame:
-    """(row, ids) of giant texts by chunks, transfer matrices, scan and backtraces."""
+            column = part.column(place).cast(pa.string())
+            absent, texts = column.is_null(), spaced(column)
+            cut = pc.fill_null(pc.greater(pc.utf8_length(texts), CHUNK), False)
+            ids, bounds = encode_array(voc, pc.if_else(cut, "", texts))
+            found = [ids[low:high] for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            rows = np.flatnonzero(cut.to_numpy(zero_copy_only=False)).tolist()
+            for row, given in zip(rows, scanned(voc, [column[row].as_py() for row in rows])):
+                found[row] = given
+            ids, bounds = np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum([0, *map(len, found)])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), pa.list_(pa.int32()), mask=absent)
+            same = pc.if_else(absent, None, pa.array(gives_back(voc, texts, ids, bounds)))
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, same], names)
+
+
+def _cut_ids(long: DataFrame, text_col: str, path: str) -> DataFrame:
+    """(row, ids) of texts of several groups by chunks, transfer matrices, scan and backtraces."""
     keys = "row bigint, no int"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,14 +515,12 @@ def _giant_ids(giants: DataFrame, text_col: str, path: str) -> DataFrame:
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path)
         for batch in batches:
-            ids = []
-            for r in batch.to_pylist():
-                chunk = Chunk(voc, *[r[k] for k in ("text", "low", "high", "first", "last")])
-                ids.append(voc.bytes_for(chunk.backtrace(r["i"], r["j"])))
+            chunks = [(Chunk(voc, *[r[k] for k in ("text", "low", "high", "first", "last")]), r["i"], r["j"]) for r in batch.to_pylist()]
+            ids = joined_ids(voc, [chunk.backtrace(i, j) for chunk, i, j in chunks])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["row", "no", "ids"])
 
     kinds = f"{keys}, text string, low int, high int, first boolean, last boolean"
-    chunks = materialize(giants.select("row", text_col).mapInArrow(split, kinds).repartition("row", "no"), "chunks")
+    chunks = materialize(long.select("row", text_col).mapInArrow(split, kinds).repartition("row", "no"), "chunks")
     matrices = materialize(
         chunks.mapInArrow(transfer, f"{keys}, n int, weights binary").withColumn("part", (F.col("no") / GROUP).cast("int")), "matrices"
     )
@@ -453,23 +533,28 @@ def _giant_ids(giants: DataFrame, text_col: str, path: str) -> DataFrame:
     return ordered.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
+def n_chunks(text: Column) -> Column:
+    """Into how many chunks a text is cut; encoding puts one character in front."""
+    return F.when(text.isNotNull(), F.ceil((F.length(text) + F.least(F.length(text), F.lit(1))) / CHUNK).cast("int"))
+
+
 def round_trip(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """`docs` with the columns ids (array<int>), n_ids, and round_trip: whether decoding the ids gives back the text."""
     path = path or model_path()
     rest = [c for c in docs.columns if c not in ("ids", "n_ids", "round_trip")]
     given = small_batches(docs).select(rest)
-    giant = F.coalesce(F.length(text_col) > GIANT, F.lit(False))
+    spread = F.coalesce(n_chunks(F.col(text_col)) > GROUP, F.lit(False))
 
     place, names = rest.index(text_col), [*rest, "ids", "round_trip"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", ids array<int>, round_trip boolean"
-    done = given.filter(~giant).mapInArrow(lambda batches: _encode_small(batches, path, place, names), schema)
+    done = given.filter(~spread).mapInArrow(lambda batches: _encode_whole(batches, path, place, names), schema)
 
-    giants = given.filter(giant).select(F.struct(*rest).alias("own"), F.col(text_col).alias("text"))
-    giants = materialize(giants.withColumn("row", F.monotonically_increasing_id()), "giants")
-    ids = materialize(_giant_ids(giants, "text", path), "giant-ids")
+    long = given.filter(spread).select(F.struct(*rest).alias("own"), F.col(text_col).alias("text"))
+    long = materialize(long.withColumn("row", F.monotonically_increasing_id()), "long")
+    ids = materialize(_cut_ids(long, "text", path), "long-ids")
     same = F.col("decoded") == F.replace(F.col("text"), F.lit(SPACE), F.lit(" "))
-    long = decode(giants.join(ids, "row"), "decoded", path).select("own.*", "ids", same.alias("round_trip"))
-    return done.unionByName(long).select(*rest, "ids", F.size("ids").cast("bigint").alias("n_ids"), "round_trip")
+    traced = decode(long.join(ids, "row"), "decoded", path).select("own.*", "ids", same.alias("round_trip"))
+    return done.unionByName(traced).select(*rest, "ids", F.size("ids").cast("bigint").alias("n_ids"), "round_trip")
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ def license_sentences(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_piece_scan")
 def piece_scan(spark: SparkSession, folder: str) -> DataFrame:
     encoded = pieces.round_trip(table(spark, folder, "documents").select("doc_id", "text"))
-    return encoded.select("doc_id", "n_ids", "ids", "round_trip")
+    return encoded.select("doc_id", "n_ids", "ids", "round_trip", pieces.n_chunks(F.col("text")).alias("n_chunks"))
 
 
 NEGATIVES_SQL = """

@@ -6,6 +6,7 @@ import random
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hearken.llm import decontam, langid, licenses, pieces, quality
@@ -250,6 +251,22 @@ def test_chunks_give_the_published_identifiers(monkeypatch, chunk):
         assert voc.decode(ids) == text.replace("▁", " ")
 
 
+def test_words_of_a_batch_are_encoded_together():
+    voc, model = pieces.vocabulary(pieces.model_path()), published()
+    texts = [None, *ODD, None, "end "]
+    spaced = pieces.spaced(pa.array(texts, pa.string()))
+    ids, bounds = pieces.encode_array(voc, spaced)
+    found = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert found == [model.encode(t or "") for t in texts]
+    assert pieces.gives_back(voc, spaced, ids, bounds).all()
+    other = ids.copy()
+    other[-1] = voc.ids["a"]
+    assert pieces.gives_back(voc, spaced, other, bounds).tolist() == [True] * (len(texts) - 1) + [False]
+    again, where = pieces.encode_array(voc, spaced.slice(3, 5))
+    assert [again[a:b].tolist() for a, b in zip(where, where[1:])] == found[3:8]
+    assert pieces.encode_array(voc, pieces.spaced(pa.array([], pa.string())))[1].tolist() == [0]
+
+
 def test_max_plus_product_is_associative():
     rng = np.random.default_rng(0)
     a, b, c = (np.where(rng.random((5, 5)) < 0.4, pieces.NEVER, rng.integers(-9, 0, (5, 5))) for _ in range(3))
@@ -258,10 +275,12 @@ def test_max_plus_product_is_associative():
 
 def test_encode_table(spark, monkeypatch):
     monkeypatch.setattr(pieces, "GROUP", 3)
-    monkeypatch.setattr(pieces, "GIANT", pieces.CHUNK)
     giant = "Some words and 漢字 in  a row. " * 6000
     rows = [(1, "Hello there", 5), (2, None, 6), (3, "", 7), (4, giant, 8), (None, "x" * 40_000, 9), (4, giant, 8), (5, "a▁b", 1)]
+    rows += [(10 + i, ("It was so. " * pieces.CHUNK)[: pieces.CHUNK + i], 0) for i in (-2, -1, 0, 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_ids int")
+    counts = {r["doc_id"]: r["n"] for r in docs.select("doc_id", pieces.n_chunks(docs["text"]).alias("n")).collect()}
+    assert [counts[i] for i in (1, 2, 3, 8, 9, 10, 11)] == [1, None, 0, 1, 1, 2, 2] and counts[4] > 20
     found = pieces.round_trip(docs)
     assert found.columns == ["doc_id", "text", "ids", "n_ids", "round_trip"]
     model = published()
