@@ -15,9 +15,10 @@ other; a text of one or two words is one shingle. Rows with a null doc_id get a
 rows stay as they are, each with the same fingerprint and component. Further columns are ignored.
 
 `keep_first` asks for more than three bits can tell: texts are near copies if the sets of their five-word shingles have a
-Jaccard similarity of at least 0.8 (`similar`). Such pairs lie about ten bits apart, so candidates come from bands of
-MinHash values instead: 16 bands of 4 meet a pair at 0.8 with probability 0.9998. Every candidate is verified exactly by
-its shingles. Buckets of up to SMALL distinct texts give all pairs; in a larger one all are compared with one leader, which
+Jaccard similarity of at least 0.8 (`similar`). Texts whose fingerprints, here of five-word shingles, are equal or linked
+through their Golay keys are candidates. Pairs at 0.8 lie about ten bits apart, so bands of MinHash values add those that
+three bits miss: 16 bands of 4 meet a pair at 0.8 with probability 0.9998. Every candidate is verified exactly by its
+shingles. Buckets of up to SMALL distinct texts give all pairs; in a larger one all are compared with one leader, which
 differs from band to band, so that pairs grow with the rows. A text of fewer words than a shingle is one shingle.
 """
 
@@ -55,24 +56,31 @@ FLIPS = _rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64)
 FACTORS = _rng.integers(0, 1 << 62, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority of the bits of the XXH64 of all word shingles, as an unsigned number."""
+def shingle_hashes(text: str | None, width: int) -> tuple[int, np.ndarray]:
+    """XXH64 of the word sequence and of all its shingles, repeats included; no shingles without a word."""
     words = (text or "").encode().lower().split()  # bytes: A-Z only, and exactly the six white-space characters
-    if not words:
-        return 0
     joined = b" ".join(words)
-    if len(words) < SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    digest, whole = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(joined, SEED)
+    if len(words) <= width:
+        return whole, np.array([whole][: len(words)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: 1 - SHINGLE].tolist()
-    ends = ends[SHINGLE - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(starts), SLICE):
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE])], ">u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    starts, ends = (ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist()
+    return whole, np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero without hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SLICE):
+        bits = np.unpackbits(hashes[at : at + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None) -> int:
+    """Majority of the bits of the XXH64 of all word shingles, as an unsigned number."""
+    return majority(shingle_hashes(text, SHINGLE)[1])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,18 +198,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return wide.select(id_col, hexed.alias("fingerprint"), own.alias("component_id"))
 
 
+def distinct_shingles(whole: int, hashes: np.ndarray) -> np.ndarray:
+    """The distinct hashes; a text without words has the hash of its empty sequence."""
+    return np.unique(hashes) if len(hashes) else np.array([whole], np.uint64)
+
+
 def shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
     """Hash of the word sequence, and the distinct hashes of its shingles."""
-    words = (text or "").encode().lower().split()
-    joined = b" ".join(words)
-    whole = xxhash.xxh64_intdigest(joined, SEED)
-    if len(words) <= width:
-        return whole, np.array([whole], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts, ends = (ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return whole, np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+    whole, hashes = shingle_hashes(text, width)
+    return whole, distinct_shingles(whole, hashes)
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -213,18 +218,21 @@ def band_keys(shingles: np.ndarray) -> list[int]:
 
 
 def _banded(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, print, size of the shingle set, keys)."""
+    """(id, print, fingerprint, size of the shingle set, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            rows = [shingle_hashes(t.as_py(), width) for t in batch.column(1)]
+            sets = [distinct_shingles(*r) for r in rows]
             prints = pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64))
-            keys = pa.array(list(np.array([band_keys(r[1]) for r in rows], np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([len(r[1]) for r in rows], pa.int32()), keys], ["id", "print", "size", "keys"])
+            marks = pa.array(np.array([majority(r[1]) for r in rows], np.uint64).view(np.int64))
+            keys = pa.array(list(np.array([band_keys(s) for s in sets], np.uint64).reshape(-1, BANDS).view(np.int64)), pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, marks, sizes, keys], ["id", "print", "fingerprint", "size", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     picked = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
-    return picked.mapInArrow(run, f"id {kind}, print bigint, size int, keys array<bigint>")
+    return picked.mapInArrow(run, f"id {kind}, print bigint, fingerprint bigint, size int, keys array<bigint>")
 
 
 def _shingled(docs: DataFrame, text_col: str, width: int) -> DataFrame:
@@ -241,9 +249,20 @@ def _shingled(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return picked.mapInArrow(run, "print bigint, shingles array<bigint>").dropDuplicates(["print"])
 
 
+def simhash_keys(distinct: DataFrame) -> DataFrame:
+    """(print, size, key): a key for every fingerprint, and one for every two that `links` finds through their Golay keys."""
+    marks = materialize(distinct.select("fingerprint").distinct(), "fingerprints")
+    pairs = links(marks).unionByName(marks.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")))
+    sides = F.explode(F.array_distinct(F.array("a", "b"))).alias("fingerprint")
+    return distinct.join(pairs.select(sides, F.xxhash64("a", "b").alias("key")), "fingerprint").select("print", "size", "key")
+
+
 def candidates(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(lead, other): distinct pairs of prints that share a bucket and whose sizes allow the similarity."""
-    rows = distinct.select("print", "size", F.explode("keys").alias("key"))
+    """(lead, other): distinct pairs of prints that share a bucket and whose sizes allow the similarity.
+
+    Prints share a bucket if their fingerprints are equal or linked, and if they share a MinHash band.
+    """
+    rows = simhash_keys(distinct).unionByName(distinct.select("print", "size", F.explode("keys").alias("key")))
     order = F.struct(F.xxhash64("print", "key").alias("turn"), F.col("print").alias("lead"), F.col("size").alias("lead_size"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
     shared = materialize(rows.join(buckets.select("key", "n", "first.lead", "first.lead_size"), "key"), "buckets")
@@ -261,8 +280,9 @@ def similar(
     """(id, component_id) of rows with an id: the smallest id reachable over pairs of at least that Jaccard similarity."""
     named = docs.filter(F.col(id_col).isNotNull())
     prints = materialize(_banded(named, id_col, text_col, shingle), "shingles")
-    least = F.min(F.struct("id", "size", "keys")).alias("row")
-    distinct = materialize(prints.groupBy("print").agg(least).select("print", F.col("row.id").alias("first"), "row.size", "row.keys"), "prints")
+    least = F.min(F.struct("id", "fingerprint", "size", "keys")).alias("row")
+    alone = prints.groupBy("print").agg(least).select("print", F.col("row.id").alias("first"), "row.fingerprint", "row.size", "row.keys")
+    distinct = materialize(alone, "prints")
     pairs = materialize(candidates(distinct, similarity), "pairs")
     asked = pairs.select(F.col("lead").alias("print")).unionByName(pairs.select(F.col("other").alias("print"))).distinct()
     ids = distinct.join(asked, "print", "left_semi").select(F.col("first").alias(id_col)).distinct()

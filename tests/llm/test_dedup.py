@@ -239,3 +239,19 @@ def test_kept_text_digest_matches_contract(spark):
     texts = {r["doc_id"]: r["text"] for r in kept.collect()}
     assert texts == {1: "a long enough line", 2: "rest"}
     assert hashlib.sha256(texts[2].encode()).hexdigest() == hashlib.sha256(b"rest").hexdigest()
+
+
+def test_linked_fingerprints_are_candidates_without_a_shared_band(spark):
+    rows = [(1, 0b0111, 9, [11]), (2, 0, 9, [12]), (3, 0b1111 << 20, 9, [13]), (4, 0, 9, [14]), (5, 0, 90, [15])]
+    prints = spark.createDataFrame(rows, "print bigint, fingerprint bigint, size int, keys array<bigint>")
+    found = {frozenset((r["lead"], r["other"])) for r in simhash.candidates(prints).collect()}
+    assert found == {frozenset((1, 2)), frozenset((1, 4)), frozenset((2, 4))}
+
+
+@pytest.mark.parametrize("text", [None, "", "one", "a b c d e", "A b  c d e f g " * 40])
+def test_one_pass_gives_fingerprint_and_shingles(text):
+    whole, hashes = simhash.shingle_hashes(text, 5)
+    words = (text or "").lower().split()
+    assert len(hashes) == (max(len(words) - 4, 1) if words else 0)
+    assert simhash.majority(hashes) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+    assert simhash.shingle_set(text, 5)[0] == whole
