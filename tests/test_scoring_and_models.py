@@ -142,3 +142,28 @@ def test_null_category_rejects_the_answer(spark):
     answers = [(1, '{"1": 2, "2": null}'), (2, '{"1": 2}'), (3, '{"1": "x"}'), (4, "no json")]
     got = scoring.parsed_answers(spark.createDataFrame(answers, "id int, answer string"), "answer", (1, 2)).collect()
     assert {r["id"]: r["distribution"] for r in got} == {1: None, 2: {"1": 1.0, "2": 0.0}, 3: None, 4: None}
+
+
+def test_terms_are_counted_per_key_across_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(1, "ab cd ab"), (1, "cd ab cd"), (None, "ab"), (None, "ab ef"), (2, None), (3, ""), (4, "cd ab")]
+    docs = spark.createDataFrame(rows, "seq bigint, tokens string")
+    try:
+        for size in (1, 2, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = {(r["seq"], r["term"]): r["tf"] for r in vectors.doc_terms(docs).collect()}
+            assert found == {
+                (1, "ab"): 3, (1, "cd"): 3, (1, "ab cd"): 2, (1, "cd ab"): 2, (None, "ab"): 2, (None, "ef"): 1,
+                (None, "ab ef"): 1, (4, "cd"): 1, (4, "ab"): 1, (4, "cd ab"): 1,
+            }
+            totals = {r["term"]: (r["corpus_tf"], r["df"]) for r in vectors.term_totals(docs).collect()}
+            assert totals == {"ab": (6, 3), "cd": (4, 2), "ef": (1, 1), "ab cd": (2, 1), "cd ab": (3, 2), "ab ef": (1, 1)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_bounded_vocabularies_do_not_shuffle_the_terms(spark):
+    docs = spark.createDataFrame([(1, "ab cd"), (2, "ab")], "seq bigint, tokens string")
+    plan = vectors.tfidf(docs, max_terms=2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(seq" in plan
+    assert "hashpartitioning(term" in vectors.tfidf(docs)._jdf.queryExecution().executedPlan().toString()
