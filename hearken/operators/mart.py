@@ -61,18 +61,19 @@ def load(spark: SparkSession, base: str, runs: DataFrame, tables: dict[str, Data
     """Load the passed runs among `runs` and their child rows; return rows per table.
 
     Child tables are partitioned by run and overwritten per partition, so loading a run again
-    replaces its rows instead of doubling them. Rows of runs that did not pass never get in.
+    replaces its rows instead of doubling them. Rows of runs that did not pass never get in. Each task writes
+    the rows it has, run by run: no row is shuffled, and a run has at most one file of each task.
     """
     fresh = new_runs(conform(runs, "runs"), read(spark, base, "runs"))
     fresh.write.mode("append").partitionBy("run_id").parquet(table_path(base, "runs"))
-    passed = runs.filter(F.col("gate_status") == PASSED).select("run_id")
+    # one row a run: whatever their estimated size, the child rows must not be shuffled to meet them
+    passed = F.broadcast(runs.filter(F.col("gate_status") == PASSED).select("run_id"))
     for table, rows in tables.items():
         kept = conform(rows, table).join(passed, "run_id", "left_semi")
         (
-            # runs stay together, but large ones are split by their size
-            kept.hint("rebalance", F.col("run_id"))
-            .write.mode("overwrite")
+            kept.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
             .partitionBy("run_id")
             .parquet(table_path(base, table))
         )
