@@ -12,14 +12,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hearken.functions.fixed_values import COMMAND_BUDGET, MAX_FRAMES
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGE_SCHEMA = "device bigint, capability string, ts timestamp, seq bigint, old int, new int"
+CHANGE_STATE = "device bigint, capability string, at bigint, seq bigint, old int, new int"
+CHANGE = Row("device", "capability", "at", "seq", "old", "new")
 REPLAY_SCHEMA = "device bigint, seq bigint, outcome string"
 FRAME_SCHEMA = "msg_id bigint, n_frames bigint, outcome string, message string"
 
@@ -47,9 +48,13 @@ class Expiring(StatefulProcessor):
         self.due = handle.getValueState("due", "at bigint") if self.keep_ms is not None else None
 
     def move_timer(self, batch: pd.DataFrame) -> None:
-        if self.due is None:
+        if self.due is not None:
+            self.move_timer_to(int(batch["ts"].max().timestamp() * 1_000_000))
+
+    def move_timer_to(self, last_micros: int | None) -> None:
+        if self.due is None or last_micros is None:
             return
-        at = int(batch["ts"].max().timestamp() * 1000) + self.keep_ms
+        at = last_micros // 1000 + self.keep_ms
         if self.due.exists():
             before = self.due.get()[0]
             if before >= at:
@@ -84,22 +89,20 @@ class KeepChanges(Expiring):
         self.started(handle)
         self.current = handle.getValueState("current", "value int")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = in_order(rows, ["ts", "seq"])
-        values = batch["value"]
-        before = values.shift(1).astype("Int64")
-        if self.current.exists():
-            before.iloc[0] = self.current.get()[0]
-        changed = before.isna() | (before != values)
-        self.current.update((int(values.iloc[-1]),))
-        self.move_timer(batch)
-        out = batch[changed.fillna(True)]
-        yield pd.DataFrame(
-            {
-                "device": out["device"], "capability": out["capability"], "ts": out["ts"],
-                "seq": out["seq"], "old": before[out.index].astype("Int32"), "new": out["value"],
-            }
-        )
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        # most keys have few rows, so they stay plain rows: a data frame for each key would cost more than the work
+        batch = sorted(rows, key=lambda r: (r["at"] is None, r["at"], r["seq"] is None, r["seq"]))
+        known = self.current.get()
+        old = known[0] if known else None
+        out = []
+        for row in batch:
+            if old is None or row["value"] != old:
+                out.append(CHANGE(row["device"], row["capability"], row["at"], row["seq"], old, row["value"]))
+            old = row["value"]
+        if known is None or known[0] != old:
+            self.current.update((old,))
+        self.move_timer_to(max((r["at"] for r in batch if r["at"] is not None), default=None))
+        yield from out
 
     def forget(self) -> None:
         self.current.clear()
@@ -112,7 +115,13 @@ def change_events(commands: DataFrame, keep_ms: int | None = None, delay: str =
     capability that is silent for longer (in event time, past the watermark) is forgotten: its next command counts as its
     first, and commands later than the watermark are dropped.
     """
-    return keyed(commands, ["device", "capability"], KeepChanges(keep_ms), CHANGE_SCHEMA, delay)
+    # instants cross to Python as whole microseconds, which have no time zone
+    timed = commands if keep_ms is None else commands.withWatermark("ts", delay)
+    grouped = timed.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).groupBy("device", "capability")
+    changes = grouped.transformWithState(
+        KeepChanges(keep_ms), CHANGE_STATE, outputMode="append", timeMode="none" if keep_ms is None else "eventTime"
+    )
+    return changes.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
 
 
 def challenge_outcomes(issue: np.ndarray, nonce: np.ndarray, live: str | None, is_open: bool) -> tuple[np.ndarray, str | None, bool]:
