@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,9 +185,18 @@ def judged(patterns: DataFrame, features: list[str], models: list[Model], weight
 
 
 def nearest(features: list[str], centres: np.ndarray) -> Column:
-    """(distance, cluster) of the nearest centre as one expression; the smaller number on ties."""
-    options = [
-        F.struct(sum(((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(features, centre)), F.lit(0.0)).alias("distance"), F.lit(i).alias("cluster"))
-        for i, centre in enumerate(centres)
-    ]
-    return F.array_min(F.array(*options))
+    """(distance, cluster) of the nearest centre, found for a batch of rows at once; the smaller number on ties.
+
+    As one expression over all features and centres it would be too long a method for the JVM to compile.
+    """
+
+    @F.pandas_udf("distance double, cluster int")
+    def found(*columns: pd.Series) -> pd.DataFrame:
+        far = np.zeros((len(columns[0]), len(centres)))
+        for column, at in zip(columns, centres.T):
+            apart = column.to_numpy(float)[:, None] - at
+            far += apart * apart
+        near = far.argmin(axis=1)
+        return pd.DataFrame({"distance": far[np.arange(len(far)), near], "cluster": near.astype("int32")})
+
+    return found(*[F.col(c).cast("double") for c in features])

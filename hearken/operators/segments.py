@@ -171,16 +171,20 @@ def silhouette(df: DataFrame, features: list[str], segment: str = "segment") ->
     )
     all_of_them = per_segment.agg(F.collect_list(F.struct("*"))).scalar()
 
-    def distance(o: Column, n: Column) -> Column:
+    def distance(o: Column) -> Column:
         dot = sum((F.col(c) * o[f"m{i}"] for i, c in enumerate(features)), F.lit(0.0))
-        return (squares * o["n"] + o["q"] - F.lit(2.0) * dot) / n
+        return squares * o["n"] + o["q"] - F.lit(2.0) * dot
 
+    # the distances to all segments are found once a row; what follows only picks among them
     told = df.withColumn("_all", all_of_them)
-    own = F.filter("_all", lambda o: o["s"] == F.col(segment))[0]
-    others = F.filter("_all", lambda o: o["s"] != F.col(segment))
-    far = F.array_min(F.transform(others, lambda o: distance(o, o["n"])))
-    near = F.when(own["n"] > 1, distance(own, own["n"] - 1))
-    width = F.coalesce((far - near) / F.nullif(F.greatest(far, near), F.lit(0.0)), F.lit(0.0))
+    apart = F.transform("_all", lambda o: F.struct((o["s"] == F.col(segment)).alias("own"), o["n"].alias("n"), distance(o).alias("sum")))
+    told = told.select(apart.alias("_apart"))
+    own = F.filter("_apart", lambda o: o["own"])[0]
+    far = F.array_min(F.transform(F.filter("_apart", lambda o: ~o["own"]), lambda o: o["sum"] / o["n"]))
+    told = told.select(own.alias("_own"), far.alias("_far"))
+    near = F.when(F.col("_own.n") > 1, F.col("_own.sum") / (F.col("_own.n") - 1))
+    told = told.select("_far", near.alias("_near"))
+    width = F.coalesce((F.col("_far") - F.col("_near")) / F.nullif(F.greatest("_far", "_near"), F.lit(0.0)), F.lit(0.0))
     return told.select(width.alias("_w")).agg(F.avg("_w").alias("silhouette"))
 
 
