@@ -272,20 +272,29 @@ def merge(records: DataFrame) -> DataFrame:
 
 def erase_audit(records: DataFrame, requests: DataFrame) -> DataFrame:
     """Is the erase request of a home accepted? One unknown name rejects all of it."""
-    asked = requests.select("home_id", "name").distinct()
-    live = records.select("home_id", "name").distinct().withColumn("live", F.lit(True))
-    known = asked.join(live, ["home_id", "name"], "left")
-    return known.groupBy("home_id").agg(
+    told = asked_and_live(records, requests).filter("asked")
+    return told.groupBy("home_id").agg(
         F.count(F.lit(1)).alias("n_requested"),
-        F.count_if(F.col("live").isNull()).alias("n_unknown"),
-        F.every(F.col("live").isNotNull()).alias("accepted"),
+        F.count_if(~F.col("live")).alias("n_unknown"),
+        F.every("live").alias("accepted"),
     )
 
 
+def asked_and_live(records: DataFrame, requests: DataFrame) -> DataFrame:
+    """(home_id, name, asked, live): every name that is requested or stored, once; one grouping in place of a join.
+
+    A request without a home or a name is not the request of a record that lacks them too.
+    """
+    known = F.col("home_id").isNotNull() & F.col("name").isNotNull()
+    live = records.select("home_id", "name", F.lit(False).alias("asked"), known.alias("live"))
+    asked = requests.select("home_id", "name", F.lit(True).alias("asked"), F.lit(False).alias("live"))
+    return live.unionByName(asked).groupBy("home_id", "name").agg(F.some("asked").alias("asked"), F.some("live").alias("live"))
+
+
 def erase(records: DataFrame, requests: DataFrame) -> DataFrame:
     """The store after all accepted requests."""
-    accepted = erase_audit(records, requests).filter("accepted").select("home_id")
-    gone = requests.select("home_id", "name").join(accepted, "home_id", "left_semi")
+    refused = erase_audit(records, requests).filter("not accepted").select("home_id")
+    gone = requests.select("home_id", "name").join(refused, "home_id", "left_anti")
     return records.join(gone, ["home_id", "name"], "left_anti")
 
 

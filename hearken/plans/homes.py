@@ -14,20 +14,55 @@ TOKEN = "^[a-z0-9][a-z0-9_-]{0,31}$"
 KEY = "^[a-z0-9][a-z0-9_]{0,31}$"
 
 
+def lines(t: Inputs):
+    """The order lines of all homes in numbers only: what devices, actions and requests are made of. Lines meet their
+    orders and parts once per query; texts are built by those who read them."""
+    return t.once("lines", build_lines)
+
+
+def build_lines(t: Inputs):
+    ordered = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("home_id"))
+    sized = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_size", F.lit(True).alias("has_part"))
+    rows = t.lineitem.join(ordered, "l_orderkey").join(sized, "l_partkey", "left")
+    return rows.select(
+        "home_id", F.col("l_orderkey").alias("routine_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("part_no"), F.col("l_suppkey").alias("supp_no"),
+        F.col("l_quantity").cast("int").alias("quantity"), (F.col("p_size") % 2).alias("size_rest"),
+        (F.col("l_tax") > 0.075).alias("ghost"), (F.col("l_tax") < 0.075).alias("asked"),
+        (F.col("l_discount") > 0.095).alias("odd"), F.coalesce("has_part", F.lit(False)).alias("has_part"),
+    )
+
+
 def devices(t: Inputs):
     """Device registry of the fleet; a stored table in practice, so it is written once per query."""
     return t.once("devices", build_devices)
 
 
 def build_devices(t: Inputs):
-    return t.v_devices.select(
-        "home_id", "pos", "device_ref", "device_type", F.array("cap1", "cap2").alias("capabilities")
-    )
+    """The rows of v_devices: pairs of home and part are made distinct as numbers, before the texts of the part join them."""
+    kind = F.when(F.col("p_partkey") % 50 == 0, F.col("p_type")).otherwise(F.lower("p_type"))
+    caps = (F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), size_key(F.col("p_size") % 2))
+    parts = t.part.select(F.col("p_partkey").alias("pos"), kind.alias("device_type"), F.array(*caps).alias("capabilities")).distinct()
+    pairs = lines(t).filter("has_part").select("home_id", F.col("part_no").alias("pos")).distinct()
+    return pairs.join(parts, "pos").select("home_id", "pos", part_ref("p", F.col("pos")).alias("device_ref"), "device_type", "capabilities")
+
+
+def part_ref(prefix, number):
+    return F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, number.cast("string"))
+
+
+def size_key(rest):
+    return F.concat(F.lit("size_"), rest.cast("string"))
 
 
 def actions(t: Inputs):
-    """Routine actions of the fleet; a stored table as well."""
-    return t.once("actions", lambda i: i.v_actions)
+    """Routine actions of the fleet, the rows of v_actions."""
+    return lines(t).filter("has_part").select(
+        "home_id", "routine_id", "line_no", "part_no", "supp_no",
+        part_ref(F.when(F.col("ghost"), "ghost").otherwise("p"), F.col("part_no")).alias("device_ref"),
+        F.when(F.col("odd"), "odd_key").otherwise(size_key(F.col("size_rest"))).alias("setting_key"),
+        F.col("quantity").cast("string").alias("value"),
+    )
 
 
 def settings(t: Inputs):
@@ -351,11 +386,11 @@ def build_stored(t: Inputs):
         F.to_json(F.struct("device_refs", F.lit(0).alias("routine_count"))).alias("payload"),
     )
     device = d.select("home_id", F.concat(F.lit("device:"), "device_ref").alias("name"), F.lit("{}").alias("payload"))
-    routine = actions(t).select(
+    routine = actions(t).select("home_id", "routine_id").distinct().select(
         "home_id",
         F.concat(F.lit("routine:"), F.col("routine_id").cast("string")).alias("name"),
         F.lit("{}").alias("payload"),
-    ).distinct()
+    )
     return meta.unionByName(device).unionByName(routine)
 
 
@@ -379,17 +414,15 @@ def requests(t: Inputs):
 
 
 def build_requests(t: Inputs):
-    lines = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    named = lines.filter(F.col("l_tax") < 0.075).select(
-        F.col("o_custkey").alias("home_id"),
-        F.concat(F.lit("device:p"), F.col("l_partkey").cast("string")).alias("name"),
-    )
+    named = lines(t).filter("asked").select("home_id", "part_no").distinct()
+    named = named.select("home_id", part_ref("device:p", F.col("part_no")).alias("name"))
     with_meta = stored(t).filter(F.col("name") == "meta").select("home_id")
-    extra = t.orders.select(
-        F.col("o_custkey").alias("home_id"),
-        F.when(F.col("o_totalprice") > 480000, "device:unknown").otherwise("meta").alias("name"),
-    ).join(with_meta, "home_id", "left_semi")
-    return named.unionByName(extra).distinct()
+    large = F.col("o_totalprice") > 480000
+    extra = t.orders.select(F.col("o_custkey").alias("home_id"), F.coalesce(large, F.lit(False)).alias("large")).distinct()
+    extra = extra.join(with_meta, "home_id", "left_semi").select(
+        "home_id", F.when(F.col("large"), "device:unknown").otherwise("meta").alias("name")
+    )
+    return named.unionByName(extra)  # both are distinct, and no part is called unknown
 
 
 ERASED = f"""{STORED}, {REQUESTS},
@@ -459,7 +492,7 @@ def new_homes(t: Inputs):
 
 
 def moved(t: Inputs):
-    homes = crosswalk.movable(devices(t), new_homes(t))
+    homes = t.once("homes", lambda i: crosswalk.movable(devices(i), new_homes(i)))
     return homes, crosswalk.match_devices(devices(t), new_homes(t), homes)
 
 
