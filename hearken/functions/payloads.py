@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from hearken.functions.fixed_values import COMMAND_BUDGET, COMMAND_VERSION
 BYTE_ORDER_MARK = "\ufeff"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is found once a row, however often `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def as_text(payload: Column) -> Column:
     """UTF-8 bytes to text without a leading byte-order mark; broken bytes give NULL."""
     text = F.when(F.is_valid_utf8(payload), payload)
@@ -24,7 +31,8 @@ def trailing_text(text: Column) -> Column:
     """
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
-    return listed.isNull() | member.isNull() | F.try_variant_get(listed, "$[1]", "variant").isNotNull()
+    longer = bound(listed, lambda v: v.isNull() | F.try_variant_get(v, "$[1]", "variant").isNotNull())
+    return longer | member.isNull()
 
 
 def reject_reason(payload: Column, max_bytes: int, version_path: str, version: str) -> Column:
@@ -32,18 +40,22 @@ def reject_reason(payload: Column, max_bytes: int, version_path: str, version: s
 
     The size is checked before anything is parsed.
     """
-    text = as_text(payload)
-    parses = F.get_json_object(text, "$").isNotNull()
+
+    def judged(text: Column) -> Column:
+        return (
+            F.when(text.isNull(), "not_utf8")
+            .when(F.get_json_object(text, "$").isNull(), "not_json")
+            .when(F.try_parse_json(text).isNull(), "repeated_key")
+            .when(~F.ltrim(text).startswith("{"), "not_an_object")
+            .when(trailing_text(text), "trailing_text")
+            .when(~F.get_json_object(text, version_path).eqNullSafe(F.lit(version)), "version")
+            .otherwise("accepted")
+        )
+
     return (
         F.when(payload.isNull(), "missing")
         .when(F.octet_length(payload) > max_bytes, "too_large")
-        .when(text.isNull(), "not_utf8")
-        .when(~parses, "not_json")
-        .when(F.try_parse_json(text).isNull(), "repeated_key")
-        .when(~F.ltrim(text).startswith("{"), "not_an_object")
-        .when(trailing_text(text), "trailing_text")
-        .when(~F.get_json_object(text, version_path).eqNullSafe(F.lit(version)), "version")
-        .otherwise("accepted")
+        .otherwise(bound(as_text(payload), judged))
     )
 
 

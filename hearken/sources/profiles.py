@@ -19,7 +19,7 @@ from hearken.functions.fixed_values import (
     STORE_BUDGET,
     TRIGGER_KEYS,
 )
-from hearken.functions.payloads import as_text, reject_reason
+from hearken.functions.payloads import as_text, bound, reject_reason
 
 PROFILE = (
     "devices array<struct<device_ref:string,device_type:string,capabilities:array<string>>>, "
@@ -34,32 +34,34 @@ def keys_of(json: Column) -> Column:
     return F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
 
 
-def member_type(text: Column, path: str) -> Column:
-    """JSON type of a member, NULL when it is absent."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
-
-
 def profile_reason(payload: Column) -> Column:
     """Why a payload is rejected before its content is looked at, or 'accepted'."""
-    text = as_text(payload)
     first = reject_reason(payload, STORE_BUDGET, "$.schema_version", SCHEMA_VERSION)
     wanted = F.array(*[F.lit(k) for k in PROFILE_KEYS])
-    keys = keys_of(text)
 
-    def not_a(kind: str, path: str) -> Column:
-        return ~F.coalesce(member_type(text, path).startswith(kind), F.lit(False))
+    def keyed(keys: Column) -> Column:
+        return F.when(F.size(F.array_except(keys, wanted)) > 0, "unknown_key").when(
+            F.size(F.array_except(wanted, keys)) > 0, "missing_key"
+        )
 
-    return (
-        F.when(first != "accepted", first)
-        .when(F.size(F.array_except(keys, wanted)) > 0, "unknown_key")
-        .when(F.size(F.array_except(wanted, keys)) > 0, "missing_key")
-        .when(not_a("ARRAY", "$.devices"), "devices_not_array")
-        .when(not_a("OBJECT", "$.settings"), "settings_not_object")
-        .when(not_a("ARRAY", "$.routines"), "routines_not_array")
-        .when(not_a("OBJECT", "$.reserved_wellness"), "reserved_not_object")
-        .when(F.size(keys_of(F.get_json_object(text, "$.reserved_wellness"))) > 0, "reserved_not_empty")
-        .otherwise("accepted")
-    )
+    def typed(parsed: Column) -> Column:
+        def not_a(kind: str, path: str) -> Column:
+            member = F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+            return ~F.coalesce(member.startswith(kind), F.lit(False))
+
+        return (
+            F.when(not_a("ARRAY", "$.devices"), "devices_not_array")
+            .when(not_a("OBJECT", "$.settings"), "settings_not_object")
+            .when(not_a("ARRAY", "$.routines"), "routines_not_array")
+            .when(not_a("OBJECT", "$.reserved_wellness"), "reserved_not_object")
+        )
+
+    def shaped(text: Column) -> Column:
+        reserved = keys_of(F.get_json_object(text, "$.reserved_wellness"))
+        filled = F.when(F.size(reserved) > 0, "reserved_not_empty").otherwise("accepted")
+        return F.coalesce(bound(keys_of(text), keyed), bound(F.try_parse_json(text), typed), filled)
+
+    return F.when(first != "accepted", first).otherwise(bound(as_text(payload), shaped))
 
 
 def accepted(profiles: DataFrame) -> DataFrame:
