@@ -242,7 +242,9 @@ Z = [f"{c}_z" for c in FEATURES]
 
 
 def standard_features(t: Inputs):
-    filled = segments.impute_median(survey.encode(answers(t)), FEATURES)
+    # answers are coded once and dealt to all cores: their file may be too small to be read by more than one task
+    coded = survey.encode(answers(t)).select("respondent_id", *FEATURES).repartition(t.spark.sparkContext.defaultParallelism)
+    filled = segments.impute_median(materialize(coded, "coded-answers"), FEATURES)
     z = segments.standardize(filled, FEATURES)
     return materialize(z.select("respondent_id", *FEATURES, *Z), "segment-features")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from hearken.operators import kmeans, mart, segments, store
-from hearken.plans import homes
+from hearken.plans import homes, models
 from hearken.plans.registry import Inputs
 from hearken.sources import profiles
 from hearken.streaming import stateful
@@ -127,3 +127,9 @@ def test_nearest_centres_of_many_features_are_found_in_batches(spark):
     told = df.select("f0", near.alias("n"))
     assert "ArrowEvalPython" in plan_of(told)
     assert rows(told.select("f0", "n.distance", "n.cluster"))[:2] == [(0.0, 0.0, 1), (1.0, 14.0, 1)]
+
+
+def test_answers_in_one_file_are_clustered_on_all_cores(spark):
+    t = Inputs(spark, FOLDER)
+    assert len(t.customer.inputFiles()) == 1
+    assert len(models.standard_features(t).inputFiles()) > 1
